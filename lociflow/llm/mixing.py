@@ -192,7 +192,8 @@ def mix(docs: DataFrame, seed: int = 17, share: float = 1.5, most: int = 2, weig
 
 def first_words(text: Column, n: Column) -> Column:
     """The first n words of text and what stands between them."""
-    return F.regexp_extract(text, F.concat(F.lit(r"^(?:[\x20\x09-\x0D]*[^\x20\x09-\x0D]+){"), n.cast("string"), F.lit("}")), 0)
+    pieces = F.regexp_extract_all(text, F.lit(r"([\x20\x09-\x0D]*[^\x20\x09-\x0D]+)"), F.lit(1))
+    return F.array_join(F.slice(pieces, F.lit(1), n.cast("int")), "")
 
 
 def mixed_rows(docs: DataFrame, **how) -> DataFrame:
