@@ -18,11 +18,13 @@ null doc_id come first, as doc_id ``null``.  An empty table makes no file.
 
 from __future__ import annotations
 
+import gc
 import io
 import os
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,7 +40,12 @@ TAIL = struct.Struct("<QIIQQQ8s")
 DOC = np.dtype([("doc_id", "<i8"), ("first", "<u8")])
 NO_ID = -(1 << 63)
 BLOCK_IDS = 1 << 16
-CACHE_CHUNKS = 300_000
+CACHE_CHUNKS = 1_200_000
+CACHE_PIECES = 800_000
+# fixed values: the pre-token pattern of byte-level BPE, and the characters that stand for bytes
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+_SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTE_LEVEL = dict(zip([b for b in range(256) if b not in _SHOWN], range(256, 512)))
 MANIFEST = "path string, part long, n_ids long, n_docs long, first_doc long"
 
 
@@ -68,26 +75,31 @@ class ShardWriter:
 
     def __init__(self, out: io.RawIOBase, bits: int, block_ids: int = BLOCK_IDS):
         self.out, self.bits, self.block_ids = out, bits, block_ids
-        self.at, self.n_ids, self.rest = 0, 0, np.zeros(0, "<u4")
+        self.at, self.n_ids = 0, 0
+        self.rest: list[np.ndarray] = []
+        self.n_rest = 0
         self.blocks: list[int] = [0]
         self.docs: list[tuple[int, int]] = []
 
     def add(self, doc_id: int | None, ids: np.ndarray) -> None:
         self.docs.append((NO_ID if doc_id is None else doc_id, self.n_ids))
         self.n_ids += len(ids)
-        self.rest = np.concatenate([self.rest, ids])
-        whole = len(self.rest) // self.block_ids * self.block_ids
-        for i in range(0, whole, self.block_ids):
-            self._block(self.rest[i : i + self.block_ids])
-        self.rest = self.rest[whole:]
+        self.rest.append(ids)
+        self.n_rest += len(ids)
+        if self.n_rest >= self.block_ids:
+            flat = np.concatenate(self.rest)
+            whole = len(flat) // self.block_ids * self.block_ids
+            for i in range(0, whole, self.block_ids):
+                self._block(flat[i : i + self.block_ids])
+            self.rest, self.n_rest = [flat[whole:]], len(flat) - whole
 
     def _block(self, ids: np.ndarray) -> None:
         self.at += self.out.write(packed(ids, self.bits))
         self.blocks.append(self.at)
 
     def close(self) -> None:
-        if len(self.rest):
-            self._block(self.rest)
+        if self.n_rest:
+            self._block(np.concatenate(self.rest))
         self.out.write(np.array(self.blocks, "<u8").tobytes())
         self.out.write(np.array(self.docs, DOC).tobytes())
         self.out.write(TAIL.pack(self.at, self.bits, self.block_ids, self.n_ids, len(self.docs), len(self.blocks) - 1, MAGIC))
@@ -132,51 +144,95 @@ class ShardReader:
             i = j
 
 
+class _Whole(Exception):
+    """The text has white space that only the whole text's pre-tokens show."""
+
+
+class _Pieces(dict):
+    """Ids of pre-tokens, from the library's BPE model."""
+
+    def __init__(self, model):
+        self.model = model
+
+    def __missing__(self, piece: str) -> bytes:
+        if len(self) >= CACHE_PIECES:
+            self.clear()
+        out = self[piece] = array("I", [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(_BYTE_LEVEL))]).tobytes()
+        return out
+
+
+class _Chunks(dict):
+    """Ids of what stands between single spaces, the space before it included."""
+
+    def __init__(self, pieces: _Pieces, pattern):
+        self.pieces, self.pattern = pieces, pattern
+
+    def encoded(self, text: str) -> bytes:
+        return b"".join(map(self.pieces.__getitem__, self.pattern.findall(text)))
+
+    def __missing__(self, chunk: str) -> bytes:
+        if not chunk or chunk[-1].isspace():
+            raise _Whole
+        if len(self) >= CACHE_CHUNKS:
+            self.clear()
+        if chunk.isalpha():
+            out = self.pieces[" " + chunk]
+        elif chunk[-1] in ",.;:!?" and chunk[:-1].isalpha():
+            out = self.pieces[" " + chunk[:-1]] + self.pieces[chunk[-1]]
+        else:
+            out = self.encoded(" " + chunk)
+        self[chunk] = out
+        return out
+
+
+_encoders: dict[str, Encoder] = {}
+
+
 class Encoder:
-    """Whole-text ids by the tokenizers library, with a bounded table of the chunks seen.
+    """Whole-text ids by a byte-level BPE file of the tokenizers library, with bounded tables of what was seen.
 
-    Byte-level BPE with the usual splitting pattern never joins anything across a
-    single space that follows a character other than white space, so the chunks
-    between such spaces can be encoded apart.  A text with any other white space
-    before a space goes to the library whole.
+    The usual splitting pattern never joins anything across a single space that
+    follows a character other than white space, so the chunks between such spaces,
+    and within them the pattern's pre-tokens, are encoded apart, each once as long
+    as the table holds it.  A text with any other white space before a space goes
+    through the library whole, and so does every text for another kind of file.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import json
+
+        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.vocabulary = self.tokenizer.get_vocab_size()
-        self.known: dict[str, bytes | None] = {}
+        parts = json.loads(self.tokenizer.to_str())
+        splits = parts["pre_tokenizer"] or {}
+        self.by_chunk = parts["model"]["type"] == "BPE" and parts["normalizer"] is None and splits.get("type") == "ByteLevel" and not splits.get("add_prefix_space") and splits.get("use_regex", True)
+        self.chunks = _Chunks(_Pieces(self.tokenizer.model), regex.compile(PATTERN))
 
-    def _whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
+    @classmethod
+    def of(cls, path: str) -> Encoder:
+        """The encoder of this worker, whose tables last from task to task."""
+        if path not in _encoders:
+            _encoders[path] = cls(path)
+        return _encoders[path]
 
-    def _learn(self, chunks: list[str]) -> None:
-        new = [c for c in dict.fromkeys(chunks) if c not in self.known]
-        if len(self.known) + len(new) > CACHE_CHUNKS:
-            self.known.clear()
-            new = list(dict.fromkeys(chunks))
-        safe = [c for c in new if c and not c[-1].isspace()]
-        self.known.update(dict.fromkeys(new))
-        for c, e in zip(safe, self.tokenizer.encode_batch_fast([" " + c for c in safe], add_special_tokens=False), strict=True):
-            self.known[c] = np.array(e.ids, "<u4").tobytes()
+    def _whole(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
     def encode(self, text: str | None) -> np.ndarray:
         if not text:
             return np.zeros(0, "<u4")
         first, *chunks = text.split(" ")
-        if not first or first[-1].isspace():
-            return np.frombuffer(self._whole(text), "<u4")
+        if not self.by_chunk or not first or first[-1].isspace():
+            return self._whole(text)
         try:
-            parts = [*map(self.known.__getitem__, chunks)]
-        except KeyError:
-            self._learn(chunks)
-            parts = [*map(self.known.__getitem__, chunks)]
-        if None in parts:
-            return np.frombuffer(self._whole(text), "<u4")
-        return np.frombuffer(self._whole(first) + b"".join(parts), "<u4")
+            return np.frombuffer(self.chunks.encoded(first) + b"".join(map(self.chunks.__getitem__, chunks)), "<u4")
+        except _Whole:
+            return self._whole(text)
 
 
 def _open_out(uri: str, part: int):
@@ -198,14 +254,16 @@ def write_shards(df: DataFrame, uri: str, tokenizer_path: str, end_id: int = 0)
         from pyspark import TaskContext
 
         part, writer, encoder, first = TaskContext.get().partitionId(), None, None, None
+        gc.disable()  # the tables are millions of strings and hold no cycles
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1)
             for i, doc_id in enumerate(ids):
                 if writer is None:
-                    encoder = Encoder(tokenizer_path)
+                    encoder = Encoder.of(tokenizer_path)
                     name, out = _open_out(uri, part)
                     writer, first = ShardWriter(out, bits_for(encoder.vocabulary)), doc_id
                 writer.add(doc_id, np.append(encoder.encode(texts[i].as_py()), np.uint32(end_id)))
+        gc.enable()
         if writer is not None:
             writer.close()
             out.close()
