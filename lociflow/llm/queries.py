@@ -11,13 +11,7 @@ from pyspark.sql import functions as F
 from . import decontam, exact_dedup, langid, mixing, ngram_join, quality, token_ids, toxicity, url_filter, warc
 from .shared import fold, saved, shared_dir, table
 
-URL_RULES = [
-    ("org", "/", "allow"),
-    ("example.org", "/es/", "block"),
-    ("example.org", "/en/1", "block"),
-    ("com", "/fr/", "allow"),
-    ("com", "/de/", "block"),
-]
+URL_RULES = "SELECT * FROM VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block') AS rules(host, path, verdict)"
 
 
 def op1_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,7 +52,7 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    rules = spark.sql(URL_RULES)
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return url_filter.judged(pages, rules).select("page_id", "host", "path", "rule", "verdict")
 
