@@ -7,15 +7,19 @@ document's component under these links.
    hash of the set; exact copies never meet again.
 2. Partition.  Linked sets share one of their first n - ceil(3n/4) + 1 shingles
    in any fixed order of all shingles.  The order here is by hash, with the
-   ``HOT_SHINGLES`` most frequent shingles (counted over all documents) last.  A
-   cell is a shingle with the classes that have it among their first.
+   ``HOT_SHINGLES`` most frequent shingles (counted over all documents) last.
+   The classes with the same shingle among their first form a cell, and cells
+   with the same smallest class are one.  A blocked Bloom filter of the shingles
+   that several classes have keeps the others out of the shuffle that builds the
+   cells; it has at most ``MOST_BLOCKS`` blocks, and only costs speed when full.
 3. Points.  Each shingle is hashed into one of ``GROUPS`` groups; the group
    counts of a class are its point.  The summed coordinate minima of two points
    bound the overlap from above, and so do those of the upper corners of two
-   rectangles.
+   rectangles.  Pairs that pass are bounded again with finer groups, at least half
+   as many as the class has shingles.
 4. Stars.  In each cell every class is held against the cell's smallest class:
-   pairs whose bound can reach the threshold are verified on their sets.  This
-   joins large groups of near copies with a number of pairs linear in them.
+   pairs whose bounds allow a link are verified on their sets.  This joins large
+   groups of near copies with a number of pairs linear in them.
 5. R-trees.  In each cell whose classes are still in different components an
    R-tree is bulk-loaded and joined with itself by the bound; surviving pairs of
    different components are verified.  Cells of more than ``CELL`` classes are
@@ -40,16 +44,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
+from .hashing import block_of, bloom_filter, may_contain
 from .shared import dropped, saved, shared_dir, spread
 from .textvec import row_shingles, shingle_hashes, slices, word_hashes, words
 
 NUMERATOR, DENOMINATOR = 3, 4
 GROUPS = 128
+FINE_BITS = 15
 HOT_SHINGLES = 50_000
 HOT_IN_SLICE = 8
 CELL = 1024
 LEAF = 16
 BROADCAST_IDS = 2_000_000
+MOST_BLOCKS = 1 << 20
 
 
 def needed(n: np.ndarray, m: np.ndarray) -> np.ndarray:
@@ -79,23 +86,26 @@ def frequent_shingles(docs: DataFrame) -> np.ndarray:
 def features(docs: DataFrame, hot: np.ndarray) -> DataFrame:
     """(doc_id, n_shingles, cls, prefix, point) of docs (doc_id, text)."""
     sent = docs.sparkSession.sparkContext.broadcast(hot)
-    kind = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("cls", pa.int64()), ("prefix", pa.list_(pa.int64())), ("point", pa.binary())])
+    kind = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("cls", pa.int64()), ("prefix", pa.list_(pa.int64())), ("point", pa.binary()), ("fine", pa.binary())])
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot = sent.value
         for batch in batches:
             ids = batch.column(0).to_pylist()
-            sizes, classes, parts, ends, points = [], [], [], [0], []
+            sizes, classes, parts, ends, points, fine = [], [], [], [0], [], []
             for doc_id, s in zip(ids, row_shingles(batch.column(1)), strict=True):
                 n = len(s)
                 sizes.append(n)
                 if not n or doc_id is None:
                     classes.append(None)
                     points.append(None)
+                    fine.append(None)
                     ends.append(ends[-1])
                     continue
                 classes.append(int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True))
-                points.append(np.bincount((s & np.uint64(GROUPS - 1)).astype(np.intp), minlength=GROUPS).astype("<u2" if n < 1 << 16 else "<u4").tobytes())
+                counts = np.bincount((s & np.uint64(GROUPS - 1)).astype(np.intp), minlength=GROUPS)
+                points.append(counts.astype("<u1" if counts.max() < 256 else "<u4").tobytes())
+                fine.append(fine_point(s))
                 p = n - -(-NUMERATOR * n // DENOMINATOR) + 1
                 if len(hot):
                     at = np.minimum(np.searchsorted(hot, s), len(hot) - 1)
@@ -104,14 +114,35 @@ def features(docs: DataFrame, hot: np.ndarray) -> DataFrame:
                 parts.append(s[:p].view(np.int64))
                 ends.append(ends[-1] + p)
             prefix = pa.ListArray.from_arrays(pa.array(np.array(ends, np.int32)), pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), prefix, pa.array(points, pa.binary())], schema=kind)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), prefix, pa.array(points, pa.binary()), pa.array(fine, pa.binary())], schema=kind)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(extract, "doc_id long, n_shingles long, cls long, prefix array<long>, point binary")
+    return rows.mapInArrow(extract, "doc_id long, n_shingles long, cls long, prefix array<long>, point binary, fine binary")
+
+
+def fine_point(s: np.ndarray) -> bytes:
+    """Counts of a set in at least half as many groups as it has shingles: item size, log2 of the groups, counts."""
+    bits = min(FINE_BITS, max(GROUPS.bit_length() - 1, (len(s) // 2).bit_length()))
+    counts = np.bincount((s & np.uint64((1 << bits) - 1)).astype(np.intp), minlength=1 << bits)
+    width = 1 if counts.max() < 256 else 4
+    return bytes([width, bits]) + counts.astype(f"<u{width}").tobytes()
+
+
+def fine_bound(a: bytes, b: bytes) -> int:
+    """The summed minima of two fine points, the finer one folded onto the groups of the other."""
+    x, y = (np.frombuffer(d, f"<u{d[0]}", offset=2) for d in (a, b))
+    n = min(len(x), len(y))
+    x, y = (v if len(v) == n else v.reshape(-1, n).sum(axis=0) for v in (x, y))
+    return int(np.minimum(x, y).sum(dtype=np.int64))
 
 
 def point_of(data: bytes) -> np.ndarray:
-    return np.frombuffer(data, "<u2" if len(data) == 2 * GROUPS else "<u4").astype(np.int64)
+    return np.frombuffer(data, "<u1" if len(data) == GROUPS else "<u4").astype(np.int64)
+
+
+def folded(fine: bytes) -> np.ndarray:
+    """The point of a fine point."""
+    return np.frombuffer(fine, f"<u{fine[0]}", offset=2).reshape(-1, GROUPS).sum(axis=0, dtype=np.int64)
 
 
 class CountTree:
@@ -194,8 +225,22 @@ def _bounded(pairs: DataFrame, points: DataFrame) -> DataFrame:
     return rows.mapInArrow(bound, "a long, b long")
 
 
+def _refined(pairs: DataFrame, points: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose fine points allow a link.  Long texts share most coarse groups; this keeps their sets from being sent in vain."""
+    p = points.select("cls", "n_shingles", "fine")
+    rows = pairs.join(p.toDF("a", "na", "pa"), "a").join(p.toDF("b", "nb", "pb"), "b").select("a", "b", "na", "nb", "pa", "pb")
+
+    def refine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            na, nb, x, y = (batch.column(c).to_pylist() for c in range(2, 6))
+            ok = [fine_bound(p, q) >= needed(n, m) for n, m, p, q in zip(na, nb, x, y, strict=True)]
+            yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
+
+    return rows.mapInArrow(refine, "a long, b long")
+
+
 def _sets(docs: DataFrame, points: DataFrame) -> DataFrame:
-    """(cls, shingles) of the classes in points, from one document of each."""
+    """(cls, shingles) of the classes in points, from one document of each; other classes of a repeated doc_id may come too."""
     spark = docs.sparkSession
     wanted = points.select("doc_id")
     if wanted.count() <= BROADCAST_IDS:
@@ -211,11 +256,13 @@ def _sets(docs: DataFrame, points: DataFrame) -> DataFrame:
                     sets.append(s.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(classes, pa.int64()), pa.array(sets, pa.binary())], names=["cls", "shingles"])
 
-    return rows.mapInArrow(extract, "cls long, shingles binary")
+    return saved(rows.mapInArrow(extract, "cls long, shingles binary").dropDuplicates(["cls"]), shared_dir(spark))
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _verified(docs: DataFrame, pairs: DataFrame, points: DataFrame) -> DataFrame:
     """The pairs (a, b) that link.  Each b's set goes to its a, whose set comes first."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
+    sets = _sets(docs, points.select("cls", "doc_id").join(wanted, "cls", "left_semi"))
     seconds = pairs.join(sets.select(F.col("cls").alias("b"), "shingles"), "b").select("a", "b", "shingles")
     firsts = pairs.select("a").distinct().join(sets.select(F.col("cls").alias("a"), "shingles"), "a").select("a", F.lit(None).cast("long").alias("b"), "shingles")
 
@@ -239,19 +286,22 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _tree_pairs(members: DataFrame) -> DataFrame:
-    """Candidate pairs of the cells' parts; members has (cell, i, j, side, cls, component, n_shingles, point), sorted by task."""
+    """Candidate pairs of the cells' parts; members has (cell, i, j, side, cls, component, n_shingles, fine), sorted by task.
+
+    Pairs with the cell's smallest class were verified before; pairs of one component need no link.
+    """
 
     def pairs_of(rows: list[tuple]) -> list[tuple[int, int]]:
         i, j = rows[0][1], rows[0][2]
         sides = [[r for r in rows if r[3] == s] for s in ((0,) if i == j else (0, 1))]
         if not all(sides):
             return []
-        trees = [CountTree(np.stack([point_of(r[7]) for r in s]), np.array([r[6] for r in s])) for s in sides]
+        trees = [CountTree(np.stack([folded(r[7]) for r in s]), np.array([r[6] for r in s])) for s in sides]
         out = []
         for x, y in joined(trees[0], trees[-1], i == j):
             for p, q in zip(x.tolist(), y.tolist(), strict=True):
                 r, s = sides[0][p], sides[-1][q]
-                if r[5] != s[5]:
+                if r[5] != s[5] and r[0] not in (r[4], s[4]) and fine_bound(r[7], s[7]) >= needed(r[6], s[6]):
                     out.append((min(r[4], s[4]), max(r[4], s[4])))
         return out
 
@@ -288,32 +338,36 @@ def linked(docs: DataFrame) -> DataFrame:
     has = feats.where("cls is not null")
 
     rows = has.select("cls", F.explode("prefix").alias("token"))
-    cells = rows.groupBy("token").agg(F.min("cls").alias("least"), F.max("cls").alias("most")).where("least < most").select("token", "least")
-    cells = saved(rows.join(cells, "token"), f"{folder}/cells")
-
-    in_cells = cells.select("cls").distinct()
-    points = saved(has.select("cls", "doc_id", "n_shingles", "point").join(in_cells, "cls", "left_semi").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("point").alias("point")), f"{folder}/points")
-    sets = saved(_sets(docs, points), f"{folder}/sets")
-
-    stars = cells.where("cls != least").select(F.col("least").alias("a"), F.col("cls").alias("b")).distinct()
-    stars = saved(_bounded(stars, points), f"{folder}/stars")
-    links = saved(_verified(stars, sets), f"{folder}/links")
+    shared = rows.groupBy("token").agg(F.min("cls").alias("least"), F.max("cls").alias("most")).where("least < most").select("token", "least")
+    shared = saved(shared, f"{folder}/shared")
+    n_blocks = max(16, min(MOST_BLOCKS, 1 << (shared.count() // 4).bit_length()))
+    listed = F.broadcast(bloom_filter(shared.select(F.col("token").alias("key")), n_blocks))
+    likely = rows.withColumn("block", block_of(F.col("token"), n_blocks)).join(listed, "block").where(may_contain(F.col("bits"), F.col("token"))).select("cls", "token")
+    cells = likely.join(shared, "token").where("cls != least").select(F.col("least").alias("cell"), "cls").distinct()
+    cells = saved(cells, f"{folder}/cells")
+    dropped(spark, f"{folder}/shared")
+
+    members = cells.unionByName(cells.select("cell", F.col("cell").alias("cls")).distinct())
+    columns = ["n_shingles", "point", "fine"]
+    in_cells = has.select("cls", "doc_id", *columns).join(members.select("cls").distinct(), "cls", "left_semi")
+    points = saved(in_cells.groupBy("cls").agg(F.min("doc_id").alias("doc_id"), *[F.first(c).alias(c) for c in columns]), f"{folder}/points")
+
+    near = _refined(_bounded(cells.toDF("a", "b"), points), points)
+    links = saved(_verified(docs, saved(near, f"{folder}/near"), points), f"{folder}/links")
     found = components(links, f"{folder}/first")
 
-    member = cells.select("token", "cls").join(found.toDF("cls", "component"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
-    member = saved(member.distinct(), f"{folder}/members")
-    dropped(spark, f"{folder}/cells")
-    open_ = member.groupBy("token").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count("*").alias("n"), F.sum(F.xxhash64("cls").cast("decimal(38,0)")).alias("sum")).where("c0 < c1")
-    open_ = open_.groupBy("n", "sum").agg(F.min("token").alias("token")).select("token", F.ceil(F.col("n") / CELL).cast("int").alias("parts"))
-    part = F.pmod(F.xxhash64("token", "cls"), F.col("parts")).cast("int")
-    dealt = member.join(open_, "token").withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    dealt = dealt.select(F.col("token").alias("cell"), F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), (F.col("part") > F.col("other")).cast("int").alias("side"), "cls", "component")
-    dealt = dealt.join(points.select("cls", "n_shingles", "point"), "cls").select("cell", "i", "j", "side", "cls", "component", "n_shingles", "point")
+    member = members.join(found.toDF("cls", "component"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+    member = saved(member, f"{folder}/members")
+    open_ = member.groupBy("cell").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count("*").alias("n")).where("c0 < c1 and n > 2")
+    open_ = open_.select("cell", F.ceil(F.col("n") / CELL).cast("int").alias("parts"))
+    part = F.pmod(F.xxhash64("cell", "cls"), F.col("parts")).cast("int")
+    dealt = member.join(open_, "cell").withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    dealt = dealt.select("cell", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), (F.col("part") > F.col("other")).cast("int").alias("side"), "cls", "component")
+    dealt = dealt.join(points.select("cls", "n_shingles", "fine"), "cls").select("cell", "i", "j", "side", "cls", "component", "n_shingles", "fine")
     dealt = dealt.repartition(spread(spark), "cell", "i", "j").sortWithinPartitions("cell", "i", "j", "side")
-    rest = saved(_tree_pairs(dealt).distinct().join(stars, ["a", "b"], "left_anti"), f"{folder}/rest")
-    more = _verified(rest, sets)
-    links = saved(links.unionByName(more), f"{folder}/all")
-    for name in ("members", "sets", "stars", "links"):
+    rest = saved(_tree_pairs(dealt).distinct(), f"{folder}/rest")
+    links = saved(links.unionByName(_verified(docs, rest, points)), f"{folder}/all")
+    for name in ("members", "cells", "near", "links", "rest"):
         dropped(spark, f"{folder}/{name}")
 
     found = components(links, f"{folder}/last").toDF("cls", "root")

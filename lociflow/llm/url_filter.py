@@ -3,7 +3,7 @@
 A rule is (host, path, verdict).  It fits a URL whose host is the rule's or a
 subdomain of it and whose path starts with the rule's; the longest rule wins.
 The rules' canonical URLs, host followed by path, are listed in a blocked Bloom
-filter: a hash picks one 64-bit block and sets ``BITS`` bits in it.  A URL asks
+filter: a hash picks one 64-bit block and sets a few bits in it.  A URL asks
 for each host suffix with each of the path lengths that the rules have.  Those
 whose block has all bits are possible hits, and an equi-join with the rules
 removes the false positives.  The filter has at most ``MOST_BLOCKS`` rows of 16
@@ -24,7 +24,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BITS = 6
+from .hashing import block_of, bloom_filter, may_contain
+
 MOST_BLOCKS = 1 << 20
 MOST_LABELS = 130
 
@@ -38,24 +39,6 @@ def url_parts(url: Column) -> tuple[Column, Column]:
     return F.translate(host, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), path
 
 
-def _mask(key: Column) -> Column:
-    """BITS bits of a 64-bit word, from six-bit pieces of a second hash."""
-    bits = F.lit(0).cast("long")
-    for i in range(BITS):
-        piece = F.shiftrightunsigned(F.xxhash64(F.lit(1), key), 6 * i).bitwiseAND(F.lit(63)).cast("int")
-        bits = bits.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), piece))
-    return bits
-
-
-def _block(key: Column, n_blocks: int) -> Column:
-    return F.pmod(F.xxhash64(F.lit(0), key), F.lit(n_blocks))
-
-
-def bloom_filter(keys: DataFrame, n_blocks: int) -> DataFrame:
-    """(block, bits) of the listed keys (column key)."""
-    return keys.groupBy(_block(F.col("key"), n_blocks).alias("block")).agg(F.bit_or(_mask(F.col("key"))).alias("bits"))
-
-
 def judged(pages: DataFrame, rules: DataFrame, default: str = "allow", url: str = "url") -> DataFrame:
     """Add host, path, rule and verdict to pages; rules has (host, path, verdict)."""
     host, path = url_parts(F.col(url))
@@ -71,8 +54,8 @@ def judged(pages: DataFrame, rules: DataFrame, default: str = "allow", url: str
     urls = pages.select("host", "path").where("host != ''").distinct()
     asking = urls.select("host", "path", F.explode(asked).alias("a")).select("host", "path", F.col("a.h").alias("rule_host"), F.col("a.p").alias("rule_path"))
     asking = asking.withColumn("key", F.concat_ws("/", "rule_host", F.expr("substring(rule_path, 2)")))
-    possible = asking.withColumn("block", _block(F.col("key"), n_blocks)).join(F.broadcast(bloom_filter(listed, n_blocks)), "block")
-    possible = possible.where(F.col("bits").bitwiseAND(_mask(F.col("key"))) == _mask(F.col("key")))
+    possible = asking.withColumn("block", block_of(F.col("key"), n_blocks)).join(F.broadcast(bloom_filter(listed, n_blocks)), "block")
+    possible = possible.where(may_contain(F.col("bits"), F.col("key")))
     hits = possible.join(listed.drop("key"), ["rule_host", "rule_path"])
     text = F.concat("rule_host", "rule_path")
     best = hits.groupBy("host", "path").agg(F.max(F.struct(F.length(text).alias("n"), text.alias("rule"), F.col("rule_verdict").alias("verdict"))).alias("best"))

@@ -34,6 +34,7 @@ from .shared import saved, shared_dir, spread
 FRAME_BYTES = 256 * 1024
 LEAST_REVISIT = 100
 LEVEL = 3
+BROADCAST_GROUPS = 500_000
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
@@ -145,7 +146,8 @@ def with_revisits(pages: DataFrame) -> DataFrame:
     firsts = pages.select("page_id", digest.alias("digest"), n_bytes.alias("n")).where(F.col("n") >= LEAST_REVISIT)
     groups = firsts.groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("group_rows")).where("group_rows > 1")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", payload.alias("payload"), digest.alias("digest"), n_bytes.alias("n_bytes"))
-    rows = rows.join(groups, "digest", "left")
+    groups = saved(groups, f"{shared_dir(pages.sparkSession)}/groups")
+    rows = rows.join(F.broadcast(groups) if groups.count() <= BROADCAST_GROUPS else groups, "digest", "left")
     revisit = F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))
     return rows.withColumn("revisit", revisit).withColumn("payload", F.when(~F.col("revisit"), F.col("payload")))
 
@@ -180,8 +182,7 @@ def write_bundles(pages: DataFrame, uri: str) -> DataFrame:
                 yield pa.RecordBatch.from_pylist(part, schema=_INDEX_PA)
 
     rows = with_revisits(pages).select("page_id", "url", "payload", "digest", "n_bytes", "first_id", "revisit")
-    dealt = rows.repartition(spread(pages.sparkSession), F.xxhash64("page_id", "digest"))
-    return saved(dealt.mapInArrow(write, INDEX), f"{uri}/index")
+    return saved(rows.mapInArrow(write, INDEX), f"{uri}/index")
 
 
 def read_bundles(index: DataFrame, uri: str) -> DataFrame:
