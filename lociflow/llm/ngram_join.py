@@ -50,7 +50,7 @@ from .textvec import row_shingles, shingle_hashes, slices, word_hashes, words
 
 NUMERATOR, DENOMINATOR = 3, 4
 GROUPS = 128
-FINE_BITS = 15
+FINE_BITS = (9, 15)
 HOT_SHINGLES = 50_000
 HOT_IN_SLICE = 8
 CELL = 1024
@@ -122,7 +122,7 @@ def features(docs: DataFrame, hot: np.ndarray) -> DataFrame:
 
 def fine_point(s: np.ndarray) -> bytes:
     """Counts of a set in at least half as many groups as it has shingles: item size, log2 of the groups, counts."""
-    bits = min(FINE_BITS, max(GROUPS.bit_length() - 1, (len(s) // 2).bit_length()))
+    bits = min(FINE_BITS[1], max(FINE_BITS[0], (len(s) // 2).bit_length()))
     counts = np.bincount((s & np.uint64((1 << bits) - 1)).astype(np.intp), minlength=1 << bits)
     width = 1 if counts.max() < 256 else 4
     return bytes([width, bits]) + counts.astype(f"<u{width}").tobytes()
@@ -261,7 +261,7 @@ def _sets(docs: DataFrame, points: DataFrame) -> DataFrame:
 
 def _verified(docs: DataFrame, pairs: DataFrame, points: DataFrame) -> DataFrame:
     """The pairs (a, b) that link.  Each b's set goes to its a, whose set comes first."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
+    wanted = pairs.select("a").toDF("cls").union(pairs.select("b").toDF("cls")).distinct()
     sets = _sets(docs, points.select("cls", "doc_id").join(wanted, "cls", "left_semi"))
     seconds = pairs.join(sets.select(F.col("cls").alias("b"), "shingles"), "b").select("a", "b", "shingles")
     firsts = pairs.select("a").distinct().join(sets.select(F.col("cls").alias("a"), "shingles"), "a").select("a", F.lit(None).cast("long").alias("b"), "shingles")
@@ -288,7 +288,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, points: DataFrame) -> DataFrame
 def _tree_pairs(members: DataFrame) -> DataFrame:
     """Candidate pairs of the cells' parts; members has (cell, i, j, side, cls, component, n_shingles, fine), sorted by task.
 
-    Pairs with the cell's smallest class were verified before; pairs of one component need no link.
+    Pairs of one component need no link.
     """
 
     def pairs_of(rows: list[tuple]) -> list[tuple[int, int]]:
@@ -301,7 +301,7 @@ def _tree_pairs(members: DataFrame) -> DataFrame:
         for x, y in joined(trees[0], trees[-1], i == j):
             for p, q in zip(x.tolist(), y.tolist(), strict=True):
                 r, s = sides[0][p], sides[-1][q]
-                if r[5] != s[5] and r[0] not in (r[4], s[4]) and fine_bound(r[7], s[7]) >= needed(r[6], s[6]):
+                if r[5] != s[5] and fine_bound(r[7], s[7]) >= needed(r[6], s[6]):
                     out.append((min(r[4], s[4]), max(r[4], s[4])))
         return out
 
@@ -356,9 +356,10 @@ def linked(docs: DataFrame) -> DataFrame:
     links = saved(_verified(docs, saved(near, f"{folder}/near"), points), f"{folder}/links")
     found = components(links, f"{folder}/first")
 
-    member = members.join(found.toDF("cls", "component"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+    # pairs with the smallest class are settled, so it stays out of its cell from here on
+    member = cells.join(found.toDF("cls", "component"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     member = saved(member, f"{folder}/members")
-    open_ = member.groupBy("cell").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count("*").alias("n")).where("c0 < c1 and n > 2")
+    open_ = member.groupBy("cell").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count("*").alias("n")).where("c0 < c1")
     open_ = open_.select("cell", F.ceil(F.col("n") / CELL).cast("int").alias("parts"))
     part = F.pmod(F.xxhash64("cell", "cls"), F.col("parts")).cast("int")
     dealt = member.join(open_, "cell").withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
