@@ -368,7 +368,8 @@ def linked(docs: DataFrame) -> DataFrame:
     dealt = dealt.repartition(spread(spark), "cell", "i", "j").sortWithinPartitions("cell", "i", "j", "side")
     rest = saved(_tree_pairs(dealt).distinct(), f"{folder}/rest")
     links = saved(links.unionByName(_verified(docs, rest, points)), f"{folder}/all")
-    for name in ("members", "cells", "near", "links", "rest"):
+    feats = saved(feats.select("doc_id", "n_shingles", "cls"), f"{folder}/classes")
+    for name in ("members", "cells", "near", "links", "rest", "points", "features"):
         dropped(spark, f"{folder}/{name}")
 
     found = components(links, f"{folder}/last").toDF("cls", "root")
