@@ -15,6 +15,13 @@ from pyspark.sql import functions as F
 from ..session import importable
 
 LOCAL_DEFAULT = "/tmp/checkpoints"
+BATCH_ROWS = 1000
+
+
+def _ready(spark: SparkSession) -> None:
+    """Workers can import the package, and get texts and sets in batches of a few MB."""
+    importable(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -22,7 +29,7 @@ def shared_dir(spark: SparkSession) -> str:
 
     The setting is only filled in where the session has none (tests, local mode).
     """
-    importable(spark)
+    _ready(spark)
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = LOCAL_DEFAULT
@@ -44,7 +51,7 @@ def dropped(spark: SparkSession, path: str) -> None:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    importable(spark)
+    _ready(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 

@@ -40,8 +40,8 @@ TAIL = struct.Struct("<QIIQQQ8s")
 DOC = np.dtype([("doc_id", "<i8"), ("first", "<u8")])
 NO_ID = -(1 << 63)
 BLOCK_IDS = 1 << 16
-CACHE_CHUNKS = 1_200_000
-CACHE_PIECES = 800_000
+CACHE_CHUNKS = 350_000
+CACHE_PIECES = 450_000
 # fixed values: the pre-token pattern of byte-level BPE, and the characters that stand for bytes
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -155,9 +155,9 @@ class _Pieces(dict):
         self.model = model
 
     def __missing__(self, piece: str) -> bytes:
-        if len(self) >= CACHE_PIECES:
-            self.clear()
-        out = self[piece] = array("I", [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(_BYTE_LEVEL))]).tobytes()
+        out = array("I", [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(_BYTE_LEVEL))]).tobytes()
+        if len(self) < CACHE_PIECES:  # what is frequent comes early
+            self[piece] = out
         return out
 
 
@@ -173,15 +173,14 @@ class _Chunks(dict):
     def __missing__(self, chunk: str) -> bytes:
         if not chunk or chunk[-1].isspace():
             raise _Whole
-        if len(self) >= CACHE_CHUNKS:
-            self.clear()
         if chunk.isalpha():
             out = self.pieces[" " + chunk]
         elif chunk[-1] in ",.;:!?" and chunk[:-1].isalpha():
             out = self.pieces[" " + chunk[:-1]] + self.pieces[chunk[-1]]
         else:
             out = self.encoded(" " + chunk)
-        self[chunk] = out
+        if len(self) < CACHE_CHUNKS:
+            self[chunk] = out
         return out
 
 
