@@ -79,3 +79,28 @@ def ld_pairs(dosage: DataFrame, positions: DataFrame, window: int = 1_000_000, l
     x, y = centred.toDF("a", "sample", "x"), centred.toDF("b", "sample", "y")
     sums = near.join(x, "a").join(y, ["b", "sample"]).groupBy("a", "b").agg(F.sum(F.col("x") * F.col("y")).alias("xy"), F.sum(F.col("x") * F.col("x")).alias("xx"), F.sum(F.col("y") * F.col("y")).alias("yy"))
     return sums.where("xx > 0 and yy > 0").withColumn("r2", F.col("xy") * F.col("xy") / (F.col("xx") * F.col("yy"))).where(F.col("r2") > least_r2).select("a", "b", "r2")
+
+
+def ld_pruned(markers: DataFrame, pairs: DataFrame, folder: str) -> DataFrame:
+    """Markers left by the greedy forward walk: a marker goes if a kept one before it is linked with it.
+
+    pairs (a, b): b comes after a.  Rounds take the place of the walk: a marker with no
+    undecided one before it is kept, and takes those after it out.  All contigs move
+    at once, and every round is written to folder, so that the lineage stays short.
+    """
+    spark = markers.sparkSession
+    links, kept, n = pairs.select("a", "b").distinct(), None, 0
+    while True:
+        path = f"{folder}/links{n}"
+        links.write.mode("overwrite").parquet(path)
+        links = spark.read.schema(links.schema).parquet(path)
+        if links.isEmpty():
+            break
+        heads = links.select("a").distinct().join(links.select(F.col("b").alias("a")).distinct(), "a", "left_anti")
+        out = links.join(heads, "a", "left_semi").select("b").distinct()
+        out.write.mode("overwrite").parquet(f"{folder}/out{n}")
+        gone = spark.read.schema(out.schema).parquet(f"{folder}/out{n}")
+        kept = gone if kept is None else kept.unionByName(gone)
+        links = links.join(heads, "a", "left_anti").join(gone, "b", "left_anti").join(gone.select(F.col("b").alias("a")), "a", "left_anti")
+        n += 1
+    return markers if kept is None else markers.join(kept.select(F.col("b").alias("marker")), "marker", "left_anti")

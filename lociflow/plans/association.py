@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.exprs import chrom_order, sex_code
-from ..operators import linear, markers, report, samples, segments
+from ..operators import linear, markers, report, samples, scans, segments
+from ..session import working_folder
 from ..sources import adapters as A
 
 FLAGS = ["call_rate_pass", "hwe_pass", "maf_pass"]
@@ -168,12 +169,45 @@ def qr_corrected(spark: SparkSession, d: str) -> DataFrame:
     return linear.residuals(rows, np.ascontiguousarray(v[:k].T)).select("marker", F.posexplode("x").alias("sample", "value"))
 
 
+def _phenotype(spark: SparkSession, d: str) -> tuple[np.ndarray, np.ndarray]:
+    """The label of each vector, and its place on a circle as two covariates; vec_id counts from 0."""
+    label = np.array([r["label"] for r in spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", "label").orderBy("vec_id").collect()], dtype=float)
+    angle = np.arange(len(label)) * 0.7
+    return label, np.column_stack([np.sin(angle), np.cos(angle)])
+
+
+def _scanned(df: DataFrame) -> DataFrame:
+    return df.select("marker", r6("beta"), r6("se"), r6("stat"), r6("p_value"), "n_samples")
+
+
+def ols_covariates(spark: SparkSession, d: str) -> DataFrame:
+    y, c = _phenotype(spark, d)
+    return _scanned(scans.ols_scan(linear.rows_of(A.intensity(spark, d), len(y)), y, c))
+
+
+def logistic_scan(spark: SparkSession, d: str) -> DataFrame:
+    y, c = _phenotype(spark, d)
+    return _scanned(scans.logistic_scan(linear.rows_of(A.intensity(spark, d), len(y)), (y >= 5).astype(float), c))
+
+
+def lmm_scan(spark: SparkSession, d: str) -> DataFrame:
+    y, c = _phenotype(spark, d)
+    k, m = linear.gram(linear.rows_of(A.dosage(spark, d), len(y)), len(y), "relationship", 0.05)
+    return _scanned(scans.lmm_scan(linear.rows_of(A.intensity(spark, d), len(y)), y, k / max(m, 1), c))
+
+
+def ld_prune(spark: SparkSession, d: str) -> DataFrame:
+    x = A.dosage(spark, d)
+    positions = x.select("marker").distinct().selectExpr("marker", "concat('chr', marker % 4 + 1) as chrom", "marker * 100000 + 1 as pos")
+    return markers.ld_pruned(positions, markers.ld_pairs(x, positions, 1_000_000, 0.001), working_folder(spark))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         threshold_segments, run_islands, viterbi_segments, marker_masks, region_anti_join, variant_qc_reasons, qc_provenance_join, extra_ids, every_nth, mean_impute, maf_filter, ld_pairs,
         sample_metrics, sample_exclusion, exclusion_counts, audit_summary, phenotype_summary, sex_decode, ols_closed_form, top_hits, lambda_gc_stat, mode_counts, gene_span_merge, nearest_gene,
-        genes_in_region, cumulative_positions, qq_ranks, grm, svd_singular_values, qr_corrected,
+        genes_in_region, cumulative_positions, qq_ranks, grm, svd_singular_values, qr_corrected, ols_covariates, logistic_scan, lmm_scan, ld_prune,
     )
 }
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -27,3 +28,9 @@ def importable(spark: SparkSession) -> None:
     paths = spark.sparkContext.environment.get("PYTHONPATH", "")
     if root not in paths.split(":"):
         spark.sparkContext.environment["PYTHONPATH"] = f"{root}:{paths}".rstrip(":")
+
+
+def working_folder(spark: SparkSession) -> str:
+    """A new folder name below the checkpoint folder that the session names; a local one only where it names none."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
+    return f"{base.rstrip('/')}/lociflow-{uuid.uuid4().hex}"
