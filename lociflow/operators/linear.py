@@ -6,35 +6,79 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+CELLS, BLOCK_CELLS = 1 << 20, 1 << 15
+BLOCKS = "i long, block binary, m long"
 
-def rows_of(lrr: DataFrame, n_samples: int) -> DataFrame:
-    """One array of n_samples values a marker, missing ones null."""
-    present = lrr.groupBy("marker").agg(F.map_from_entries(F.collect_list(F.struct("sample", "value"))).alias("m"))
-    return present.select("marker", F.transform(F.sequence(F.lit(0), F.lit(n_samples - 1)), lambda i: F.element_at("m", i.cast("long"))).alias("x"))
 
+def rows_of(lrr: DataFrame, n_samples: int) -> DataFrame:
+    """One array of n_samples values a marker, missing ones null.
 
-def _matrix(column: pd.Series) -> np.ndarray:
+    The values of a marker are put in their places in one pass, a bounded number of cells at a time.
+    """
+    found = lrr.groupBy("marker").agg(F.collect_list(F.struct(F.col("sample").cast("long").alias("sample"), F.col("value").cast("double").alias("value"))).alias("e"))
+    most = max(1, CELLS // max(1, n_samples))
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, most):
+                batch = whole.slice(at, most)
+                entries = batch.column(1)
+                row = np.repeat(np.arange(batch.num_rows), np.diff(entries.offsets.to_numpy()))
+                flat = entries.flatten()
+                sample = flat.field(0).fill_null(-1).to_numpy()
+                inside = (sample >= 0) & (sample < n_samples)
+                x = np.full((batch.num_rows, n_samples), np.nan)
+                x[row[inside], sample[inside]] = flat.field(1).to_numpy(zero_copy_only=False)[inside]
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * n_samples, pa.int32()), pa.array(x.ravel(), pa.float64(), mask=np.isnan(x.ravel())))
+                yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["marker", "x"])
+
+    return found.mapInArrow(placed, "marker long, x array<double>")
+
+
+def matrix(column: pd.Series) -> np.ndarray:
+    """A column of arrays as rows of a matrix, missing values NaN."""
     return np.array([np.array(v, dtype=float) for v in column]) if len(column) else np.zeros((0, 0))
 
 
-def gram(rows: DataFrame, n_samples: int, kind: str = "centred", least_maf: float = 0.01) -> tuple[np.ndarray, int]:
-    """Sum over markers of z z', and the number of markers.
+def _added(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The blocks of one number added up, one after another."""
+    total: dict[int, np.ndarray] = {}
+    count: dict[int, int] = {}
+    for pdf in batches:
+        for i, block, m in zip(pdf["i"], pdf["block"], pdf["m"], strict=True):
+            b = np.frombuffer(block)
+            total[i] = total[i] + b if i in total else b
+            count[i] = count.get(i, 0) + m
+    for i, b in total.items():
+        yield pd.DataFrame({"i": [i], "block": [b.tobytes()], "m": [count[i]]})
+
+
+def block_sums(parts: DataFrame) -> list[tuple[int, np.ndarray, int]]:
+    """(i, sum of the blocks, sum of m) for each i of BLOCKS rows."""
+    return [(r["i"], np.frombuffer(bytes(r["block"])), r["m"]) for r in parts.repartition("i").mapInPandas(_added, BLOCKS).collect()]
+
+
+def gram(rows: DataFrame, n_samples: int, kind: str = "centred", least_maf: float = 0.01, columns: np.ndarray | None = None) -> tuple[np.ndarray, int]:
+    """Sum over markers of z z', and the number of markers; of the samples numbered in columns, by default all.
 
     kind: "centred" (missing to the mean) or "relationship" (allele dosage, standardised by
     frequency, markers under least_maf left out).  Every task adds up its own
-    n x n matrix; the partial sums meet row by row of the matrix.  n x n has to fit
+    n x n matrix and sends it on in blocks of whole rows, BLOCK_CELLS values each; the
+    blocks of all tasks are added up one after another.  n x n has to fit
     on the driver, which is the documented limit of the eigenvalue methods.
     """
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total, m = np.zeros((n_samples, n_samples)), 0
+        total, m = np.zeros((n, n)), 0
         for pdf in batches:
-            x = _matrix(pdf["x"])
+            x = matrix(pdf["x"])
             if not len(x):
                 continue
+            x = x if columns is None else x[:, columns]
             with np.errstate(invalid="ignore"):
                 mean = np.nan_to_num(np.nanmean(x, axis=1, keepdims=True))
             x = np.where(np.isnan(x), mean, x) - mean
@@ -45,22 +89,25 @@ def gram(rows: DataFrame, n_samples: int, kind: str = "centred", least_maf: floa
                 x = x / np.sqrt(2 * f * (1 - f))[:, None]
             total += x.T @ x
             m += len(x)
-        yield pd.DataFrame({"i": np.arange(n_samples), "row": list(total), "m": m})
-
-    parts = rows.select("x").mapInPandas(partial, "i int, row array<double>, m long")
-    long = parts.select("i", "m", F.posexplode("row").alias("j", "v")).groupBy("i", "j").agg(F.sum("v").alias("v"), F.sum("m").alias("m"))
-    out, markers = np.zeros((n_samples, n_samples)), 0
-    for r in long.groupBy("i").agg(F.array_sort(F.collect_list(F.struct("j", "v"))).alias("row"), F.first("m").alias("m")).collect():
-        out[r["i"]], markers = [x["v"] for x in r["row"]], r["m"]
+        if m:
+            starts = np.arange(0, n, high)
+            yield pd.DataFrame({"i": starts, "block": [total[i : i + high].tobytes() for i in starts], "m": m})
+
+    n = n_samples if columns is None else len(columns)
+    high = max(1, BLOCK_CELLS // max(1, n))
+    out, markers = np.zeros((n, n)), 0
+    for i, block, markers in block_sums(rows.select("x").mapInPandas(partial, BLOCKS)):  # noqa: B007
+        b = block.reshape(-1, n)
+        out[i : i + len(b)] = b
     return out, markers
 
 
-def singular_values(rows: DataFrame, n_samples: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The k largest singular values of the row-centred matrix and their right vectors (k x n)."""
-    g, _ = gram(rows, n_samples)
+def singular_values(rows: DataFrame, n_samples: int, k: int, columns: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, int]:
+    """The k largest singular values of the row-centred matrix, their right vectors (k x n) and the number of markers."""
+    g, m = gram(rows, n_samples, columns=columns)
     value, vector = np.linalg.eigh(g)
     order = np.argsort(-value)[:k]
-    return np.sqrt(np.maximum(value[order], 0)), vector[:, order].T
+    return np.sqrt(np.maximum(value[order], 0)), vector[:, order].T, m
 
 
 def select_k(singular: np.ndarray, n_markers: int, n_samples: int) -> int:
@@ -78,7 +125,7 @@ def residuals(rows: DataFrame, basis: np.ndarray) -> DataFrame:
 
     def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            x = _matrix(pdf["x"])
+            x = matrix(pdf["x"])
             out = x.copy()
             seen = ~np.isnan(x) if len(x) else np.zeros((0, 0), bool)
             whole = seen.all(axis=1) if len(x) else np.zeros(0, bool)

@@ -104,3 +104,15 @@ def ld_pruned(markers: DataFrame, pairs: DataFrame, folder: str) -> DataFrame:
         links = links.join(heads, "a", "left_anti").join(gone, "b", "left_anti").join(gone.select(F.col("b").alias("a")), "a", "left_anti")
         n += 1
     return markers if kept is None else markers.join(kept.select(F.col("b").alias("marker")), "marker", "left_anti")
+
+
+def chrx_qc(markers: DataFrame, qc: DataFrame) -> DataFrame:
+    """Markers of X with passes: their own flags where the QC has any, else the composite flag, else call rate and HWE; a marker without QC fails.
+
+    qc: variant_id, chrx_hwe_pass, chrx_call_rate_pass, qc_pass, call_rate_pass, hwe_pass.
+    """
+    own = F.col("chrx_hwe_pass").isNotNull() | F.col("chrx_call_rate_pass").isNotNull()
+    both = F.coalesce("chrx_hwe_pass", F.lit(True)) & F.coalesce("chrx_call_rate_pass", F.lit(True))
+    other = F.coalesce("qc_pass", F.coalesce("call_rate_pass", F.lit(False)) & F.coalesce("hwe_pass", F.lit(False)))
+    judged = qc.select("variant_id", F.when(own, both).otherwise(other).alias("passes"))
+    return markers.join(judged, "variant_id", "left").withColumn("passes", F.coalesce("passes", F.lit(False)))

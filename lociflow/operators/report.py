@@ -57,3 +57,17 @@ def qq_points(records: DataFrame) -> DataFrame:
     ok = records.where(tested(F.col("p"))).select("marker", "p")
     n = ok.count()
     return ranks(ok, [F.col("p"), F.col("marker")]).withColumn("expected", F.col("rank") / F.lit(n + 1))
+
+
+def genes_in_window(hits: DataFrame, genes: DataFrame, window: int = 500_000, most: int = 20) -> DataFrame:
+    """hit_id, genes (the nearest ones within window, ;-joined by distance and symbol) and n of them, at most so many a hit."""
+    gap = F.when(F.col("pos") < F.col("start"), F.col("start") - F.col("pos")).when(F.col("pos") > F.col("end"), F.col("pos") - F.col("end")).otherwise(0)
+    near = hits.join(genes, "chrom").withColumn("distance", gap).where(F.col("distance") <= window)
+    first = near.withColumn("k", F.row_number().over(Window.partitionBy("hit_id").orderBy("distance", "symbol"))).where(F.col("k") <= most)
+    listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "symbol"))), lambda x: x["symbol"]), ";")
+    return first.groupBy("hit_id").agg(listed.alias("genes"), F.count("*").alias("n"))
+
+
+def effect_summary(records: DataFrame) -> DataFrame:
+    """Least, largest and mean absolute slope."""
+    return records.agg(F.min("beta").alias("least"), F.max("beta").alias("most"), F.avg(F.abs("beta")).alias("mean_abs"))

@@ -157,14 +157,14 @@ def grm(spark: SparkSession, d: str) -> DataFrame:
 
 def svd_singular_values(spark: SparkSession, d: str) -> DataFrame:
     n = _n_samples(spark, d)
-    s, _ = linear.singular_values(linear.rows_of(A.intensity(spark, d), n), n, 10)
+    s, _, _ = linear.singular_values(linear.rows_of(A.intensity(spark, d), n), n, 10)
     return spark.createDataFrame([(i + 1, float(v)) for i, v in enumerate(s)], "pc int, singular_value double")
 
 
 def qr_corrected(spark: SparkSession, d: str) -> DataFrame:
     n = _n_samples(spark, d)
     rows = linear.rows_of(A.intensity(spark, d), n)
-    s, v = linear.singular_values(rows, n, 10)
+    s, v, _ = linear.singular_values(rows, n, 10)
     k = linear.select_k(s, A.N_DIMENSIONS, n)
     return linear.residuals(rows, np.ascontiguousarray(v[:k].T)).select("marker", F.posexplode("x").alias("sample", "value"))
 

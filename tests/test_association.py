@@ -44,7 +44,8 @@ def test_gram_matches_numpy(spark):
     x = rng.normal(size=(40, 6))
     df = spark.createDataFrame([(m, s, float(x[m, s])) for m in range(40) for s in range(6)], "marker long, sample long, value double")
     rows = linear.rows_of(df, 6)
-    s, _ = linear.singular_values(rows, 6, 3)
+    s, _, m = linear.singular_values(rows, 6, 3)
+    assert m == 40
     assert np.allclose(s, np.linalg.svd(x - x.mean(axis=1, keepdims=True), compute_uv=False)[:3])
     basis = rng.normal(size=(6, 2))
     got = {r["marker"]: np.array(r["x"]) for r in linear.residuals(rows, basis).collect()}
