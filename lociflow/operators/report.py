@@ -33,11 +33,39 @@ def gene_spans(transcripts: DataFrame) -> DataFrame:
     return transcripts.groupBy("chrom", "symbol").agg(F.min("start").alias("start"), F.max("end").alias("end"))
 
 
-def nearest_genes(hits: DataFrame, genes: DataFrame) -> DataFrame:
-    """The nearest gene of each hit (hit_id, chrom, pos): distance 0 inside, ties by start, end and symbol."""
-    near = hits.join(genes, "chrom", "left")
-    gap = F.when(F.col("pos") < F.col("start"), F.col("start") - F.col("pos")).when(F.col("pos") > F.col("end"), F.col("pos") - F.col("end")).otherwise(0)
-    best = near.groupBy("hit_id").agg(F.min(F.when(F.col("symbol").isNotNull(), F.struct(gap.alias("distance"), "start", "end", "symbol"))).alias("g"))
+def _distance() -> F.Column:
+    return F.when(F.col("pos") < F.col("start"), F.col("start") - F.col("pos")).when(F.col("pos") > F.col("end"), F.col("pos") - F.col("end")).otherwise(0)
+
+
+def _places(hits: DataFrame) -> DataFrame:
+    return hits.where("chrom is not null and pos is not null").select("chrom", "pos").distinct()
+
+
+def nearest_genes(hits: DataFrame, genes: DataFrame, width: int = 10_000) -> DataFrame:
+    """The nearest gene of each hit (hit_id, chrom, pos): distance 0 inside, ties by start, end and symbol; -1 where there is none.
+
+    Of the genes that end at or after a place, the one of smallest start is the nearest, and of the others the
+    one of largest end.  Both are running minima along the contig: over the places and gene ends of a bin of so
+    many bases, and over the bins, one row each.  Genes without a bound or a symbol are left out.
+    """
+    known = genes.where("start is not null and `end` is not null and symbol is not null")
+    ends = known.select("chrom", F.greatest(F.col("end"), F.col("start") - 1).alias("pos"), F.struct("start", "end", "symbol").alias("ahead"), F.struct((-F.col("end")).alias("back"), "start", "symbol").alias("behind"))
+    ends = ends.groupBy("chrom", "pos").agg(F.min("ahead").alias("ahead"), F.min("behind").alias("behind"))
+    every = ends.unionByName(_places(hits).withColumn("asked", F.lit(True)), allowMissingColumns=True).withColumn("bin", F.floor(F.col("pos") / width))
+
+    def before(order, *key: str):
+        return Window.partitionBy(*key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+
+    bins = every.groupBy("chrom", "bin").agg(F.min("ahead").alias("a"), F.min("behind").alias("b"))
+    bins = bins.select("chrom", "bin", F.min("a").over(before(F.col("bin").desc(), "chrom")).alias("ahead_of_bin"), F.min("b").over(before(F.col("bin"), "chrom")).alias("behind_bin"))
+    up, down = Window.partitionBy("chrom", "bin").orderBy("pos"), Window.partitionBy("chrom", "bin").orderBy(F.col("pos").desc())
+    near = every.withColumn("behind", F.min("behind").over(up.rangeBetween(Window.unboundedPreceding, -1))).withColumn("ahead", F.min("ahead").over(down.rangeBetween(Window.unboundedPreceding, 0)))
+    near = near.where("asked").join(bins, ["chrom", "bin"])
+    near = near.select("chrom", "pos", F.least("ahead", "ahead_of_bin").alias("ahead"), F.least("behind", "behind_bin").alias("behind"))
+    right = F.when(F.col("ahead").isNotNull(), F.struct(F.greatest(F.col("ahead.start") - F.col("pos"), F.lit(0)).cast("long").alias("distance"), F.col("ahead.start").alias("start"), F.col("ahead.end").alias("end"), F.col("ahead.symbol").alias("symbol")))
+    left = F.when(F.col("behind").isNotNull(), F.struct((F.col("pos") + F.col("behind.back")).cast("long").alias("distance"), F.col("behind.start").alias("start"), (-F.col("behind.back")).alias("end"), F.col("behind.symbol").alias("symbol")))
+    found = near.select("chrom", "pos", F.least(left, right).alias("g"))
+    best = hits.join(found, ["chrom", "pos"], "left").groupBy("hit_id").agg(F.min("g").alias("g"))
     return best.select("hit_id", F.col("g.symbol").alias("gene"), F.coalesce("g.distance", F.lit(-1)).cast("long").alias("distance"))
 
 
@@ -60,12 +88,18 @@ def qq_points(records: DataFrame) -> DataFrame:
 
 
 def genes_in_window(hits: DataFrame, genes: DataFrame, window: int = 500_000, most: int = 20) -> DataFrame:
-    """hit_id, genes (the nearest ones within window, ;-joined by distance and symbol) and n of them, at most so many a hit."""
-    gap = F.when(F.col("pos") < F.col("start"), F.col("start") - F.col("pos")).when(F.col("pos") > F.col("end"), F.col("pos") - F.col("end")).otherwise(0)
-    near = hits.join(genes, "chrom").withColumn("distance", gap).where(F.col("distance") <= window)
-    first = near.withColumn("k", F.row_number().over(Window.partitionBy("hit_id").orderBy("distance", "symbol"))).where(F.col("k") <= most)
-    listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "symbol"))), lambda x: x["symbol"]), ";")
-    return first.groupBy("hit_id").agg(listed.alias("genes"), F.count("*").alias("n"))
+    """hit_id, genes (the nearest ones within window, ;-joined by distance and symbol) and n of them, at most so many a hit.
+
+    An equi-join of the hits' distinct places with genes on bins of positions: a gene stands in every bin that its window reaches.
+    """
+    width = max(window, 10_000)
+    reach = F.sequence(F.floor((F.col("start") - window) / width), F.floor((F.col("end") + window) / width))
+    binned = genes.where("start <= `end`").select("chrom", "symbol", "start", "end", F.explode(reach).alias("bin"))
+    near = _places(hits).withColumn("bin", F.floor(F.col("pos") / width)).join(binned, ["chrom", "bin"]).withColumn("distance", _distance()).where(F.col("distance") <= window)
+    first = near.withColumn("k", F.row_number().over(Window.partitionBy("chrom", "pos").orderBy("distance", "symbol"))).where(F.col("k") <= most)
+    listed = first.groupBy("chrom", "pos").agg(F.collect_list(F.struct("distance", "symbol")).alias("g"))
+    nearest = F.slice(F.array_sort(F.flatten(F.collect_list("g"))), 1, most)
+    return hits.join(listed, ["chrom", "pos"]).groupBy("hit_id").agg(nearest.alias("g")).select("hit_id", F.array_join(F.transform("g", lambda x: x["symbol"]), ";").alias("genes"), F.size("g").cast("long").alias("n"))
 
 
 def effect_summary(records: DataFrame) -> DataFrame:

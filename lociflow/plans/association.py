@@ -119,6 +119,10 @@ def top_hits(spark: SparkSession, d: str) -> DataFrame:
     return report.top_hits(_records(spark, d).where("ord % 40 < 20"), 25).select("marker", "chrom", "pos", "p", "beta")
 
 
+def top_hits_all(spark: SparkSession, d: str) -> DataFrame:
+    return report.top_hits(_records(spark, d), 25).select("marker", "chrom", "pos", "p", "beta")
+
+
 def lambda_gc_stat(spark: SparkSession, d: str) -> DataFrame:
     return report.lambda_gc(_records(spark, d)).select(r6("lambda_gc"), "n")
 
@@ -136,6 +140,11 @@ def nearest_gene(spark: SparkSession, d: str) -> DataFrame:
     return report.nearest_genes(hits, A.adapted(spark, d, A.TRANSCRIPTS))
 
 
+def nearest_gene_all(spark: SparkSession, d: str) -> DataFrame:
+    hits = A.adapted(spark, d, A.MARKERS).selectExpr("marker as hit_id", "chrom", "pos * 20 as pos")
+    return report.nearest_genes(hits, A.adapted(spark, d, A.TRANSCRIPTS))
+
+
 def genes_in_region(spark: SparkSession, d: str) -> DataFrame:
     return report.genes_in_region(A.adapted(spark, d, A.TRANSCRIPTS), "chr2", 10_000, 20_000)
 
@@ -206,7 +215,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         threshold_segments, run_islands, viterbi_segments, marker_masks, region_anti_join, variant_qc_reasons, qc_provenance_join, extra_ids, every_nth, mean_impute, maf_filter, ld_pairs,
-        sample_metrics, sample_exclusion, exclusion_counts, audit_summary, phenotype_summary, sex_decode, ols_closed_form, top_hits, lambda_gc_stat, mode_counts, gene_span_merge, nearest_gene,
+        sample_metrics, sample_exclusion, exclusion_counts, audit_summary, phenotype_summary, sex_decode, ols_closed_form, top_hits, top_hits_all, lambda_gc_stat, mode_counts, gene_span_merge, nearest_gene, nearest_gene_all,
         genes_in_region, cumulative_positions, qq_ranks, grm, svd_singular_values, qr_corrected, ols_covariates, logistic_scan, lmm_scan, ld_prune,
     )
 }

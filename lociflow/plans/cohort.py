@@ -46,6 +46,11 @@ def genes_in_window(spark: SparkSession, d: str) -> DataFrame:
     return report.genes_in_window(hits, A.adapted(spark, d, A.TRANSCRIPTS), 2_000)
 
 
+def genes_in_window_all(spark: SparkSession, d: str) -> DataFrame:
+    hits = A.adapted(spark, d, A.MARKERS).selectExpr("marker as hit_id", "chrom", "pos * 20 as pos")
+    return report.genes_in_window(hits, A.adapted(spark, d, A.TRANSCRIPTS), 2_000)
+
+
 def x_grm(spark: SparkSession, d: str) -> DataFrame:
     """Dimensions as markers of X a million bases apart; even samples are males with one copy."""
     n, x = _n_samples(spark, d), A.dosage(spark, d)
@@ -65,7 +70,7 @@ def low_rank_corrected(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (gap_merge, autosome_filter, variant_qc_chrx, align_samples, effect_summary, genes_in_window, x_grm, low_rank_corrected)
+    f.__name__: f for f in (gap_merge, autosome_filter, variant_qc_chrx, align_samples, effect_summary, genes_in_window, genes_in_window_all, x_grm, low_rank_corrected)
 }
 
 ORACLE_SQL: dict[str, str] = {
