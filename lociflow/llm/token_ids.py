@@ -194,7 +194,8 @@ class Encoder:
     follows a character other than white space, so the chunks between such spaces,
     and within them the pattern's pre-tokens, are encoded apart, each once as long
     as the table holds it.  A text with any other white space before a space goes
-    through the library whole, and so does every text for another kind of file.
+    through the library whole, and so does one that contains an added token, which
+    has an id of its own, and every text for another kind of file.
     """
 
     def __init__(self, path: str):
@@ -205,11 +206,12 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.vocabulary = self.tokenizer.get_vocab_size()
         parts = json.loads(self.tokenizer.to_str())
         splits = parts["pre_tokenizer"] or {}
         self.by_chunk = parts["model"]["type"] == "BPE" and parts["normalizer"] is None and splits.get("type") == "ByteLevel" and not splits.get("add_prefix_space") and splits.get("use_regex", True)
+        added = sorted((t["content"] for t in parts["added_tokens"] if t["content"]), key=len, reverse=True)
+        self.added = regex.compile("|".join(map(regex.escape, added))) if added else None
         self.chunks = _Chunks(_Pieces(self.tokenizer.model), regex.compile(PATTERN))
 
     @classmethod
@@ -226,7 +228,7 @@ class Encoder:
         if not text:
             return np.zeros(0, "<u4")
         first, *chunks = text.split(" ")
-        if not self.by_chunk or not first or first[-1].isspace():
+        if not self.by_chunk or not first or first[-1].isspace() or self.added and self.added.search(text):
             return self._whole(text)
         try:
             return np.frombuffer(self.chunks.encoded(first) + b"".join(map(self.chunks.__getitem__, chunks)), "<u4")
