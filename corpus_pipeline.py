@@ -3,10 +3,11 @@
     toxicity        documents scored 0.5 or more go
     ngram_join      of each group of near copies the document with the smallest id stays
     decontaminate   documents that contain a benchmark item go
-    mix             sources are mixed to target weights; a document comes once each time it is taken
+    mix             sources are mixed to target weights; a whole document comes once each time it is taken
     token_ids       the mix is written as bit-packed token shards; the result is their digest
 
-Null and empty texts pass every filter.  Rows that repeat a doc_id stay together.
+Null and empty texts pass every filter, but the mix takes none of them: their
+size is 0 words, and so is that of a text of nothing but white space.  Rows that repeat a doc_id stay together.
 """
 
 from __future__ import annotations

@@ -6,8 +6,10 @@ cannot take is shared again by weight (a water level, found from running sums).
 
 A source's documents are dealt by hash into blocks of about ``block_words``
 words.  Each pass over a source orders its blocks by hash and takes whole blocks
-up to the target; the block at the border gives documents, and the last document
-words, so that the source's taken words equal its target rounded to a word.
+up to the target; the block at the border gives documents.  With whole documents,
+as in op2 and the pipeline, the document at the border is taken whole or not at
+all, whichever leaves the source nearer to its target; without, it counts with so
+many words that the source's taken words equal its target rounded to a word.
 
 The taken blocks go to output shards by a splitting tree: a node holds how many
 blocks of each source lie below it, and its left half is a multivariate
@@ -138,12 +140,12 @@ def shard_quotas(quotas: DataFrame, levels: int, seed: int) -> DataFrame:
     return leaf.withColumn("first", F.coalesce(F.sum("quota").over(before), F.lit(0)))
 
 
-def mix(docs: DataFrame, seed: int = 17, share: float = 1.5, most: int = 2, weights: tuple[int, ...] = WEIGHTS, block_words: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS) -> DataFrame:
+def mix(docs: DataFrame, seed: int = 17, share: float = 1.5, most: int = 2, weights: tuple[int, ...] = WEIGHTS, block_words: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS, whole: bool = False) -> DataFrame:
     """Add size, source_size, target, taken and takes to docs (doc_id, source, text or size, ...).
 
     takes: an array of (pass, shard, words, order), one for each time that the
-    document goes into the mix; words is its size but for the one document that a
-    source's target cuts, of which the mix takes the first words.
+    document goes into the mix; words is its size but for the one document at the
+    border of a source's target, unless whole documents are asked for.
     docs is read more than once; give a stored table.
     """
     spark = docs.sparkSession
@@ -181,23 +183,20 @@ def mix(docs: DataFrame, seed: int = 17, share: float = 1.5, most: int = 2, weig
     d = dealt.withColumn("_start", F.coalesce(F.sum("size").over(inside), F.lit(0))).alias("d")
     b = per_block.alias("b")
     joined = d.join(b, F.col("d.source").eqNullSafe(F.col("b.source")) & (F.col("d._block") == F.col("b._block")), "left")
+    def words_of(x: Column) -> Column:
+        inside_take = F.least(F.greatest(x["take"] - F.col("d._start"), F.lit(0)), F.col("d.size"))
+        return F.when(2 * inside_take > F.col("d.size"), F.col("d.size")).otherwise(F.lit(0).cast("long")) if whole else inside_take
+
     cut = F.transform(
         F.coalesce(F.col("b._takes"), F.array().cast("array<struct<pass:int,shard:bigint,take:bigint>>")),
-        lambda x: F.struct(x["pass"].alias("pass"), x["shard"].alias("shard"), F.least(F.greatest(x["take"] - F.col("d._start"), F.lit(0)), F.col("d.size")).alias("words"), F.xxhash64(F.lit(seed + 4), x["pass"], F.col("d.doc_id")).alias("order")),
+        lambda x: F.struct(x["pass"].alias("pass"), x["shard"].alias("shard"), words_of(x).alias("words"), F.xxhash64(F.lit(seed + 4), x["pass"], F.col("d.doc_id")).alias("order")),
     )
     out = joined.select("d.*", F.array_sort(F.filter(cut, lambda x: x["words"] > 0)).alias("takes"))
     total = F.aggregate("takes", F.lit(0).cast("long"), lambda a, x: a + x["words"])
     return out.withColumn("taken", total).drop("_key", "_block", "_start", "goal")
 
 
-def first_words(text: Column, n: Column) -> Column:
-    """The first n words of text and what stands between them."""
-    pieces = F.regexp_extract_all(text, F.lit(r"([\x20\x09-\x0D]*[^\x20\x09-\x0D]+)"), F.lit(1))
-    return F.array_join(F.slice(pieces, F.lit(1), n.cast("int")), "")
-
-
 def mixed_rows(docs: DataFrame, **how) -> DataFrame:
-    """The mix itself: docs' columns, a row each time a document is taken, plus shard and order; text cut where the mix cuts it."""
-    rows = mix(docs, **how).withColumn("take", F.explode("takes"))
-    text = F.when(F.col("take.words") < F.col("size"), first_words(F.col("text"), F.col("take.words"))).otherwise(F.col("text"))
-    return rows.select(*[c for c in docs.columns if c != "text"], text.alias("text"), F.col("take.shard").alias("shard"), F.col("take.order").alias("order"))
+    """The mix itself, of whole documents: docs' columns, a row each time a document is taken, plus shard and order."""
+    rows = mix(docs, whole=True, **how).withColumn("take", F.explode("takes"))
+    return rows.select(*docs.columns, F.col("take.shard").alias("shard"), F.col("take.order").alias("order"))

@@ -20,7 +20,7 @@ def op1_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", mixing.word_count(F.col("text")).alias("size"))
-    return mixing.mix(saved(docs, shared_dir(spark))).select("doc_id", "size", "source_size", "target", "taken", "source", "takes")
+    return mixing.mix(saved(docs, shared_dir(spark)), whole=True).select("doc_id", "size", "source_size", "target", "taken", "source", "takes")
 
 
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
