@@ -39,31 +39,77 @@ def threshold_segments(records: DataFrame, p_threshold: float = 5e-8, most_gap:
     return merged(runs(records, F.col("p") <= p_threshold), most_gap, least_markers)
 
 
-def viterbi_states(records: DataFrame, null_rate: float = float(np.log(10)), signal_rate: float = 0.1, prior: float = 1e-3, switch: float = 1e-4) -> DataFrame:
+def viterbi_states(records: DataFrame, null_rate: float = float(np.log(10)), signal_rate: float = 0.1, prior: float = 1e-3, switch: float = 1e-4, width: int = 50_000) -> DataFrame:
     """Most likely path of a two-state chain with exponential emissions of -log10 p, contig by contig; ties go to state 0.
 
-    A contig's path is one ordered recurrence; an array's contig is some 10**5 records.
+    Only the lead d of state 1 over state 0 matters.  A step clips it to [-top, top] and adds the record's gain, and
+    steps in a row are again one clipped shift, so ranges of width values of ord are reduced each in a task of its
+    own, and a contig's few ranges are put in a row.  On the way back a record whose lead is above top is in state 1,
+    one at -top or below in state 0, and any other in the state of the next record.
     """
+    top = float(np.log(1 - switch) - np.log(switch))
+    start = float(np.log(prior) - np.log(1 - prior))
+
+    def gains(pdf: pd.DataFrame) -> list[float]:
+        return (np.log(signal_rate / null_rate) - (signal_rate - null_rate) * pdf["_x"].to_numpy()).tolist()
+
+    def leads(gain: list[float], at: float) -> np.ndarray:
+        """The lead after each record; at, the lead before, is clipped already."""
+        out = []
+        for g in gain:
+            at = g + at
+            out.append(at)
+            at = min(max(at, -top), top)
+        return np.array(out)
+
+    def reduced(pdf: pd.DataFrame) -> pd.DataFrame:
+        """The range as a lead's way through it: min(max(lead + shift, low), high)."""
+        gain = gains(pdf.sort_values("ord"))
+        low, high = leads(gain, -np.inf)[-1], leads(gain, np.inf)[-1]
+        return pdf[["chrom", "_range"]].head(1).assign(low=low, high=high, shift=float(np.sum(gain)))
+
+    def entered(pdf: pd.DataFrame) -> pd.DataFrame:
+        """The clipped lead before each range of a contig, and whether it is the contig's last."""
+        pdf, at, before = pdf.sort_values("_range"), start, []
+        for low, high, shift in zip(pdf["low"], pdf["high"], pdf["shift"], strict=True):
+            before.append(at)
+            at = min(max(min(max(at + shift, low), high), -top), top)
+        return pdf[["chrom", "_range"]].assign(_lead=before, _last=np.arange(len(pdf)) == len(pdf) - 1)
+
+    def settled(pdf: pd.DataFrame) -> pd.Series:
+        """The states that a record's own lead tells, else missing; pdf in order."""
+        lead = leads(gains(pdf), pdf["_lead"].iloc[0])
+        own = np.where(lead > top, 1.0, np.where(lead <= -top, 0.0, np.nan))
+        if pdf["_last"].iloc[0]:
+            own[-1] = float(lead[-1] > 0)
+        return pd.Series(own, index=pdf.index)
+
+    def first_settled(pdf: pd.DataFrame) -> pd.DataFrame:
+        own = settled(pdf.sort_values("ord")).dropna()
+        return pdf[["chrom", "_range"]].head(1).assign(_first=own.iloc[0] if len(own) else None).astype({"_first": "float64"})
 
     def decode(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("ord")
-        x = pdf["_x"].to_numpy()
-        emit = np.stack([np.log(r) - r * x for r in (null_rate, signal_rate)], axis=1)
-        stay, move = np.log(1 - switch), np.log(switch)
-        best = np.log([1 - prior, prior]) + emit[0]
-        back = np.zeros((len(x), 2), np.int8)
-        for t in range(1, len(x)):
-            to0, to1 = (best[0] + stay, best[1] + move), (best[0] + move, best[1] + stay)
-            back[t] = int(to0[1] > to0[0]), int(to1[1] > to1[0])
-            best = np.array([to0[back[t, 0]], to1[back[t, 1]]]) + emit[t]
-        state = np.zeros(len(x), np.int64)
-        state[-1] = int(best[1] > best[0])
-        for t in range(len(x) - 1, 0, -1):
-            state[t - 1] = back[t, state[t]]
-        return pdf.drop(columns="_x").assign(state=state)
-
-    rows = records.withColumn("_x", minus_log10(F.col("p")))
-    return rows.groupBy("chrom").applyInPandas(decode, records.withColumn("state", F.lit(0).cast("long")).schema)
+        state = settled(pdf).bfill().fillna(pdf["_next"].iloc[0]).astype("int64")
+        return pdf.drop(columns=["_x", "_range", "_lead", "_last", "_next"]).assign(state=state)
+
+    def with_ranges(rows: DataFrame, ranges: DataFrame, *cols: str) -> DataFrame:
+        r, s = rows.alias("r"), ranges.alias("s")
+        same = F.col("r.chrom").eqNullSafe(F.col("s.chrom")) & F.col("r._range").eqNullSafe(F.col("s._range"))
+        return r.join(F.broadcast(s), same).select("r.*", *[f"s.{c}" for c in cols])
+
+    rows = records.withColumn("_x", minus_log10(F.col("p"))).withColumn("_range", F.floor(F.col("ord") / width).cast("long"))
+    thin, of_range = rows.select("chrom", "_range", "ord", "_x"), records.select("chrom").withColumn("_range", F.lit(0).cast("long"))
+    ways = thin.groupBy("chrom", "_range").applyInPandas(reduced, of_range.selectExpr("*", "cast(null as double) low", "cast(null as double) high", "cast(null as double) shift").schema)
+    before = ways.groupBy("chrom").applyInPandas(entered, of_range.selectExpr("*", "cast(null as double) _lead", "cast(null as boolean) _last").schema)
+    firsts = with_ranges(thin, before, "_lead", "_last").groupBy("chrom", "_range").applyInPandas(first_settled, of_range.selectExpr("*", "cast(null as double) _first").schema)
+    firsts = firsts.where("_first is not null and not isnan(_first)")
+    after = Window.partitionBy("chrom").orderBy(F.col("_range").asc_nulls_last()).rowsBetween(1, Window.unboundedFollowing)
+    told = firsts.toDF("_c", "_r", "_first")
+    marked = before.join(told, F.col("chrom").eqNullSafe(F.col("_c")) & F.col("_range").eqNullSafe(F.col("_r")), "left")
+    ranges = marked.select("chrom", "_range", "_lead", "_last", F.first("_first", ignorenulls=True).over(after).alias("_next"))
+    out = records.withColumn("state", F.lit(0).cast("long")).schema
+    return with_ranges(rows, ranges, "_lead", "_last", "_next").groupBy("chrom", "_range").applyInPandas(decode, out)
 
 
 def hmm_segments(records: DataFrame, least_markers: int = 1) -> DataFrame:

@@ -4,9 +4,10 @@ import random
 from pathlib import Path
 
 import duckdb
+import numpy as np
 from test_association import DATA, plain
 
-from lociflow.operators import report
+from lociflow.operators import report, segments
 from lociflow.plans import association, cohort
 
 
@@ -56,3 +57,30 @@ def test_queries_take_every_marker(spark):
     records = con.sql(association._sql("SELECT p, chrom, pos, marker, beta FROM <RECORDS> r WHERE p > 0 AND p <= 1")).fetchall()
     got = [tuple(plain(x) for x in (r["p"], r["chrom"], r["pos"], r["marker"], r["beta"])) for r in association.QUERIES["top_hits_all"](spark, DATA).collect()]
     assert got == [tuple(plain(x) for x in r) for r in sorted(records)[:25]]
+
+
+def path(p):
+    """The two-state path by one recurrence over all records of a contig."""
+    x, stay, move = -np.log10(p), np.log(1 - 1e-4), np.log(1e-4)
+    emit = np.stack([np.log(r) - r * x for r in (np.log(10), 0.1)], axis=1)
+    best, back = np.log([1 - 1e-3, 1e-3]) + emit[0], [(0, 0)]
+    for e in emit[1:]:
+        back.append((int(best[1] + move > best[0] + stay), int(best[1] + stay > best[0] + move)))
+        best = np.array([max(best[0] + stay, best[1] + move), max(best[0] + move, best[1] + stay)]) + e
+    out = [int(best[1] > best[0])]
+    for b in back[:0:-1]:
+        out.append(b[out[-1]])
+    return out[::-1]
+
+
+def test_two_state_path_in_ranges(spark):
+    rng = np.random.default_rng(8)
+    p = {c: 10.0 ** -rng.choice([0.1, 0.5, 1.2, 1.5, 2.0, 3.0, 9.0], n) ** rng.choice([0.3, 1.0, 1.4], n) for c, n in (("a", 2000), ("b", 701), (None, 40), ("c", 1))}
+    rows = [(c, i, i, float(v), 0.0, 0.0) for c, x in p.items() for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "chrom string, ord long, pos long, p double, beta double, stat double").cache()
+    want = {(c, i): s for c, x in p.items() for i, s in enumerate(path(x))}
+    assert 50 < sum(want.values()) < len(want) - 50
+    for width in (1, 7, 300, 50_000):
+        assert {(r["chrom"], r["ord"]): r["state"] for r in segments.viterbi_states(df, width=width).collect()} == want
+    plan = segments.viterbi_states(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapGroupsInPandas [chrom#" in plan and "_range#" in plan.split("FlatMapGroupsInPandas [chrom#")[1].split("]")[0]  # the decoding step
