@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from pathlib import Path
 
@@ -31,6 +32,14 @@ def importable(spark: SparkSession) -> None:
 
 
 def working_folder(spark: SparkSession) -> str:
-    """A new folder name below the checkpoint folder that the session names; a local one only where it names none."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
+    """A new folder name below the checkpoint folder that the session names.
+
+    Where it names none, a session on one machine takes a temporary folder; a
+    cluster has to name one, as its machines share no other.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = f"{tempfile.gettempdir()}/checkpoints"
     return f"{base.rstrip('/')}/lociflow-{uuid.uuid4().hex}"
