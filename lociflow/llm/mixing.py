@@ -10,17 +10,25 @@ up to the target; the block at the border gives documents.  With whole documents
 as in op2 and the pipeline, the document at the border is taken whole or not at
 all, whichever leaves the source nearer to its target; without, it counts with so
 many words that the source's taken words equal its target rounded to a word.
+Sums and ranks over a source's blocks are taken in two levels, ranges of the hash
+and blocks within a range, about the square root of their number in each, so that
+no task holds all blocks of a source.
 
 The taken blocks go to output shards by a splitting tree: a node holds how many
 blocks of each source lie below it, and its left half is a multivariate
 hypergeometric draw, source after source, by inverse distribution function from
-a hash of (seed, node, source).  A leaf's quotas are exact, and each shard draws
-its own run of the source's permuted blocks, so shards are disjoint.  Rows are
-put in hash order inside their shard.
+a hash of (seed, node, source).  Only values within ``DEVIATIONS`` standard
+deviations of the mean are gone through; the rest has less weight than doubles
+can add.  A leaf's quotas are exact, and each shard draws its own run of the
+source's permuted blocks, so shards are disjoint.  ``mixed_rows`` gathers each
+shard and puts its rows in hash order.
 
 Only DataFrame functions are used.  Null text has size 0; null source is a
 source, last in order; sizes of 0 take 0; repeated rows are mixed as separate
-rows; other columns pass through; an empty table gives an empty mix.
+rows, whose order is settled by size and text; other columns pass through, but
+for those of the names that ``mix`` adds; an empty table gives an empty mix.  One
+row of the tree holds a number for each source, and the sources are ranked in
+one task.
 """
 
 from __future__ import annotations
@@ -28,12 +36,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import saved, shared_dir
+from .shared import saved, shared_dir, spread, without
 
 WEIGHTS = (5, 2, 1)
 BLOCK_WORDS = 20_000
 SHARD_WORDS = 1_000_000
-MOST_LEVELS = 16
+DEVIATIONS = 12
+LEVELS_AT_ONCE = 6
+BROADCAST_SOURCES = 100_000
 
 
 def word_count(text: Column) -> Column:
@@ -73,10 +83,13 @@ def _hypergeometric(total: Column, good: Column, draws: Column, u: Column) -> Co
     """The u-quantile of the number of good ones in so many draws from total without replacement.
 
     The logs of the probabilities are built up from their ratios; a first pass over
-    the possible values sums them up, scaled by the largest, a second finds u.
+    the values near the mean sums them up, scaled by the largest, a second finds u.
     """
-    low = F.greatest(F.lit(0).cast("long"), draws - (total - good))
-    high = F.least(draws, good)
+    whole = F.greatest(total, F.lit(1)).cast("double")
+    mean = draws * good / whole
+    reach = DEVIATIONS * (F.sqrt(F.greatest(mean * (1 - good / whole) * (whole - draws) / whole, F.lit(0.0))) + 1)
+    low = F.greatest(F.lit(0).cast("long"), draws - (total - good), F.floor(mean - reach).cast("long"))
+    high = F.least(draws, good, F.ceil(mean + reach).cast("long"))
     zero = F.lit(0.0)
 
     def log_ratio(k: Column) -> Column:
@@ -116,14 +129,14 @@ def _drawing(seed: int, level: int):
     return draw
 
 
-def shard_quotas(quotas: DataFrame, levels: int, seed: int) -> DataFrame:
+def shard_quotas(quotas: DataFrame, levels: int, seed: int, folder: str) -> DataFrame:
     """(source, shard, first, quota): how many blocks of each source each of 2**levels shards gets.
 
-    quotas holds (source, n); the table has one row a source, so one row holds the
-    vector at the root.  Each level turns a node into its two halves; a node's
-    draws go through the sources in order, conditional on what is left to draw.
+    quotas holds (source, n), one row a source, so one row holds the vector at the
+    root.  Each level turns a node into its two halves; a node's draws go through
+    the sources in order, conditional on what is left to draw.
     """
-    root = quotas.where("n > 0").agg(F.array_sort(F.collect_list(F.struct(F.col("source").isNull().alias("last"), F.col("source").alias("source"), F.col("n").alias("n")))).alias("v"))
+    root = quotas.where("n > 0").agg(F.array_sort(F.collect_list(F.struct("source", "n"))).alias("v"))
     node = root.where(F.size("v") > 0).select(F.lit(0).cast("long").alias("node"), "v")
     for level in range(levels):
         total = F.aggregate("v", F.lit(0).cast("long"), lambda a, x: a + x["n"])
@@ -131,72 +144,123 @@ def shard_quotas(quotas: DataFrame, levels: int, seed: int) -> DataFrame:
 
         first = F.struct(total.alias("total"), half.alias("left"), F.array().cast("array<bigint>").alias("taken"))
         node = node.withColumn("taken", F.aggregate("v", first, _drawing(seed, level), lambda x: x["taken"]))
-        left = F.zip_with("v", "taken", lambda x, t: F.struct(x["last"].alias("last"), x["source"].alias("source"), t.alias("n")))
-        right = F.zip_with("v", "taken", lambda x, t: F.struct(x["last"].alias("last"), x["source"].alias("source"), (x["n"] - t).alias("n")))
+        left = F.zip_with("v", "taken", lambda x, t: F.struct(x["source"].alias("source"), t.alias("n")))
+        right = F.zip_with("v", "taken", lambda x, t: F.struct(x["source"].alias("source"), (x["n"] - t).alias("n")))
         halves = F.array(F.struct((F.col("node") * 2).alias("node"), left.alias("v")), F.struct((F.col("node") * 2 + 1).alias("node"), right.alias("v")))
         node = node.select(F.explode(halves).alias("h")).select("h.node", "h.v")
+        if level % LEVELS_AT_ONCE == LEVELS_AT_ONCE - 1:
+            node = saved(node.repartition(spread(node.sparkSession), "node"), f"{folder}/level{level}")
     leaf = node.select(F.col("node").alias("shard"), F.explode("v").alias("x")).select("shard", "x.source", F.col("x.n").alias("quota"))
-    before = Window.partitionBy("source").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    return leaf.withColumn("first", F.coalesce(F.sum("quota").over(before), F.lit(0)))
+    return _running(saved(leaf, f"{folder}/leaves"), ["source"], F.floor(F.sqrt("shard")).cast("long"), [F.col("shard")], "quota", "first")
 
 
-def mix(docs: DataFrame, seed: int = 17, share: float = 1.5, most: int = 2, weights: tuple[int, ...] = WEIGHTS, block_words: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS, whole: bool = False) -> DataFrame:
-    """Add size, source_size, target, taken and takes to docs (doc_id, source, text or size, ...).
+def _running(df: DataFrame, by: list[str], coarse: Column, order: list[Column], amount: str, name: str) -> DataFrame:
+    """df with the sum of amount over the rows before, by order within by.
+
+    coarse is a number that never falls in that order: sums of its values come
+    first, then those of the rows within a value, so that no task has all rows of
+    a group.  df is read twice.
+    """
+    df = df.withColumn("_coarse", coarse)
+    ranges = df.groupBy(*by, "_coarse").agg(F.sum(amount).alias("_sum"))
+    upper = Window.partitionBy(*by).orderBy("_coarse").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ranges.select(*by, "_coarse", F.coalesce(F.sum("_sum").over(upper), F.lit(0)).alias("_before"))
+    inner = Window.partitionBy(*by, "_coarse").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    inside = df.withColumn("_inside", F.coalesce(F.sum(amount).over(inner), F.lit(0)))
+    return inside.join(ranges, [*by, "_coarse"]).withColumn(name, F.col("_before") + F.col("_inside")).drop("_coarse", "_before", "_inside")
+
+
+ADDED = ("size", "source_size", "target", "taken", "takes")
+
+
+def mix(docs: DataFrame, **how) -> DataFrame:
+    """Add size, source_size, target, taken and takes to docs (doc_id, source, text, ...).
 
     takes: an array of (pass, shard, words, order), one for each time that the
     document goes into the mix; words is its size but for the one document at the
-    border of a source's target, unless whole documents are asked for.
-    docs is read more than once; give a stored table.
+    border of a source's target, unless whole documents are asked for.  how: the
+    parameters of ``_mixed``.  docs is read more than once; give a stored table.
     """
+    kept = [F.col("row").getField(c).alias(c) for c in without(docs, *ADDED).columns]
+    return _mixed(docs, **how).select(*kept, *ADDED)
+
+
+def _mixed(docs: DataFrame, seed: int = 17, share: float = 1.5, most: int = 2, weights: tuple[int, ...] = WEIGHTS, block_words: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS, whole: bool = False, size: str | None = None) -> DataFrame:
+    """row (a struct of docs' columns) and the columns that ``mix`` adds; size names a column that already has the word counts."""
     spark = docs.sparkSession
     folder = shared_dir(spark)
-    if "size" not in docs.columns:
-        docs = docs.withColumn("size", word_count(F.col("text")))
-    thin = docs.select("source", "size")
-    sources = saved(source_targets(thin.groupBy("source").agg(F.sum("size").alias("source_size")), share, most, weights), f"{folder}/sources")
-    by_source = sources.withColumn("n_blocks", F.greatest(F.lit(1), F.ceil(F.col("source_size") / block_words)).cast("long")).withColumn("goal", F.floor(F.col("target") + 0.5).cast("long"))
-    key = F.xxhash64(F.lit(seed), F.col("doc_id"))
-    same = lambda a, b: a["source"].eqNullSafe(b["source"])
-    dealt = docs.alias("d").join(F.broadcast(by_source.alias("s")) if sources.count() <= 100_000 else by_source.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source")))
-    dealt = dealt.select("d.*", "s.source_size", "s.target", "s.goal", key.alias("_key"), F.pmod(F.xxhash64(F.lit(seed + 1), F.col("d.doc_id")), F.col("s.n_blocks")).alias("_block"))
-
-    blocks = dealt.where("size > 0").groupBy("source", "_block").agg(F.sum("size").alias("words"), F.first("source_size").alias("source_size"), F.first("goal").alias("goal"))
-    blocks = blocks.withColumn("pass", F.explode(F.array([F.lit(i) for i in range(most)])))
-    permuted = Window.partitionBy("source", "pass").orderBy(F.xxhash64(F.lit(seed + 2), "pass", "source", "_block"), "_block")
+    keys = ["source_no", "block"]
+    counted = word_count(F.col("row.text")) if size is None else F.coalesce(F.col("row").getField(size).cast("long"), F.lit(0).cast("long"))
+    packed = docs.select(F.struct(*docs.columns).alias("row")).withColumns({"doc_id": F.col("row.doc_id"), "source": F.col("row.source")})
+    thin = packed.select("doc_id", "source", counted.alias("size"))
+    if size is None:
+        thin = saved(thin, f"{folder}/sizes")
+
+    totals = saved(thin.groupBy("source").agg(F.sum("size").alias("source_size")), f"{folder}/totals")
+    number = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())).cast("long")
+    n_blocks = F.greatest(F.lit(1), F.ceil(F.col("source_size") / block_words)).cast("long")
+    sources = source_targets(totals, share, most, weights).withColumns({"source_no": number, "n_blocks": n_blocks, "goal": F.floor(F.col("target") + 0.5).cast("long")})
+    sources = saved(sources.withColumnRenamed("source", "of_source"), f"{folder}/sources")
+    sent = F.broadcast if sources.count() <= BROADCAST_SOURCES else lambda df: df
+
+    def dealt(rows: DataFrame) -> DataFrame:
+        rows = rows.join(sent(sources), F.col("source").eqNullSafe(F.col("of_source")))
+        return rows.withColumn("block", F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id"), F.col("n_blocks")))
+
+    blocks = dealt(thin).where("size > 0").groupBy(*keys).agg(F.sum("size").alias("words"), *[F.first(c).alias(c) for c in ("source_size", "goal", "n_blocks")])
+    place = lambda salt: F.pmod(F.xxhash64(F.lit(seed + salt), "pass", *keys), F.lit(1 << 40))
+    coarse = lambda at: F.floor(F.col(at) * F.ceil(F.sqrt("n_blocks")) / F.lit(float(1 << 40))).cast("long")
+    blocks = blocks.withColumn("pass", F.explode(F.array([F.lit(i) for i in range(most)]))).withColumns({"at": place(2), "drawn": place(3)})
     amount = F.least(F.greatest(F.col("goal") - F.col("pass") * F.col("source_size"), F.lit(0)), F.col("source_size"))
-    start = F.coalesce(F.sum("words").over(permuted.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    taken = blocks.withColumn("take", F.least(F.greatest(amount - start, F.lit(0)), F.col("words"))).where("take > 0")
-    draw_order = Window.partitionBy("source").orderBy(F.xxhash64(F.lit(seed + 3), "pass", "source", "_block"), "pass", "_block")
-    taken = saved(taken.select("source", "_block", "pass", "words", "take", (F.row_number().over(draw_order) - 1).cast("long").alias("rank")), f"{folder}/blocks")
+    taken = _running(saved(blocks, f"{folder}/passes"), ["source_no", "pass"], coarse("at"), [F.col("at"), F.col("block")], "words", "start")
+    taken = taken.withColumn("take", F.least(F.greatest(amount - F.col("start"), F.lit(0)), F.col("words"))).where("take > 0")
+    taken = saved(taken.select(*keys, "pass", "words", "take", "drawn", "n_blocks", F.lit(1).cast("long").alias("one")), f"{folder}/taken")
+    ranked = _running(taken, ["source_no"], coarse("drawn"), [F.col("drawn"), F.col("pass"), F.col("block")], "one", "rank")
+    ranked = saved(ranked.select(*keys, "pass", "words", "take", "rank"), f"{folder}/ranked")
 
     words = sources.agg(F.coalesce(F.sum("target"), F.lit(0.0))).first()[0]
     levels = 0
-    while levels < MOST_LEVELS and shard_words << levels < words:
+    while shard_words << levels < words:
         levels += 1
-    quotas = saved(shard_quotas(taken.groupBy("source").agg(F.count("*").alias("n")), levels, seed), f"{folder}/quotas")
-    ranks = quotas.where("quota > 0").select("source", "shard", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("quota") - 1)).alias("rank"))
-    t, r = taken.alias("t"), ranks.alias("r")
-    placed = t.join(r, F.col("t.source").eqNullSafe(F.col("r.source")) & (F.col("t.rank") == F.col("r.rank")))
-    per_block = placed.groupBy("t.source", "t._block").agg(F.collect_list(F.struct("pass", "shard", "take")).alias("_takes"))
-
-    inside = Window.partitionBy("source", "_block").orderBy("_key", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    d = dealt.withColumn("_start", F.coalesce(F.sum("size").over(inside), F.lit(0))).alias("d")
-    b = per_block.alias("b")
-    joined = d.join(b, F.col("d.source").eqNullSafe(F.col("b.source")) & (F.col("d._block") == F.col("b._block")), "left")
-    def words_of(x: Column) -> Column:
-        inside_take = F.least(F.greatest(x["take"] - F.col("d._start"), F.lit(0)), F.col("d.size"))
-        return F.when(2 * inside_take > F.col("d.size"), F.col("d.size")).otherwise(F.lit(0).cast("long")) if whole else inside_take
-
-    cut = F.transform(
-        F.coalesce(F.col("b._takes"), F.array().cast("array<struct<pass:int,shard:bigint,take:bigint>>")),
-        lambda x: F.struct(x["pass"].alias("pass"), x["shard"].alias("shard"), words_of(x).alias("words"), F.xxhash64(F.lit(seed + 4), x["pass"], F.col("d.doc_id")).alias("order")),
-    )
-    out = joined.select("d.*", F.array_sort(F.filter(cut, lambda x: x["words"] > 0)).alias("takes"))
-    total = F.aggregate("takes", F.lit(0).cast("long"), lambda a, x: a + x["words"])
-    return out.withColumn("taken", total).drop("_key", "_block", "_start", "goal")
+    quotas = shard_quotas(ranked.groupBy(F.col("source_no").alias("source")).agg(F.count("*").alias("n")), levels, seed, folder).where("quota > 0")
+    ranks = quotas.select(F.col("source").alias("source_no"), "shard", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("quota") - 1)).alias("rank"))
+    placed = ranked.join(ranks, ["source_no", "rank"])
+    placed = placed.groupBy(*keys).agg(F.collect_list(F.struct("pass", "shard", "take")).alias("draws"), F.max(F.col("take") < F.col("words")).alias("border"))
+    placed = saved(placed, f"{folder}/placed")
+
+    def takes(words_of) -> Column:
+        """The draws of a document's block as its own takes, those of no words left out."""
+        own = F.transform("draws", lambda x: F.struct(x["pass"].alias("pass"), x["shard"].alias("shard"), words_of(x).alias("words"), F.xxhash64(F.lit(seed + 4), x["pass"], F.col("doc_id")).alias("order")))
+        none = F.array().cast("array<struct<pass:int,shard:bigint,words:bigint,order:bigint>>")
+        return F.array_sort(F.filter(F.coalesce(own, none), lambda x: x["words"] > 0))
+
+    # at most one block a source and pass is cut by the target; only its documents need their place in it
+    cut = placed.where("border").select(*keys, F.col("draws").alias("cut"))
+    rows = dealt(packed).join(sent(cut), keys, "left")
+    whole_blocks = rows.where("cut is null").join(placed.where("not border").select(*keys, "draws"), keys, "left").withColumn("size", counted)
+    whole_blocks = whole_blocks.withColumn("takes", takes(lambda x: F.col("size")))
+    tie = F.xxhash64(F.lit(seed + 5), F.col("row.text")) if "text" in docs.columns else F.lit(0)
+    border = rows.where("cut is not null").withColumnRenamed("cut", "draws").withColumn("size", counted)
+    inside = Window.partitionBy(*keys).orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id", "size", tie).rowsBetween(Window.unboundedPreceding, -1)
+    border = border.withColumn("start", F.coalesce(F.sum("size").over(inside), F.lit(0)))
+
+    def cut_words(x: Column) -> Column:
+        part = F.least(F.greatest(x["take"] - F.col("start"), F.lit(0)), F.col("size"))
+        return F.when(2 * part > F.col("size"), F.col("size")).otherwise(F.lit(0).cast("long")) if whole else part
+
+    border = border.withColumn("takes", takes(cut_words))
+    columns = ["row", "size", "source_size", "target", "takes"]
+    out = whole_blocks.select(columns).unionByName(border.select(columns))
+    return out.withColumn("taken", F.aggregate("takes", F.lit(0).cast("long"), lambda a, x: a + x["words"]))
 
 
 def mixed_rows(docs: DataFrame, **how) -> DataFrame:
-    """The mix itself, of whole documents: docs' columns, a row each time a document is taken, plus shard and order."""
-    rows = mix(docs, whole=True, **how).withColumn("take", F.explode("takes"))
-    return rows.select(*docs.columns, F.col("take.shard").alias("shard"), F.col("take.order").alias("order"))
+    """The mix itself, of whole documents: docs' columns, a row each time a document is taken, plus shard and order.
+
+    Every shard is whole in one partition, its rows in hash order: written as
+    they are, the files are the shards one after another, shuffled locally.
+    """
+    kept = [F.col("row").getField(c).alias(c) for c in without(docs, "shard", "order").columns]
+    rows = _mixed(docs, whole=True, **how).select("row", F.explode("takes").alias("take"))
+    rows = rows.select(*kept, F.col("take.shard").alias("shard"), F.col("take.order").alias("order"))
+    return rows.repartition(spread(docs.sparkSession), "shard").sortWithinPartitions("shard", "order", "doc_id", *(["text"] if "text" in docs.columns else []))

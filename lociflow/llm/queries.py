@@ -20,7 +20,7 @@ def op1_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", mixing.word_count(F.col("text")).alias("size"))
-    return mixing.mix(saved(docs, shared_dir(spark)), whole=True).select("doc_id", "size", "source_size", "target", "taken", "source", "takes")
+    return mixing.mix(saved(docs, shared_dir(spark)), whole=True, size="size").select("doc_id", "size", "source_size", "target", "taken", "source", "takes")
 
 
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,10 +28,14 @@ def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, held_out (crc32 of the id modulo 5 is 0), expected_grade, top_tail, keep."""
+    """doc_id, held_out (crc32 of the id modulo 5 is 0), expected_grade, tail, top_tail, keep.
+
+    Ratings have three grades: 0 for bad quality, 1 for good quality with toxic
+    words, 2 for good quality without; grade 1 or more is kept.
+    """
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    model = quality.trained(docs, labels.where(fold("doc_id", 5) != 0).select("doc_id", F.col("quality").alias("rating")))
-    return quality.graded(docs.select("doc_id", "text"), model).select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "expected_grade", "top_tail", "keep")
+    model = quality.trained(docs, labels.where(fold("doc_id", 5) != 0).select("doc_id", (F.col("quality") * (2 - F.col("toxic"))).alias("rating")))
+    return quality.graded(docs.select("doc_id", "text"), model, 1).select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "expected_grade", "tail", "top_tail", "keep")
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
