@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .linear import BLOCKS, block_sums, gram, matrix, residuals, rows_of, select_k, singular_values
+from .linear import BLOCKS, block_sums, gram, matrix, residuals, rows_of, select_k, singular_values, sliced
 from .markers import outside_regions
 
 # fixed values: how near to one copy a male call is, and the largest that one copy can be
@@ -35,10 +35,8 @@ def projected(rows: DataFrame, known: np.ndarray, singular: np.ndarray, vectors:
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total, m = np.zeros((k, n)), 0
-        for pdf in batches:
+        for pdf in sliced(batches, len(known)):
             x = matrix(pdf["x"])
-            if not len(x):
-                continue
             seen = np.isfinite(x)
             count = np.maximum(seen[:, known].sum(axis=1, keepdims=True), 1)
             x = np.where(seen, x - np.where(seen, x, 0)[:, known].sum(axis=1, keepdims=True) / count, 0)

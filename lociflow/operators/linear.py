@@ -74,10 +74,8 @@ def gram(rows: DataFrame, n_samples: int, kind: str = "centred", least_maf: floa
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total, m = np.zeros((n, n)), 0
-        for pdf in batches:
+        for pdf in sliced(batches, n_samples):
             x = matrix(pdf["x"])
-            if not len(x):
-                continue
             x = x if columns is None else x[:, columns]
             with np.errstate(invalid="ignore"):
                 mean = np.nan_to_num(np.nanmean(x, axis=1, keepdims=True))
@@ -117,6 +115,26 @@ def select_k(singular: np.ndarray, n_markers: int, n_samples: int) -> int:
     return max(1, int((eigen / n_samples > noise * (1 + np.sqrt(n_markers / n_samples)) ** 2).sum()))
 
 
+def sliced(batches: Iterator[pd.DataFrame], cells: int) -> Iterator[pd.DataFrame]:
+    """Pieces of batches whose rows take at most CELLS values, cells of them a row; empty ones are left out."""
+    most = max(1, CELLS // max(1, cells))
+    for pdf in batches:
+        for at in range(0, len(pdf), most):
+            yield pdf.iloc[at : at + most]
+
+
+def partial_fits(seen: np.ndarray, values: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Least-squares coefficients on the columns of q of every row of values, each over the samples where it is seen.
+
+    The normal equations of all rows are one product with the columns' products,
+    so rows with other missing samples cost no more than those with the same.  q is
+    orthonormal over all samples, which keeps the equations well conditioned.
+    """
+    k = q.shape[1]
+    info = (seen @ (q[:, :, None] * q[:, None, :]).reshape(len(q), k * k)).reshape(-1, k, k)
+    return np.linalg.solve(info + 1e-12 * np.eye(k), (values @ q)[..., None])[..., 0]
+
+
 def residuals(rows: DataFrame, basis: np.ndarray) -> DataFrame:
     """Each marker minus its least-squares fit on basis (n x k); a marker with too few values stays as it is."""
     n, k = basis.shape
@@ -124,17 +142,13 @@ def residuals(rows: DataFrame, basis: np.ndarray) -> DataFrame:
     least = max(k + 1, int(np.ceil(0.5 * n)))
 
     def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        for pdf in sliced(batches, n + k * k):
             x = matrix(pdf["x"])
-            out = x.copy()
-            seen = ~np.isnan(x) if len(x) else np.zeros((0, 0), bool)
-            whole = seen.all(axis=1) if len(x) else np.zeros(0, bool)
-            out[whole] = x[whole] - (x[whole] @ q) @ q.T
-            for r in np.flatnonzero(~whole):
-                s = seen[r]
-                if s.sum() >= least:
-                    out[r, s] -= basis[s] @ np.linalg.lstsq(basis[s], x[r, s], rcond=None)[0]
-            yield pd.DataFrame({"marker": pdf["marker"], "x": list(out)})
+            seen = ~np.isnan(x)
+            values = np.where(seen, x, 0.0)
+            fitted = partial_fits(seen.astype(float), values, q) @ q.T
+            enough = seen.sum(axis=1) >= least
+            yield pd.DataFrame({"marker": pdf["marker"].to_numpy(), "x": list(np.where(enough[:, None], x - fitted, x))})
 
     return rows.select("marker", "x").mapInPandas(fit, "marker long, x array<double>")
 

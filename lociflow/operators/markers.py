@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.exprs import autosomal
+from ..session import working_folder
+from .linear import matrix
+
 
 def marker_stats(lrr: DataFrame, n_samples: int) -> DataFrame:
     """Call rate, mean, population variance, range and monomorphism of each marker."""
@@ -29,14 +35,36 @@ def outside_regions(markers: DataFrame, regions: DataFrame) -> DataFrame:
     return markers.join(regions, hit, "left_anti")
 
 
-def qc_reasons(markers: DataFrame, qc: DataFrame, flags: list[str]) -> DataFrame:
-    """Markers with the ;-joined names of the failed flags, or not_in_variant_qc."""
+def qc_reasons(markers: DataFrame, qc: DataFrame, flags: list[str], composite: str | None = None) -> DataFrame:
+    """Markers with the ;-joined names of the failed flags, or not_in_variant_qc.
+
+    composite names a flag that decides alone where the QC has it.
+    """
+    flags = [composite] if composite in qc.columns else flags
     known = qc.select("variant_id", *flags, F.lit(True).alias("_known"))
     failed = F.array_join(F.array_compact(F.array(*[F.when(~F.coalesce(F.col(f), F.lit(False)), F.lit(f)) for f in flags])), ";")
     out = markers.join(known, "variant_id", "left").withColumn("reasons", F.when(F.col("_known").isNull(), "not_in_variant_qc").otherwise(failed))
     return out.select(*markers.columns, "reasons", (F.col("reasons") == "").alias("passes"))
 
 
+def stage_masks(markers: DataFrame, stats: DataFrame, regions: DataFrame | None = None, least_call_rate: float = 0.95, least_variance: float = 0.001) -> DataFrame:
+    """Markers (marker, chrom, pos) with call_rate_ok, variance_ok, autosome_ok, region_ok and passes.
+
+    Each mask is judged on all markers, so that every filter can be reported on its own.
+    """
+    judged = markers.join(masked_markers(stats, least_call_rate, least_variance).select("marker", "call_rate_ok", "variance_ok"), "marker", "left")
+    inside = markers if regions is None else outside_regions(markers, regions)
+    judged = judged.join(inside.select("marker", F.lit(True).alias("region_ok")), "marker", "left")
+    flags = ("call_rate_ok", "variance_ok", "autosome_ok", "region_ok")
+    judged = judged.withColumn("autosome_ok", autosomal(F.col("chrom"))).withColumns({c: F.coalesce(F.col(c), F.lit(False)) for c in ("call_rate_ok", "variance_ok", "region_ok")})
+    return judged.select(*markers.columns, *flags, (F.col(flags[0]) & F.col(flags[1]) & F.col(flags[2]) & F.col(flags[3])).alias("passes"))
+
+
+def without_qc(markers: DataFrame) -> DataFrame:
+    """The result of qc_reasons where no QC table is given: every marker passes."""
+    return markers.withColumns({"reasons": F.lit(""), "passes": F.lit(True)})
+
+
 def every_nth(df: DataFrame, order: str, n_rows: int, target: int) -> DataFrame:
     """At most target rows at an even stride in order: ranks come from per-range counts, not from one ordered task."""
     step = max(1, n_rows // target)
@@ -44,15 +72,31 @@ def every_nth(df: DataFrame, order: str, n_rows: int, target: int) -> DataFrame:
     return ranked.where(((F.col("rank") - 1) % step == 0) & ((F.col("rank") - 1) / step < target)).drop("rank")
 
 
-def ranks(df: DataFrame, order: list, parts: int = 64) -> DataFrame:
-    """Add a global 1-based rank: rows are cut into ranges, ranked in each, and shifted by the counts before it."""
+def ranks(df: DataFrame, order: list, parts: int | None = None) -> DataFrame:
+    """Add a global 1-based rank: rows are cut into ranges, ranked in each, and shifted by the counts before it.
+
+    The cut is stored, so that the counts and the ranks come from the same ranges.
+    """
+    spark = df.sparkSession
+    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     cut = df.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id())
     cut = cut.withColumn("_in", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
+    path = working_folder(spark)
+    cut.write.parquet(path)
+    cut = spark.read.schema(cut.schema).parquet(path)
     before = cut.groupBy("_part").agg(F.count("*").alias("_n"))
     before = before.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
     return cut.join(F.broadcast(before), "_part").withColumn("rank", (F.col("_in") + F.col("_before")).cast("long")).drop("_part", "_in", "_before")
 
 
+def middle(df: DataFrame, value: Column) -> list[float]:
+    """The one or two middle values in order, from ranks; none of an empty table."""
+    known = df.select(value.alias("v")).where("v is not null and not isnan(v)")
+    n = known.count()
+    found = ranks(known, [F.col("v")]).where(F.col("rank").isin((n + 1) // 2, n // 2 + 1)).select("v").collect() if n else []
+    return sorted(r["v"] for r in found)
+
+
 def mean_imputed(lrr: DataFrame) -> DataFrame:
     """Missing values replaced by the marker's mean, or 0 where a marker has none."""
     means = lrr.groupBy("marker").agg(F.coalesce(F.avg("value"), F.lit(0.0)).alias("mean"))
@@ -66,19 +110,50 @@ def allele_frequencies(dosage: DataFrame, n_samples: int, least_maf: float = 0.0
     return f.where(F.col("maf") >= least_maf)
 
 
-def ld_pairs(dosage: DataFrame, positions: DataFrame, window: int = 1_000_000, least_r2: float = 0.2) -> DataFrame:
+TILE = 512
+
+
+def ld_pairs(rows: DataFrame, positions: DataFrame, n_samples: int, window: int = 1_000_000, least_r2: float = 0.2) -> DataFrame:
     """Pairs of markers of a contig within window base pairs whose squared correlation is above least_r2.
 
-    The range join is an equi-join on position bins: a marker asks in its own bin and the next.
+    rows: (marker, x), x an array of one dosage a sample.  Markers are put in bins of
+    window base pairs and, within a bin, in tiles of about TILE markers; every tile
+    meets the tiles of its own bin and of the next in a task of its own, as one matrix
+    product.  Each marker's array is sent once for each tile that it meets.
     """
-    left = positions.select("chrom", F.col("marker").alias("a"), F.col("pos").alias("pos_a"), F.explode(F.array(F.floor(F.col("pos") / window), F.floor(F.col("pos") / window) + 1)).alias("bin"))
-    right = positions.select("chrom", F.col("marker").alias("b"), F.col("pos").alias("pos_b"), F.floor(F.col("pos") / window).alias("bin"))
-    near = left.join(right, ["chrom", "bin"]).where("pos_b > pos_a and pos_b <= pos_a + %d" % window).select("a", "b")
-    stats = dosage.groupBy("marker").agg(F.avg("value").alias("mean"))
-    centred = dosage.join(stats, "marker").select("marker", "sample", F.coalesce(F.col("value") - F.col("mean"), F.lit(0.0)).alias("x"))
-    x, y = centred.toDF("a", "sample", "x"), centred.toDF("b", "sample", "y")
-    sums = near.join(x, "a").join(y, ["b", "sample"]).groupBy("a", "b").agg(F.sum(F.col("x") * F.col("y")).alias("xy"), F.sum(F.col("x") * F.col("x")).alias("xx"), F.sum(F.col("y") * F.col("y")).alias("yy"))
-    return sums.where("xx > 0 and yy > 0").withColumn("r2", F.col("xy") * F.col("xy") / (F.col("xx") * F.col("yy"))).where(F.col("r2") > least_r2).select("a", "b", "r2")
+    binned = positions.select("chrom", "marker", "pos", F.floor(F.col("pos") / window).alias("bin"))
+    tiles = binned.groupBy("chrom", "bin").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
+    placed = binned.join(tiles, ["chrom", "bin"]).withColumn("tile", F.pmod(F.xxhash64("marker"), F.col("tiles")).cast("int"))
+    nearby = lambda step, name: tiles.select("chrom", (F.col("bin") + step).alias("bin"), F.col("tiles").alias(name))
+    placed = placed.join(nearby(-1, "after"), ["chrom", "bin"], "left").join(nearby(1, "before"), ["chrom", "bin"], "left")
+    each = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    task = lambda side, a_bin, a, b_bin, b: F.struct(F.lit(side).alias("side"), a_bin.alias("a_bin"), a.alias("a_tile"), b_bin.alias("b_bin"), b.alias("b_tile"))
+    here, mine = F.col("bin"), F.col("tile")
+    tasks = F.concat(
+        F.transform(each(F.col("tiles")), lambda t: task(0, here, mine, here, t)),
+        F.transform(each(F.coalesce("after", F.lit(0))), lambda t: task(0, here, mine, here + 1, t)),
+        F.transform(each(F.col("tiles")), lambda t: task(1, here, t, here, mine)),
+        F.transform(each(F.coalesce("before", F.lit(0))), lambda t: task(1, here - 1, t, here, mine)),
+    )
+    dealt = placed.select("chrom", "marker", "pos", F.explode(tasks).alias("t")).select("chrom", "marker", "pos", "t.*").join(rows.select("marker", "x"), "marker")
+
+    def linked(pdf: pd.DataFrame) -> pd.DataFrame:
+        sides = [pdf[pdf["side"] == s] for s in (0, 1)]
+        x, y = (matrix(s["x"]) for s in sides)
+        if not len(x) or not len(y):
+            return pd.DataFrame({"a": [], "b": [], "r2": []}).astype({"a": "int64", "b": "int64"})
+        centred = []
+        for v in (x, y):
+            seen = np.isfinite(v)
+            mean = np.where(seen, v, 0).sum(axis=1) / np.maximum(seen.sum(axis=1), 1)
+            centred.append(np.where(seen, v - mean[:, None], 0.0))
+        (x, y), (pos_x, pos_y) = centred, (s["pos"].to_numpy() for s in sides)
+        both = (x * x).sum(axis=1)[:, None] * (y * y).sum(axis=1)[None, :]
+        r2 = np.divide((x @ y.T) ** 2, both, out=np.zeros_like(both), where=both > 0)
+        i, j = np.nonzero((pos_y[None, :] > pos_x[:, None]) & (pos_y[None, :] <= pos_x[:, None] + window) & (r2 > least_r2))
+        return pd.DataFrame({"a": sides[0]["marker"].to_numpy()[i], "b": sides[1]["marker"].to_numpy()[j], "r2": r2[i, j]})
+
+    return dealt.groupBy("chrom", "a_bin", "a_tile", "b_bin", "b_tile").applyInPandas(linked, "a long, b long, r2 double")
 
 
 def ld_pruned(markers: DataFrame, pairs: DataFrame, folder: str) -> DataFrame:

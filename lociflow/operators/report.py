@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import chrom_order, tested
-from .markers import ranks
+from .markers import middle, ranks
+from .scans import beta_quantile
 
 # fixed value: the median of the chi-squared distribution with one degree of freedom
 CHI2_MEDIAN = 0.4549364
@@ -19,7 +23,29 @@ def top_hits(records: DataFrame, n: int = 10) -> DataFrame:
 
 def lambda_gc(records: DataFrame) -> DataFrame:
     """Genomic inflation from the test statistics, and how many there are."""
-    return records.agg((F.median(F.col("stat") * F.col("stat")) / CHI2_MEDIAN).alias("lambda_gc"), F.count("stat").alias("n"))
+    square = F.col("stat") * F.col("stat")
+    m = middle(records, square)
+    return records.agg(F.lit(sum(m) / len(m) / CHI2_MEDIAN if m else None).cast("double").alias("lambda_gc"), F.count("stat").alias("n"))
+
+
+def chi2_upper(p: float) -> float:
+    """The value that chi-squared with one degree of freedom exceeds with probability p, by bisection on the complementary error function."""
+    low, high = 0.0, 60.0
+    for _ in range(200):
+        half = (low + high) / 2
+        low, high = (half, high) if math.erfc(half / math.sqrt(2)) > p else (low, half)
+    return low * low
+
+
+def lambda_gc_of_p(records: DataFrame) -> float:
+    """Genomic inflation from p-values: the median of their chi-squared values, NaN for fewer than two.
+
+    As chi-squared falls with p, only the middle one or two p-values are turned into it.
+    """
+    m = middle(records.where(tested(F.col("p"))), F.col("p"))
+    if records.where(tested(F.col("p"))).limit(2).count() < 2:
+        return math.nan
+    return sum(chi2_upper(p) for p in m) / len(m) / CHI2_MEDIAN
 
 
 def mode_counts(records: DataFrame) -> DataFrame:
@@ -87,6 +113,63 @@ def qq_points(records: DataFrame) -> DataFrame:
     return ranks(ok, [F.col("p"), F.col("marker")]).withColumn("expected", F.col("rank") / F.lit(n + 1))
 
 
+def kept_ranks(n: int, most: int = 8000, tail: int = 1000) -> list[int]:
+    """The ranks that a thinned QQ plot keeps of n: the smallest ones, and so many evenly spaced ones after them; at most ``most`` numbers."""
+    if n <= most:
+        return list(range(1, n + 1))
+    tail = min(tail, n)
+    return sorted({*range(1, tail + 1), *(np.linspace(tail, n - 1, most - tail, dtype=int) + 1).tolist()})
+
+
+def qq_thinned(records: DataFrame, most: int = 8000, tail: int = 1000) -> DataFrame:
+    """The points of a QQ plot that a figure draws."""
+    points = qq_points(records)
+    keep = kept_ranks(points.count(), most, tail)
+    ranks_ = records.sparkSession.range(0, len(keep)).select(F.get(F.lit(keep) if keep else F.array().cast("array<int>"), F.col("id").cast("int")).cast("long").alias("rank"))
+    return points.join(F.broadcast(ranks_), "rank", "left_semi")
+
+
+def qq_envelope(n: int, at: list[int], level: float = 0.95) -> list[tuple[int, float, float]]:
+    """(rank, lower, upper) of the p-value of each rank of n under the null: quantiles of Beta(rank, n - rank + 1)."""
+    rest, a = (1 - level) / 2, np.array(at, float)
+    lower, upper = (beta_quantile(q, a, n - a + 1) for q in (rest, 1 - rest))
+    return list(zip(at, lower.tolist(), upper.tolist(), strict=True))
+
+
+def manhattan_points(records: DataFrame, most: int = 8000, seed: int = 0, always: float = 1e-5) -> DataFrame:
+    """The records that a Manhattan plot draws: all of p below ``always``, and ``most`` of the others by hash."""
+    ok = records.where(tested(F.col("p")))
+    others = ok.where(F.col("p") >= always).orderBy(F.xxhash64(F.lit(seed), "marker"), "marker").limit(most)
+    return ok.where(F.col("p") < always).unionByName(others)
+
+
+def loci(hits: list[tuple[str, int]], window: int = 500_000, most: int = 10) -> list[tuple[str, int]]:
+    """Of the top hits (chrom, pos), best first, those not within window of one before; at most so many."""
+    kept: list[tuple[str, int]] = []
+    for chrom, pos in hits:
+        bare = chrom.removeprefix("chr")
+        if len(kept) < most and not any(c.removeprefix("chr") == bare and abs(pos - p) < window for c, p in kept):
+            kept.append((chrom, pos))
+    return kept
+
+
+def regional_points(records: DataFrame, chrom: str, pos: int, half_width: int = 500_000) -> DataFrame:
+    """The tested records around a locus, contigs named with or without chr."""
+    bare = F.regexp_replace("chrom", "^chr", "")
+    return records.where(tested(F.col("p")) & (bare == chrom.removeprefix("chr")) & F.col("pos").between(pos - half_width, pos + half_width))
+
+
+def mode_summary(records: DataFrame, genes: DataFrame | None = None, n: int = 10, window: int = 500_000) -> tuple[DataFrame, DataFrame]:
+    """One row of counts and inflation of a mode, and its top hits with nearest gene, distance and genes in the window."""
+    counts = mode_counts(records).withColumn("lambda_gc", F.lit(lambda_gc_of_p(records)))
+    best = top_hits(records, n)
+    if genes is None:
+        return counts, best
+    ids = best.select(F.col("marker").alias("hit_id"), "chrom", "pos")
+    near = nearest_genes(ids, genes).join(genes_in_window(ids, genes, window), "hit_id", "left")
+    return counts, best.join(near.withColumnRenamed("hit_id", "marker"), "marker", "left")
+
+
 def genes_in_window(hits: DataFrame, genes: DataFrame, window: int = 500_000, most: int = 20) -> DataFrame:
     """hit_id, genes (the nearest ones within window, ;-joined by distance and symbol) and n of them, at most so many a hit.
 

@@ -19,12 +19,14 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from .linear import partial_fits, sliced
+
 SCHEMA = "marker long, beta double, se double, stat double, p_value double, n_samples long"
 _log_gamma = np.vectorize(math.lgamma, otypes=[float])
 _erfc = np.vectorize(math.erfc, otypes=[float])
 
 
-def _beta_fraction(a: np.ndarray, b: float, x: np.ndarray) -> np.ndarray:
+def _beta_fraction(a: np.ndarray, b: float | np.ndarray, x: np.ndarray) -> np.ndarray:
     """The continued fraction of the incomplete beta function, by the modified Lentz recurrence."""
     tiny = 1e-300
     guard = lambda v: np.where(np.abs(v) < tiny, tiny, v)
@@ -56,13 +58,32 @@ def t_two_sided(t: np.ndarray, df: np.ndarray) -> np.ndarray:
     return np.where(x <= 0, 0.0, np.where(x >= 1, 1.0, np.clip(out, 0, 1)))
 
 
+def beta_tail(x: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """P(X <= x) of the Beta(a, b) distribution, for 0 < x < 1."""
+    front = np.exp(_log_gamma(a + b) - _log_gamma(a) - _log_gamma(b) + a * np.log(x) + b * np.log1p(-x))
+    near = x < (a + 1) / (a + b + 2)
+    # past the mean the mirrored fraction converges faster
+    return np.where(near, front * _beta_fraction(a, b, np.where(near, x, 0.5)) / a, 1 - front * _beta_fraction(b, a, np.where(near, 0.5, 1 - x)) / b)
+
+
+def beta_quantile(q: float, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The q-quantiles of Beta(a, b), by bisection."""
+    low, high = np.zeros_like(a), np.ones_like(a)
+    for _ in range(60):
+        half = (low + high) / 2
+        below = beta_tail(half, a, b) < q
+        low, high = np.where(below, half, low), np.where(below, high, half)
+    return (low + high) / 2
+
+
 def _design(covariates: np.ndarray | None, n: int) -> np.ndarray:
     """A column of ones and the covariates."""
     return np.ones((n, 1)) if covariates is None else np.column_stack([np.ones(n), covariates])
 
 
-def _values(column: pd.Series) -> np.ndarray:
-    return np.array([np.array(v, dtype=float) for v in column])
+def _values(column: pd.Series, keep: np.ndarray | None = None) -> np.ndarray:
+    x = np.array([np.array(v, dtype=float) for v in column])
+    return x if keep is None else x[:, keep]
 
 
 def _result(markers: pd.Series, beta, se, df, n) -> pd.DataFrame:
@@ -78,38 +99,40 @@ def _slopes(x: np.ndarray, y: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np
     """Slope and residual sum of squares of y on each row of x, both cleared of q, and whether x varies."""
     scale = (x * x).sum(axis=1)
     x, y = x - (x @ q) @ q.T, y - q @ (q.T @ y)
+    return _ratios(x, np.broadcast_to(y, x.shape), scale)
+
+
+def _ratios(x: np.ndarray, y: np.ndarray, scale: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     xx = (x * x).sum(axis=1)
     ok = xx > 1e-12 * np.maximum(scale, 1e-300)
-    beta = np.where(ok, x @ y / np.where(ok, xx, 1), 0.0)
+    beta = np.where(ok, (x * y).sum(axis=1) / np.where(ok, xx, 1), 0.0)
     rss = ((y - beta[:, None] * x) ** 2).sum(axis=1)
     return beta, rss / np.where(ok, xx, 1), ok
 
 
-def ols_scan(rows: DataFrame, y: np.ndarray, covariates: np.ndarray | None = None) -> DataFrame:
+def ols_scan(rows: DataFrame, y: np.ndarray, covariates: np.ndarray | None = None, keep: np.ndarray | None = None) -> DataFrame:
     """Least squares of y on each marker and the covariates, over the samples where the marker is present.
 
-    Whole markers of a batch are solved together, the others by their own samples.
+    keep numbers the samples of x that y and the covariates are of, by default all.
+    All markers of a batch are solved together, each by its own samples.
     """
     design = _design(covariates, len(y))
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        q_all, p = np.linalg.qr(design)[0], design.shape[1]
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            x = _values(pdf["x"])
+        q, p = np.linalg.qr(design)[0], design.shape[1]
+        for pdf in sliced(batches, len(y) + p * p):
+            x = _values(pdf["x"], keep)
             seen = np.isfinite(x)
             n = seen.sum(axis=1)
-            beta, se = np.zeros(len(x)), np.full(len(x), np.inf)
-            whole = seen.all(axis=1)
-            for at in [np.flatnonzero(whole), *([r] for r in np.flatnonzero(~whole & (n >= p + 2)))]:
-                if not len(at):
-                    continue
-                s = seen[at[0]]
-                q = q_all if s.all() else np.linalg.qr(design[s])[0]
-                beta[at], ratio, ok = _slopes(x[at][:, s], y[s], q)
-                se[at] = np.where(ok, np.sqrt(ratio / max(s.sum() - p - 1, 1)), np.inf)
-            yield _result(pdf["marker"], beta, se, n - p - 1, n)
+            enough = n >= p + 2
+            seen &= enough[:, None]
+            x, ys, s = np.where(seen, x, 0.0), np.where(seen, y, 0.0), seen.astype(float)
+            scale = (x * x).sum(axis=1)
+            s[~enough] = 1.0
+            clear = lambda v: (v - partial_fits(s, v, q) @ q.T) * seen  # noqa: B023, E731
+            beta, ratio, ok = _ratios(clear(x), clear(ys), scale)
+            se = np.where(ok & enough, np.sqrt(ratio / np.maximum(n - p - 1, 1)), np.inf)
+            yield _result(pdf["marker"], np.where(enough, beta, 0.0), se, n - p - 1, n)
 
     return rows.select("marker", "x").mapInPandas(scan, SCHEMA)
 
@@ -122,9 +145,7 @@ def logistic_scan(rows: DataFrame, y: np.ndarray, covariates: np.ndarray | None
     design = _design(covariates, len(y))
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if not len(pdf):
-                continue
+        for pdf in sliced(batches, 4 * len(y) * (design.shape[1] + 1)):
             x = _values(pdf["x"])
             seen = np.isfinite(x)
             n = seen.sum(axis=1)
@@ -176,10 +197,10 @@ def reml_delta(value: np.ndarray, y: np.ndarray, design: np.ndarray, low: float
     return 10 ** ((low + high) / 2)
 
 
-def lmm_scan(rows: DataFrame, y: np.ndarray, relationship: np.ndarray, covariates: np.ndarray | None = None) -> DataFrame:
+def lmm_scan(rows: DataFrame, y: np.ndarray, relationship: np.ndarray, covariates: np.ndarray | None = None, keep: np.ndarray | None = None) -> DataFrame:
     """Generalised least squares under a relationship matrix, the variance ratio fitted once without markers.
 
-    Missing values are the marker's mean; a marker without values cannot be tested.
+    keep numbers the samples of x that y, the matrix and the covariates are of.  Missing values are the marker's mean; a marker without values cannot be tested.
     """
     value, vector = np.linalg.eigh(relationship)
     value = np.maximum(value, 0)
@@ -190,10 +211,8 @@ def lmm_scan(rows: DataFrame, y: np.ndarray, relationship: np.ndarray, covariate
     turned = root * turned
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            x = _values(pdf["x"])
+        for pdf in sliced(batches, n):
+            x = _values(pdf["x"], keep)
             seen = np.isfinite(x)
             mean = np.where(seen, x, 0).sum(axis=1) / np.maximum(seen.sum(axis=1), 1)
             beta, ratio, ok = _slopes((np.where(seen, x, mean[:, None]) @ vector) * root, turned, q)

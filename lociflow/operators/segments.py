@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import minus_log10
+from .markers import ranks
 
 STATS = ("n_markers", "min_p", "mean_beta", "max_abs_stat")
 
@@ -112,6 +113,17 @@ def viterbi_states(records: DataFrame, null_rate: float = float(np.log(10)), sig
     return with_ranges(rows, ranges, "_lead", "_last", "_next").groupBy("chrom", "_range").applyInPandas(decode, out)
 
 
+def named(segments: DataFrame, records: DataFrame) -> DataFrame:
+    """Segments with name region_1, region_2, ... in the order of their contigs' first records, then of their starts.
+
+    records tell the order of the contigs by the smallest marker; segments that a
+    filter took out get no number.
+    """
+    contigs = records.groupBy("chrom").agg(F.min("marker").alias("first_marker"))
+    placed = ranks(segments.join(F.broadcast(contigs), "chrom"), [F.col("first_marker"), F.col("chrom"), F.col("start")])
+    return placed.select("chrom", "start", "end", F.concat(F.lit("region_"), F.col("rank").cast("string")).alias("name"), *[c for c in segments.columns if c not in ("chrom", "start", "end")])
+
+
 def hmm_segments(records: DataFrame, least_markers: int = 1) -> DataFrame:
     found = runs(viterbi_states(records), F.col("state") == 1)
     return found.where(F.col("n_markers") >= least_markers).select("chrom", (F.col("first_pos") - 1).alias("start"), F.col("last_pos").alias("end"), "n_markers", "min_p", (F.col("sum_beta") / F.col("n_markers")).alias("mean_beta"), "max_abs_stat")

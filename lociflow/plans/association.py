@@ -76,10 +76,16 @@ def maf_filter(spark: SparkSession, d: str) -> DataFrame:
     return markers.allele_frequencies(A.dosage(spark, d), _n_samples(spark, d), 0.05, 0.9).select("marker", r6("call_rate"), r6("freq"), r6("maf"))
 
 
+def _linked(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Positions of the dimensions as markers, and their linked pairs."""
+    n = _n_samples(spark, d)
+    rows = linear.rows_of(A.dosage(spark, d), n)
+    positions = spark.range(A.N_DIMENSIONS).selectExpr("id as marker", "concat('chr', id % 4 + 1) as chrom", "id * 100000 + 1 as pos")
+    return positions, markers.ld_pairs(rows, positions, n, 1_000_000, 0.001)
+
+
 def ld_pairs(spark: SparkSession, d: str) -> DataFrame:
-    x = A.dosage(spark, d)
-    positions = x.select("marker").distinct().selectExpr("marker", "concat('chr', marker % 4 + 1) as chrom", "marker * 100000 + 1 as pos")
-    return markers.ld_pairs(x, positions, 1_000_000, 0.001).select("a", "b", r6("r2"))
+    return _linked(spark, d)[1].select("a", "b", r6("r2"))
 
 
 def sample_metrics(spark: SparkSession, d: str) -> DataFrame:
@@ -116,10 +122,6 @@ def ols_closed_form(spark: SparkSession, d: str) -> DataFrame:
 
 
 def top_hits(spark: SparkSession, d: str) -> DataFrame:
-    return report.top_hits(_records(spark, d).where("ord % 40 < 20"), 25).select("marker", "chrom", "pos", "p", "beta")
-
-
-def top_hits_all(spark: SparkSession, d: str) -> DataFrame:
     return report.top_hits(_records(spark, d), 25).select("marker", "chrom", "pos", "p", "beta")
 
 
@@ -136,11 +138,6 @@ def gene_span_merge(spark: SparkSession, d: str) -> DataFrame:
 
 
 def nearest_gene(spark: SparkSession, d: str) -> DataFrame:
-    hits = A.adapted(spark, d, A.MARKERS).where("marker % 1000 < 10").selectExpr("marker as hit_id", "chrom", "pos * 20 as pos")
-    return report.nearest_genes(hits, A.adapted(spark, d, A.TRANSCRIPTS))
-
-
-def nearest_gene_all(spark: SparkSession, d: str) -> DataFrame:
     hits = A.adapted(spark, d, A.MARKERS).selectExpr("marker as hit_id", "chrom", "pos * 20 as pos")
     return report.nearest_genes(hits, A.adapted(spark, d, A.TRANSCRIPTS))
 
@@ -161,13 +158,15 @@ def grm(spark: SparkSession, d: str) -> DataFrame:
     n = _n_samples(spark, d)
     k, m = linear.gram(linear.rows_of(A.dosage(spark, d), n), n, "relationship", 0.05)
     k = k / max(m, 1)
-    return spark.createDataFrame([(int(i), float(round(k[i, i], 6)), float(round(k[i].sum(), 6))) for i in range(n)], "sample long, diagonal double, row_sum double")
+    columns = (range(n), np.diag(k), k.sum(axis=1), (k * k).sum(axis=1))
+    rows = spark.createDataFrame([(int(i), *map(float, v)) for i, *v in zip(*columns, strict=True)], "sample long, diagonal double, row_sum double, row_square double")
+    return rows.select("sample", r6("diagonal"), (F.round("row_sum", 6) + 0.0).alias("row_sum"), r6("row_square"))
 
 
 def svd_singular_values(spark: SparkSession, d: str) -> DataFrame:
     n = _n_samples(spark, d)
     s, _, _ = linear.singular_values(linear.rows_of(A.intensity(spark, d), n), n, 10)
-    return spark.createDataFrame([(i + 1, float(v)) for i, v in enumerate(s)], "pc int, singular_value double")
+    return spark.createDataFrame([(i + 1, float(v)) for i, v in enumerate(s)], "pc int, singular_value double").select("pc", r6("singular_value"))
 
 
 def qr_corrected(spark: SparkSession, d: str) -> DataFrame:
@@ -175,7 +174,7 @@ def qr_corrected(spark: SparkSession, d: str) -> DataFrame:
     rows = linear.rows_of(A.intensity(spark, d), n)
     s, v, _ = linear.singular_values(rows, n, 10)
     k = linear.select_k(s, A.N_DIMENSIONS, n)
-    return linear.residuals(rows, np.ascontiguousarray(v[:k].T)).select("marker", F.posexplode("x").alias("sample", "value"))
+    return linear.residuals(rows, np.ascontiguousarray(v[:k].T)).select("marker", F.posexplode("x").alias("sample", "value")).select("marker", "sample", r6("value"))
 
 
 def _phenotype(spark: SparkSession, d: str) -> tuple[np.ndarray, np.ndarray]:
@@ -206,16 +205,14 @@ def lmm_scan(spark: SparkSession, d: str) -> DataFrame:
 
 
 def ld_prune(spark: SparkSession, d: str) -> DataFrame:
-    x = A.dosage(spark, d)
-    positions = x.select("marker").distinct().selectExpr("marker", "concat('chr', marker % 4 + 1) as chrom", "marker * 100000 + 1 as pos")
-    return markers.ld_pruned(positions, markers.ld_pairs(x, positions, 1_000_000, 0.001), working_folder(spark))
+    return markers.ld_pruned(*_linked(spark, d), working_folder(spark))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         threshold_segments, run_islands, viterbi_segments, marker_masks, region_anti_join, variant_qc_reasons, qc_provenance_join, extra_ids, every_nth, mean_impute, maf_filter, ld_pairs,
-        sample_metrics, sample_exclusion, exclusion_counts, audit_summary, phenotype_summary, sex_decode, ols_closed_form, top_hits, top_hits_all, lambda_gc_stat, mode_counts, gene_span_merge, nearest_gene, nearest_gene_all,
+        sample_metrics, sample_exclusion, exclusion_counts, audit_summary, phenotype_summary, sex_decode, ols_closed_form, top_hits, lambda_gc_stat, mode_counts, gene_span_merge, nearest_gene,
         genes_in_region, cumulative_positions, qq_ranks, grm, svd_singular_values, qr_corrected, ols_covariates, logistic_scan, lmm_scan, ld_prune,
     )
 }
@@ -244,6 +241,15 @@ SELECT chrom, min(first_pos) - 1 AS start, max(last_pos) AS "end", CAST(sum(n) A
         "run_islands": f"SELECT chrom, first_pos, last_pos, n AS n_markers, min_p FROM {_RUNS.format(p='1e-3')} x",
         "marker_masks": """SELECT *, call_rate_ok AND variance_ok AS passes FROM (SELECT marker, round(count(value) / count(*), 6) AS call_rate, round(avg(value), 6) AS mean, round(var_pop(value), 6) AS variance, coalesce(min(value) = max(value), true) AS monomorphic,
  count(value) / count(*) >= CAST(0.9 AS DOUBLE) AS call_rate_ok, coalesce(var_pop(value) >= CAST(0.001 AS DOUBLE), false) AS variance_ok FROM <INTENSITY> x GROUP BY marker) y""",
+        "viterbi_segments": """WITH RECURSIVE g AS (SELECT chrom, ord, pos, p, beta, stat, marker, -log10(least(greatest(p, CAST(1e-300 AS DOUBLE)), 1)) AS x FROM <RECORDS> r),
+e AS (SELECT *, ln(ln(CAST(10 AS DOUBLE))) - ln(CAST(10 AS DOUBLE)) * x AS e0, ln(CAST(0.1 AS DOUBLE)) - CAST(0.1 AS DOUBLE) * x AS e1, ln(1 - CAST(1e-4 AS DOUBLE)) AS stay, ln(CAST(1e-4 AS DOUBLE)) AS move FROM g),
+walk(chrom, ord, v0, v1, from0, from1) AS (SELECT chrom, ord, ln(1 - CAST(1e-3 AS DOUBLE)) + e0, ln(CAST(1e-3 AS DOUBLE)) + e1, 0, 0 FROM e WHERE ord = 1
+ UNION ALL SELECT e.chrom, e.ord, e0 + greatest(v0 + stay, v1 + move), e1 + greatest(v0 + move, v1 + stay), CASE WHEN v1 + move > v0 + stay THEN 1 ELSE 0 END, CASE WHEN v1 + stay > v0 + move THEN 1 ELSE 0 END
+ FROM walk w JOIN e ON e.chrom = w.chrom AND e.ord = w.ord + 1),
+back(chrom, ord, state) AS (SELECT chrom, ord, CASE WHEN v1 > v0 THEN 1 ELSE 0 END FROM walk QUALIFY ord = max(ord) OVER (PARTITION BY chrom)
+ UNION ALL SELECT w.chrom, w.ord - 1, CASE WHEN b.state = 1 THEN from1 ELSE from0 END FROM back b JOIN walk w ON w.chrom = b.chrom AND w.ord = b.ord WHERE w.ord > 1),
+marked AS (SELECT e.*, state, row_number() OVER (PARTITION BY e.chrom ORDER BY e.ord) - row_number() OVER (PARTITION BY e.chrom, state ORDER BY e.ord) AS run FROM e JOIN back b ON b.chrom = e.chrom AND b.ord = e.ord)
+SELECT chrom, min(pos) - 1 AS start, max(pos) AS "end", count(*) AS n_markers, min(p) AS min_p, round(avg(beta), 6) AS mean_beta, round(max(abs(stat)), 6) AS max_abs_stat FROM marked WHERE state = 1 GROUP BY chrom, run""",
         "region_anti_join": """SELECT marker, chrom, pos FROM <MARKERS> m WHERE NOT EXISTS (SELECT 1 FROM <REGIONS> r WHERE r.chrom = m.chrom AND m.pos BETWEEN r.start AND r."end")""",
         "variant_qc_reasons": """SELECT marker, variant_id, reasons, reasons = '' AS passes FROM (SELECT marker, m.variant_id, CASE WHEN q.variant_id IS NULL THEN 'not_in_variant_qc' ELSE concat_ws(';', CASE WHEN NOT call_rate_pass THEN 'call_rate_pass' END, CASE WHEN NOT hwe_pass THEN 'hwe_pass' END, CASE WHEN NOT maf_pass THEN 'maf_pass' END) END AS reasons
  FROM <MARKERS> m LEFT JOIN <VARIANT_QC> q ON q.variant_id = m.variant_id) x""",
@@ -254,6 +260,24 @@ SELECT chrom, min(first_pos) - 1 AS start, max(last_pos) AS "end", CAST(sum(n) A
         "maf_filter": "SELECT marker, round(c, 6) AS call_rate, round(f, 6) AS freq, round(least(f, 1 - f), 6) AS maf FROM (SELECT marker, count(value) / count(*) AS c, avg(value) / 2 AS f FROM <DOSAGE> x GROUP BY marker) y WHERE c >= CAST(0.9 AS DOUBLE) AND least(f, 1 - f) >= CAST(0.05 AS DOUBLE)",
         "ld_pairs": """WITH c AS (SELECT marker, sample, coalesce(value - avg(value) OVER (PARTITION BY marker), 0) AS x FROM <DOSAGE> q)
 SELECT a, b, round(r2, 6) AS r2 FROM (SELECT i.marker AS a, j.marker AS b, sum(i.x * j.x) * sum(i.x * j.x) / (sum(i.x * i.x) * sum(j.x * j.x)) AS r2 FROM c i JOIN c j ON i.sample = j.sample AND i.marker % 4 = j.marker % 4 AND j.marker > i.marker AND j.marker <= i.marker + 10 GROUP BY 1, 2) y WHERE r2 > CAST(0.001 AS DOUBLE)""",
+        "ld_prune": """WITH RECURSIVE c AS (SELECT marker, sample, coalesce(value - avg(value) OVER (PARTITION BY marker), 0) AS x FROM <DOSAGE> q),
+linked AS (SELECT b, list(a) AS before FROM (SELECT i.marker AS a, j.marker AS b, sum(i.x * j.x) * sum(i.x * j.x) / (sum(i.x * i.x) * sum(j.x * j.x)) AS r2 FROM c i JOIN c j ON i.sample = j.sample AND i.marker % 4 = j.marker % 4 AND j.marker > i.marker AND j.marker <= i.marker + 10 GROUP BY 1, 2) y WHERE r2 > CAST(0.001 AS DOUBLE) GROUP BY b),
+walk(marker, kept) AS (SELECT CAST(0 AS BIGINT), [CAST(0 AS BIGINT)] UNION ALL SELECT w.marker + 1, CASE WHEN list_has_any(coalesce(before, []), kept) THEN kept ELSE list_append(kept, w.marker + 1) END
+ FROM walk w LEFT JOIN linked l ON l.b = w.marker + 1 WHERE w.marker < 63)
+SELECT marker, concat('chr', CAST(marker % 4 + 1 AS STRING)) AS chrom, marker * 100000 + 1 AS pos FROM (SELECT unnest(kept) AS marker FROM walk WHERE marker = 63) k""",
+        "grm": """WITH f AS (SELECT marker, avg(value) / 2 AS f FROM <DOSAGE> q GROUP BY marker HAVING least(avg(value) / 2, 1 - avg(value) / 2) >= CAST(0.05 AS DOUBLE)),
+z AS (SELECT marker, sample, coalesce(value - 2 * f, 0) / sqrt(2 * f * (1 - f)) AS z FROM <DOSAGE> q JOIN f USING (marker)),
+k AS (SELECT a.sample AS i, b.sample AS j, sum(a.z * b.z) / (SELECT count(*) FROM f) AS k FROM z a JOIN z b USING (marker) GROUP BY 1, 2)
+SELECT i AS sample, round(max(k) FILTER (WHERE i = j), 6) AS diagonal, round(sum(k), 6) + 0 AS row_sum, round(sum(k * k), 6) AS row_square FROM k GROUP BY i""",
+        "ols_covariates": """WITH d AS (SELECT marker, value AS x, CAST(label AS DOUBLE) AS y, sin(sample * CAST(0.7 AS DOUBLE)) AS s, cos(sample * CAST(0.7 AS DOUBLE)) AS c FROM <INTENSITY> q JOIN embeddings e ON e.vec_id = q.sample WHERE value IS NOT NULL),
+m AS (SELECT marker, x - avg(x) OVER w AS x, y - avg(y) OVER w AS y, s - avg(s) OVER w AS s, c - avg(c) OVER w AS c FROM d WINDOW w AS (PARTITION BY marker)),
+n AS (SELECT marker, s, c - s * sum(c * s) OVER w / sum(s * s) OVER w AS c, x - s * sum(x * s) OVER w / sum(s * s) OVER w AS x, y - s * sum(y * s) OVER w / sum(s * s) OVER w AS y FROM m WINDOW w AS (PARTITION BY marker)),
+o AS (SELECT marker, x - c * sum(x * c) OVER w / sum(c * c) OVER w AS x, y - c * sum(y * c) OVER w / sum(c * c) OVER w AS y FROM n WINDOW w AS (PARTITION BY marker)),
+b AS (SELECT marker, count(*) AS n, count(*) - 4 AS df, sum(x * y) / sum(x * x) AS beta, sqrt((sum(y * y) - sum(x * y) * sum(x * y) / sum(x * x)) / (count(*) - 4) / sum(x * x)) AS se FROM o GROUP BY marker),
+t AS (SELECT *, beta / se AS stat, atan(abs(beta / se) / sqrt(df)) AS a FROM b)
+SELECT marker, round(beta, 6) AS beta, round(se, 6) AS se, round(stat, 6) AS stat, n AS n_samples, round(1 - CASE WHEN df % 2 = 0
+ THEN sin(a) * list_sum(list_transform(range(0, df // 2), lambda k: exp(lgamma(k + CAST(0.5 AS DOUBLE)) - lgamma(k + CAST(1 AS DOUBLE)) - ln(sqrt(pi())) + 2 * k * ln(cos(a)))))
+ ELSE 2 / pi() * (a + sin(a) * list_sum(list_transform(range(0, (df - 1) // 2), lambda k: exp(lgamma(k + CAST(1 AS DOUBLE)) - lgamma(k + CAST(1.5 AS DOUBLE)) + ln(sqrt(pi()) / 2) + (2 * k + 1) * ln(cos(a)))))) END, 6) AS p_value FROM t""",
         "sample_metrics": "SELECT sample, round(stddev_pop(value), 6) AS lrr_sd, round(count(value) / 64, 6) AS call_rate, count(value) AS n_markers_used FROM <INTENSITY> x GROUP BY sample",
         "sample_exclusion": f"SELECT sample, array_to_string(reasons, ';') AS reasons, {_IN_GRM} AS in_grm, len(reasons) = 0 AS analysed FROM {_EXCLUDED} e",
         "exclusion_counts": f"SELECT reason, count(*) AS n FROM (SELECT unnest(reasons) AS reason FROM {_EXCLUDED} e) x GROUP BY reason",
@@ -263,12 +287,12 @@ FROM (SELECT 'grm_samples' AS stage, {_IN_GRM} AS i FROM {_EXCLUDED} e UNION ALL
         "sex_decode": "SELECT CAST(CASE c_custkey % 5 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 2 END AS INT) AS sex, count(*) AS n FROM customer GROUP BY 1",
         "ols_closed_form": """SELECT marker, round(b, 6) AS beta, round(se, 6) AS se, round(b / se, 6) AS stat, n AS n_samples FROM (SELECT *, sqrt((vy - b * cxy) / (n - 2) / vx) AS se FROM
  (SELECT marker, count(*) AS n, var_pop(value) AS vx, var_pop(label) AS vy, covar_pop(value, label) AS cxy, covar_pop(value, label) / var_pop(value) AS b FROM <INTENSITY> x JOIN embeddings e ON e.vec_id = x.sample WHERE value IS NOT NULL GROUP BY marker) y) z""",
-        "top_hits": f"SELECT marker, chrom, pos, p, beta FROM <RECORDS> r WHERE ord % 40 < 20 AND p > 0 AND p <= 1 ORDER BY p, {_CK}, chrom, pos LIMIT 25",
+        "top_hits": f"SELECT marker, chrom, pos, p, beta FROM <RECORDS> r WHERE p > 0 AND p <= 1 ORDER BY p, {_CK}, chrom, pos LIMIT 25",
         "lambda_gc_stat": f"SELECT round(median(stat * stat) / CAST({report.CHI2_MEDIAN} AS DOUBLE), 6) AS lambda_gc, count(stat) AS n FROM <RECORDS> r",
         "mode_counts": "SELECT count(*) AS n_tested, min(p) AS min_p, CAST(count_if(p < CAST(5e-8 AS DOUBLE)) AS BIGINT) AS n_genome_wide, CAST(count_if(p < CAST(1e-5 AS DOUBLE)) AS BIGINT) AS n_suggestive FROM <RECORDS> r WHERE p > 0 AND p <= 1",
         "gene_span_merge": """SELECT chrom, symbol, min(start) AS start, max("end") AS "end" FROM <TRANSCRIPTS> t GROUP BY chrom, symbol""",
         "nearest_gene": """SELECT hit_id, symbol AS gene, CAST(coalesce(dist, -1) AS BIGINT) AS distance FROM (SELECT h.marker AS hit_id, symbol, dist, row_number() OVER (PARTITION BY h.marker ORDER BY dist, start, "end", symbol) AS k
- FROM (SELECT marker, chrom, pos * 20 AS pos FROM <MARKERS> m WHERE marker % 1000 < 10) h LEFT JOIN LATERAL (SELECT *, CASE WHEN h.pos < start THEN start - h.pos WHEN h.pos > "end" THEN h.pos - "end" ELSE 0 END AS dist FROM <TRANSCRIPTS> t WHERE t.chrom = h.chrom) g ON true) x WHERE k = 1""",
+ FROM (SELECT marker, chrom, pos * 20 AS pos FROM <MARKERS> m) h LEFT JOIN LATERAL (SELECT *, CASE WHEN h.pos < start THEN start - h.pos WHEN h.pos > "end" THEN h.pos - "end" ELSE 0 END AS dist FROM <TRANSCRIPTS> t WHERE t.chrom = h.chrom) g ON true) x WHERE k = 1""",
         "genes_in_region": """SELECT chrom, symbol, start, "end" FROM <TRANSCRIPTS> t WHERE chrom = 'chr2' AND "end" >= 10000 AND start <= 20000""",
         "cumulative_positions": f"SELECT chrom, last_pos, CAST(coalesce(sum(last_pos + 1000000) OVER (ORDER BY {_CK}, chrom ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS \"offset\" FROM (SELECT chrom, max(pos) AS last_pos FROM <RECORDS> r GROUP BY chrom) x",
         "qq_ranks": "SELECT marker, p, rank, round(rank / (count(*) OVER () + 1), 6) AS expected FROM (SELECT marker, p, row_number() OVER (ORDER BY p, marker) AS rank FROM <RECORDS> r WHERE p > 0 AND p <= 1) x",

@@ -42,11 +42,6 @@ def effect_summary(spark: SparkSession, d: str) -> DataFrame:
 
 
 def genes_in_window(spark: SparkSession, d: str) -> DataFrame:
-    hits = A.adapted(spark, d, A.MARKERS).where("marker % 1000 < 10").selectExpr("marker as hit_id", "chrom", "pos * 20 as pos")
-    return report.genes_in_window(hits, A.adapted(spark, d, A.TRANSCRIPTS), 2_000)
-
-
-def genes_in_window_all(spark: SparkSession, d: str) -> DataFrame:
     hits = A.adapted(spark, d, A.MARKERS).selectExpr("marker as hit_id", "chrom", "pos * 20 as pos")
     return report.genes_in_window(hits, A.adapted(spark, d, A.TRANSCRIPTS), 2_000)
 
@@ -66,11 +61,11 @@ def low_rank_corrected(spark: SparkSession, d: str) -> DataFrame:
     n = _n_samples(spark, d)
     rows = linear.rows_of(A.intensity(spark, d), n)
     out, _ = correction.corrected(rows, rows, np.arange(n) % 4 != 0, 10, 2)
-    return out.select("marker", F.posexplode("x").alias("sample", "value"))
+    return out.select("marker", F.posexplode("x").alias("sample", "value")).select("marker", "sample", r6("value"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (gap_merge, autosome_filter, variant_qc_chrx, align_samples, effect_summary, genes_in_window, genes_in_window_all, x_grm, low_rank_corrected)
+    f.__name__: f for f in (gap_merge, autosome_filter, variant_qc_chrx, align_samples, effect_summary, genes_in_window, x_grm, low_rank_corrected)
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -85,7 +80,7 @@ SELECT chrom, min(first_pos) - 1 AS start, max(last_pos) AS "end", CAST(sum(n) A
         "align_samples": "SELECT c.sample, call_rate, lrr_sd FROM (SELECT c_custkey * 2 AS sample FROM customer) c LEFT JOIN <SHEET> s ON s.sample = c.sample",
         "effect_summary": "SELECT min(beta) AS least, max(beta) AS most, round(avg(abs(beta)), 6) AS mean_abs FROM <RECORDS> r",
         "genes_in_window": """SELECT hit_id, string_agg(symbol, ';' ORDER BY dist, symbol) AS genes, count(*) AS n FROM (SELECT *, row_number() OVER (PARTITION BY hit_id ORDER BY dist, symbol) AS k
- FROM (SELECT h.marker AS hit_id, symbol, CASE WHEN h.pos < start THEN start - h.pos WHEN h.pos > "end" THEN h.pos - "end" ELSE 0 END AS dist FROM (SELECT marker, chrom, pos * 20 AS pos FROM <MARKERS> m WHERE marker % 1000 < 10) h JOIN <TRANSCRIPTS> t ON t.chrom = h.chrom) x
+ FROM (SELECT h.marker AS hit_id, symbol, CASE WHEN h.pos < start THEN start - h.pos WHEN h.pos > "end" THEN h.pos - "end" ELSE 0 END AS dist FROM (SELECT marker, chrom, pos * 20 AS pos FROM <MARKERS> m) h JOIN <TRANSCRIPTS> t ON t.chrom = h.chrom) x
  WHERE dist <= 2000) y WHERE k <= 20 GROUP BY hit_id""",
         "x_grm": """WITH d AS (SELECT marker, sample, CASE WHEN value IS NULL THEN NULL WHEN sample % 2 = 0 THEN CASE WHEN value >= 1 THEN CAST(2 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END ELSE value END AS v FROM <DOSAGE> q WHERE marker = 0 OR marker > 6),
 f AS (SELECT marker, avg(v) / 2 AS f FROM d GROUP BY marker HAVING least(avg(v) / 2, 1 - avg(v) / 2) >= CAST(0.05 AS DOUBLE))

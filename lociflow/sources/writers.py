@@ -38,9 +38,9 @@ def vcf(rows: DataFrame, samples: list[str], path: str, field: str = "LRR", sour
 
 
 def bed(segments: DataFrame, path: str) -> None:
-    """Segments (chrom, start, end, n_markers, ...) with a #-prefixed header; each is named by its contig and bounds."""
+    """Segments (chrom, start, end, name, n_markers, ...) with a #-prefixed header; without names each has its contig and bounds."""
     name = F.concat_ws("_", "chrom", F.col("start").cast("string"), F.col("end").cast("string"))
-    rows = segments.withColumn("name", name)
+    rows = segments if "name" in segments.columns else segments.withColumn("name", name)
     line = _cells(*[F.col(c) for c in BED_COLUMNS])
     ordered_text(rows.select(chrom_order(F.col("chrom")).alias("k1"), F.col("chrom").alias("k2"), F.col("start").alias("k3"), line.alias("line")), ["#" + "\t".join(BED_COLUMNS)], path, 1)
 
@@ -49,3 +49,22 @@ def table(df: DataFrame, order: Column, path: str, parts: int = 64) -> None:
     """A tab-separated table with a header, in the order of a long column; missing values are empty."""
     line = F.concat_ws("\t", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in df.columns])
     ordered_text(df.select(F.lit(0).alias("k1"), F.lit("").alias("k2"), order.alias("k3"), line.alias("line")), ["\t".join(df.columns)], path, parts)
+
+
+def audit(records: DataFrame, path: str, parts: int = 64) -> None:
+    """An audit trail of (stage, id_type, id, included, reason): a line with the number of included ids of each stage, then its excluded ids."""
+    kept = records.where("included").groupBy("stage", "id_type").agg(F.concat(F.lit("n="), F.count("*").cast("string")).alias("id"))
+    kept = kept.select("stage", "id_type", "id", F.lit("included_summary").alias("status"), F.lit("").alias("reason"), F.lit(0).alias("k3"))
+    gone = records.where(~F.col("included")).select("stage", "id_type", F.col("id").cast("string").alias("id"), F.lit("excluded").alias("status"), "reason", F.lit(1).alias("k3"))
+    columns = ("stage", "id_type", "id", "status", "reason")
+    lines = kept.unionByName(gone).select(F.lit(0).alias("k1"), F.col("stage").alias("k2"), "k3", F.concat_ws("\t", *[F.coalesce(F.col(c), F.lit("")) for c in columns]).alias("line"))
+    ordered_text(lines, ["\t".join(columns)], path, parts)
+
+
+def audit_summary(totals: DataFrame, reasons: DataFrame, path: str) -> None:
+    """One line a stage: totals, fractions and the number of ids of each reason as JSON."""
+    counts = reasons.groupBy("stage", "id_type").agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("reason", "n"))))).alias("excluded_reason_counts"))
+    rows = totals.join(counts, ["stage", "id_type"], "left").withColumn("excluded_fraction", 1 - F.col("included_fraction"))
+    columns = ("stage", "id_type", "total_input", "total_included", "total_excluded", "included_fraction", "excluded_fraction", "excluded_reason_counts")
+    line = F.concat_ws("\t", *[F.coalesce(F.col(c).cast("string"), F.lit("{}" if c == columns[-1] else "")) for c in columns])
+    ordered_text(rows.select(F.lit(0).alias("k1"), F.col("stage").alias("k2"), F.lit(0).alias("k3"), line.alias("line")), ["\t".join(columns)], path, 1)

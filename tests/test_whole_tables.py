@@ -49,13 +49,13 @@ def test_queries_take_every_marker(spark):
     near = {}
     for i, c, p in markers:
         near.setdefault(i, []).extend((distance(p, s, e), s, e, g) for k, g, s, e in genes if k == c)
-    got = association.QUERIES["nearest_gene_all"](spark, DATA).collect()
+    got = association.QUERIES["nearest_gene"](spark, DATA).collect()
     assert len(got) == len(near) and {(r["hit_id"], r["gene"], r["distance"]) for r in got} == {(i, min(v)[3], min(v)[0]) for i, v in near.items()}
     want = {i: sorted((d, g) for d, _, _, g in v if d <= 2000)[:20] for i, v in near.items()}
-    got = {r["hit_id"]: (r["genes"], r["n"]) for r in cohort.QUERIES["genes_in_window_all"](spark, DATA).collect()}
+    got = {r["hit_id"]: (r["genes"], r["n"]) for r in cohort.QUERIES["genes_in_window"](spark, DATA).collect()}
     assert got == {i: (";".join(g for _, g in v), len(v)) for i, v in want.items() if v}
     records = con.sql(association._sql("SELECT p, chrom, pos, marker, beta FROM <RECORDS> r WHERE p > 0 AND p <= 1")).fetchall()
-    got = [tuple(plain(x) for x in (r["p"], r["chrom"], r["pos"], r["marker"], r["beta"])) for r in association.QUERIES["top_hits_all"](spark, DATA).collect()]
+    got = [tuple(plain(x) for x in (r["p"], r["chrom"], r["pos"], r["marker"], r["beta"])) for r in association.QUERIES["top_hits"](spark, DATA).collect()]
     assert got == [tuple(plain(x) for x in r) for r in sorted(records)[:25]]
 
 
