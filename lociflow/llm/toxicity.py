@@ -5,22 +5,35 @@ share, each weighted by DECAY to the power of the span it takes up in either,
 so gaps and inserted characters cost little.  Spans go up to SPAN characters and
 the kernel is scaled by the self-similarity of a string of that length.
 
-A sentence is compared with the landmark strings by its best-matching word:
-characters are letters (digits and signs that stand for letters included, other
-signs dropped, so ``i-d!ot`` is ``idiot``), and runs of single letters are one
-word.  The machine is trained on sentences that have the label of their document
-(multi-instance learning: the word of a toxic document that scores highest
-stands for it, every word of the other documents is negative, and both choices
-are made again after each fit).  Landmarks are words chosen far apart in the
+A text is cut into sentences at line ends and after words that end in ``.``,
+``!`` or ``?``.  A sentence's strings are its words and its runs of two to
+``RUN`` neighbouring words, white space dropped, of at most WINDOW characters;
+longer words are read in windows of that length.  So ``mo ron`` and an insult of
+several ordinary words are strings too.  Characters are letters (digits and
+signs that stand for letters included, other signs dropped, so ``i-d!ot`` is
+``idiot``), and runs of three or more single letters are one word.  A sentence
+is compared with the landmark strings by its best-matching string.
+
+The machine is trained on sentences that have the label of their document
+(multi-instance learning: the sentence of a toxic document that scores highest
+stands for it, the best strings of the other documents are negative, and both
+are chosen again after each fit, without the positive strings that many clean
+documents have one like).  Strings that toxic documents have more often,
+by over LEAST_EXCESS standard deviations, are positive from the start if they tell
+one of the documents best.  Landmarks are strings chosen far apart in the
 kernel.  As the decision function is linear in the subsequence features of the
-landmarks, it is one table over character triples, which is all a task needs.
+landmarks, it is one table over character triples; running sums of its values
+along a text give every string's margin.
 
 A document scores by its highest sentence, through a logistic curve fitted on the
 training documents.  All characters of all texts are read.  At most
-``TRAIN_EACH`` documents of each label train the machine.  Null and empty texts
+``TRAIN_EACH`` documents of each label train the machine; their strings are
+counted and scored in tasks, and the driver gets at most ``SEEDS`` +
+2 * ``NEGATIVES`` strings and three strings a document.  Null and empty texts
 have no sentence and get the score of the lowest margin.  Without training
 documents of both labels every score is 0.  Repeated rows are scored each; an
-empty table gives an empty result.
+empty table gives an empty result; a column ``toxic_score`` of the input is
+replaced.
 """
 
 from __future__ import annotations
@@ -31,15 +44,18 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .labelled import sampled_ids, with_texts
-from .textvec import slices, word_hashes, words
+from .shared import dropped, saved, shared_dir, without
+from .textvec import slices, words
 
-DECAY, SPAN, CLASSES, WINDOW = 0.8, 7, 32, 24
-LANDMARKS, TRAIN_EACH, NEGATIVES, ROUNDS, RIDGE = 128, 2000, 8_000, 2, 1e-2
+DECAY, SPAN, CLASSES, WINDOW, RUN = 0.8, 7, 32, 24, 3
+LANDMARKS, TRAIN_EACH, SEEDS, NEGATIVES, ROUNDS, RIDGE = 128, 2000, 1000, 4000, 4, 1e-2
+LEAST_EXCESS, NEAR_BEST, ALIKE, MOST_ALIKE = 4.0, 0.9, 0.5, 0.25
 LOWEST = -1.5
+PART = 1 << 18
 
 _CLASS = np.zeros(256, np.uint8)
 _CLASS[97:123] = np.arange(1, 27)
@@ -48,31 +64,55 @@ for _sign, _letter in zip("013457@$!|", "oieastasii", strict=True):
 _CLASS[128:192] = 27 + np.arange(64) % 5
 _STANDS_IN = np.zeros(256, bool)
 _STANDS_IN[[ord(c) for c in "013457@$!|"]] = True
+_ENDS = np.zeros(256, bool)
+_ENDS[[ord(c) for c in ".!?\n\r"]] = True
 
 
-def spelled(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Character classes without gaps, first and end of each word among them, and the row of each word."""
+def spelled(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Character classes without gaps, first and end of each word among them, and the row and the sentence of each word."""
     low, starts, ends, at = words(data, offsets)
     row = np.repeat(np.arange(len(offsets) - 1), np.diff(at))
+    if not len(row):
+        return low[:0], row, row, row, row
+    # a sentence ends with a word's last sign or at a line end after it
+    stop = np.concatenate([[0], np.cumsum(_ENDS[low])])
+    last = np.append(stop[starts[1:]] > stop[ends[:-1] - 1], True) | np.append(row[1:] != row[:-1], True)
+    sentence = np.cumsum(last) - last
     cls = _CLASS[low]
     # a sign stands for a letter only between two characters of a word
     sign = np.flatnonzero(_STANDS_IN[low])
-    edge = sign[(_CLASS[low[np.maximum(sign - 1, 0)]] == 0) | (_CLASS[low[np.minimum(sign + 1, len(low) - 1)]] == 0)] if len(sign) else sign
+    edge = sign[(_CLASS[low[np.maximum(sign - 1, 0)]] == 0) | (_CLASS[low[np.minimum(sign + 1, len(low) - 1)]] == 0)]
     cls[edge] = 0
     place = np.flatnonzero(cls)
     first, end = np.searchsorted(place, starts), np.searchsorted(place, ends)
     keep = first < end
-    first, end, row = first[keep], end[keep], row[keep]
-    single = end - first == 1
-    if single.any():
-        change = np.flatnonzero(np.diff(np.concatenate([[False], single, [False]]).astype(np.int8)) | np.concatenate([[False], (np.diff(row) != 0) & single[1:] & single[:-1], [False]]).astype(np.int8) if len(row) > 1 else np.ones(2, bool))
-        a, b = change[:-1], change[1:]
-        run = single[np.minimum(a, len(single) - 1)] & (b - a >= 3)
-        a, b = a[run], b[run] - 1
-        first, end, row = np.concatenate([first, first[a]]), np.concatenate([end, end[b]]), np.concatenate([row, row[a]])
-        order = np.argsort(row, kind="stable")
-        first, end, row = first[order], end[order], row[order]
-    return cls[place], first, end, row
+    return cls[place], first[keep], end[keep], row[keep], sentence[keep]
+
+
+def strings(first: np.ndarray, end: np.ndarray, row: np.ndarray, sentence: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(first, end, row) of the strings of three to WINDOW characters of each sentence, kind after kind."""
+    n = end - first
+    usual = (n >= 3) & (n <= WINDOW)
+    yield first[usual], end[usual], row[usual]
+    long = np.flatnonzero(n > WINDOW)
+    if len(long):
+        steps = -(-(n[long] - WINDOW) // (WINDOW // 2)) + 1
+        k = np.arange(steps.sum()) - np.repeat(np.cumsum(steps) - steps, steps)
+        a = np.minimum(np.repeat(first[long], steps) + k * (WINDOW // 2), np.repeat(end[long], steps) - WINDOW)
+        yield a, a + WINDOW, np.repeat(row[long], steps)
+    for more in range(1, RUN):
+        a, b = first[:-more], end[more:]
+        ok = (sentence[more:] == sentence[:-more]) & (b - a >= 3) & (b - a <= WINDOW)
+        yield a[ok], b[ok], row[:-more][ok]
+    # single letters in a row spell one word
+    single = n == 1
+    change = np.flatnonzero(np.concatenate([[True], (single[1:] != single[:-1]) | (sentence[1:] != sentence[:-1])])) if len(n) else np.zeros(0, int)
+    after = np.append(change[1:], len(n))
+    spelt = single[change] & (after - change > RUN) if len(n) else np.zeros(0, bool)
+    a, b, r = first[change[spelt]], end[after[spelt] - 1], row[change[spelt]]
+    yield a, np.minimum(b, a + WINDOW), r
+    if (b - a > WINDOW).any():
+        yield b[b - a > WINDOW] - WINDOW, b[b - a > WINDOW], r[b - a > WINDOW]
 
 
 @cache
@@ -80,104 +120,128 @@ def _triples(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Positions i < j < k of a string of length n within a span, and their scaled weights."""
     t = np.array([(i, j, k) for i in range(n) for j in range(i + 1, n) for k in range(j + 1, min(n, i + SPAN))]).reshape(-1, 3)
     w = DECAY ** (t[:, 2] - t[:, 0] + 1.0)
-    return t[:, 0], t[:, 1], t[:, 2], (w / np.sqrt((w * w).sum())).astype(np.float32) if len(w) else w
+    return t[:, 0], t[:, 1], t[:, 2], (w / np.sqrt((w * w).sum())).astype(np.float32)
 
 
-def _codes(chars: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Triple codes (strings x triples) of equally long strings, and the triples' weights."""
-    i, j, k, w = _triples(chars.shape[1])
-    c = chars.astype(np.int32)
-    return (c[:, i] * CLASSES + c[:, j]) * CLASSES + c[:, k], w
+@cache
+def _scales() -> np.ndarray:
+    """1 over the self-similarity of a string of each length."""
+    weights = [(DECAY ** (_triples(n)[2] - _triples(n)[0] + 1.0)) for n in range(3, WINDOW + 1)]
+    return np.array([0.0] * 3 + [1 / np.sqrt((w * w).sum()) for w in weights])
 
 
 def margins(chars: np.ndarray, first: np.ndarray, end: np.ndarray, table: np.ndarray) -> np.ndarray:
-    """table's weighted sum for each string; of a string over WINDOW characters, its best window's.  table has one column or more."""
-    n = end - first
-    out = np.zeros((len(n), *table.shape[1:]), np.float32)
-    for length in np.unique(n[(n >= 3) & (n <= WINDOW)]):
-        mine = np.flatnonzero(n == length)
-        for s in range(0, len(mine), 20_000):
-            part = mine[s : s + 20_000]
-            codes, w = _codes(chars[first[part][:, None] + np.arange(length)])
-            if table.ndim == 1:
-                out[part] = table[codes] @ w
-            else:
-                for t in range(len(w)):
-                    out[part] += w[t] * table[codes[:, t]]
-    for x in np.flatnonzero(n > WINDOW):
-        at = np.append(np.arange(first[x], end[x] - WINDOW, WINDOW // 2), end[x] - WINDOW)
-        codes, w = _codes(chars[at[:, None] + np.arange(WINDOW)])
-        out[x] = np.tensordot(table[codes], w, axes=(1, 0)).max(axis=0)
-    return out
+    """table's weighted sum over the subsequences of each string, from running sums over parts of the text."""
+    out = np.zeros(len(first))
+    for p in range(0, len(chars), PART):
+        mine = np.flatnonzero((first >= p) & (first < p + PART)) if len(chars) > PART else np.arange(len(first))
+        if not len(mine):
+            continue
+        c = np.concatenate([chars[p : p + PART + WINDOW], np.zeros(SPAN, np.uint8)]).astype(np.int32)
+        a, b = first[mine] - p, end[mine] - p
+        n = len(c) - SPAN
+        for d in range(2, SPAN):
+            outer = c[:n] * (CLASSES * CLASSES) + c[d : n + d]
+            values = sum(table[outer + c[j : n + j] * CLASSES] for j in range(1, d))
+            total = np.concatenate([[0.0], np.cumsum(values, dtype=np.float64)])
+            out[mine] += DECAY ** (d + 1) * (total[np.maximum(b - d, a)] - total[a])
+    return out * _scales()[end - first]
+
+
+def spelt_out(chars: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The strings themselves, as an array of bytes."""
+    at = first[:, None] + np.arange(WINDOW)
+    inside = at < end[:, None]
+    return np.where(inside, chars[np.where(inside, at, 0)], 0).astype(np.uint8).view(f"S{WINDOW}").ravel() if len(first) else np.zeros(0, f"S{WINDOW}")
 
 
 @dataclass
 class Machine:
     table: np.ndarray
     bias: float
-    slope: float
-    offset: float
+    slope: float = 1.0
+    offset: float = 0.0
+
+    def tops(self, column: pa.Array, n_best: int = 0) -> tuple[np.ndarray, list[list[bytes]]]:
+        """The highest margin of each row of a text column, and its n_best highest strings."""
+        top, best = np.full(len(column), LOWEST, np.float64), [[] for _ in range(len(column) if n_best else 0)]
+        for at, data, offsets in slices(column):
+            chars, *found = spelled(data, offsets)
+            scored = []
+            for first, end, row in strings(*found):
+                m = np.maximum(margins(chars, first, end, self.table) + self.bias, LOWEST)
+                np.maximum.at(top, at + row, m)
+                scored.append((row, -m, first, end))
+            if n_best:
+                row, m, first, end = (np.concatenate(x) for x in zip(*scored, strict=True))
+                order = np.lexsort((m, row))
+                rank = np.arange(len(order)) - np.searchsorted(row[order], row[order])
+                order = order[rank < 8 * n_best]
+                for r, s in zip(row[order], spelt_out(chars, first[order], end[order]), strict=True):
+                    if len(best[at + r]) < n_best and s not in best[at + r]:
+                        best[at + r].append(bytes(s))
+        return top, best
 
     def scores(self, column: pa.Array) -> np.ndarray:
         """The probability of each row of a text column."""
-        top = np.full(len(column), LOWEST, np.float64)
-        for at, data, offsets in slices(column):
-            chars, first, end, row = spelled(data, offsets)
-            if not len(row):
-                continue
-            h = word_hashes(chars, first, end)
-            _, one, inverse = np.unique(h, return_index=True, return_inverse=True)
-            m = np.maximum(margins(chars, first[one], end[one], self.table) + self.bias, LOWEST)
-            np.maximum.at(top, at + row, m[inverse])
-        return 1 / (1 + np.exp(-(self.slope * top + self.offset)))
+        return 1 / (1 + np.exp(-(self.slope * self.tops(column)[0] + self.offset)))
 
 
-def _words_of(docs: DataFrame) -> list[tuple[int, list[bytes]]]:
-    """(label, distinct words as character classes) of each training document."""
+def _strings_of(sample: DataFrame) -> DataFrame:
+    """(doc_id, label, string): the distinct strings of each training document."""
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [b""] * batch.num_rows
-            for at, data, offsets in slices(batch.column(1)):
-                chars, first, end, row = spelled(data, offsets)
-                cut = np.searchsorted(row, np.arange(len(offsets)))
-                for r in range(len(offsets) - 1):
-                    mine = {chars[first[i] : end[i]].tobytes() for i in range(cut[r], cut[r + 1])}
-                    found[at + r] = b"\0".join(sorted(mine))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["label", "words"])
-
-    rows = docs.select(F.col("label").cast("int").alias("label"), "text").mapInArrow(extract, "label int, words binary").collect()
-    return sorted((r["label"], [w for w in bytes(r["words"]).split(b"\0") if w]) for r in rows)
-
-
-def _strings(vocabulary: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    chars = np.frombuffer(b"".join(vocabulary), np.uint8)
-    end = np.cumsum([len(w) for w in vocabulary])
-    return chars, end - [len(w) for w in vocabulary], end
-
-
-def _features(vocabulary: list[bytes]) -> np.ndarray:
-    """Subsequence features of each string as rows of a table over triples."""
-    out = np.zeros((len(vocabulary), CLASSES**3), np.float32)
-    for x, w in enumerate(vocabulary):
-        w = w[:WINDOW]
-        if len(w) >= 3:
-            codes, weight = _codes(np.frombuffer(w, np.uint8)[None])
-            np.add.at(out[x], codes[0], weight)
-    return out
+            for r in range(batch.num_rows):
+                for _, data, offsets in slices(batch.column(2).slice(r, 1)):
+                    chars, *found = spelled(data, offsets)
+                    mine = np.zeros(0, f"S{WINDOW}")
+                    for first, end, _ in strings(*found):
+                        for s in range(0, len(first), PART):
+                            mine = np.union1d(mine, spelt_out(chars, first[s : s + PART], end[s : s + PART]))
+                    same = [pa.array(np.full(len(mine), batch.column(c)[r].as_py(), t)) for c, t in ((0, np.int64), (1, np.int32))]
+                    yield pa.RecordBatch.from_arrays([*same, pa.array(mine.tolist(), pa.binary())], names=["doc_id", "label", "string"])
+
+    return sample.select("doc_id", "label", "text").mapInArrow(extract, "doc_id long, label int, string binary")
+
+
+def _read(sample: DataFrame, machine: Machine) -> tuple[np.ndarray, np.ndarray, list[list[bytes]]]:
+    """Label, highest margin and three highest strings of each training document, in a fixed order."""
+    sent = sample.sparkSession.sparkContext.broadcast(machine)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            top, best = sent.value.tops(batch.column(2), 3)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(top), pa.array(best, pa.list_(pa.binary()))], names=["doc_id", "label", "top", "best"])
+
+    rows = sorted((r["doc_id"], r["label"], r["top"], [bytes(b) for b in r["best"]]) for r in sample.select("doc_id", "label", "text").mapInArrow(read, "doc_id long, label int, top double, best array<binary>").collect())
+    return np.array([r[1] for r in rows]), np.array([r[2] for r in rows]), [r[3] for r in rows]
+
+
+def _table(string: bytes) -> np.ndarray:
+    """Subsequence features of a string over all triples."""
+    c = np.frombuffer(string, np.uint8).astype(np.int64)
+    i, j, k, w = _triples(len(c))
+    return np.bincount((c[i] * CLASSES + c[j]) * CLASSES + c[k], w, CLASSES**3).astype(np.float32)
+
+
+def _laid_out(pool: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The strings of pool as one text, and their places in it."""
+    n = np.array([len(s) for s in pool], int)
+    return np.frombuffer(b"".join(pool), np.uint8), np.cumsum(n) - n, np.cumsum(n)
 
 
 def _far_apart(pool: list[bytes], m: int) -> list[bytes]:
-    """At most m strings of pool, each the farthest in the kernel from those before."""
-    phi = _features(pool)
-    own = (phi * phi).sum(axis=1)
-    nearest, chosen = np.full(len(pool), np.inf), []
+    """At most m strings of pool, each the farthest in the kernel from those before; one row of the kernel is held at a time."""
+    text, chosen = _laid_out(pool), []
+    own = np.array([float(_table(s) @ _table(s)) for s in pool])
+    nearest = own + 1
     for _ in range(min(m, len(pool))):
-        x = int(np.argmax(np.where(np.isinf(nearest), own + 1, nearest)))
+        x = int(np.argmax(nearest))
         if chosen and nearest[x] < 1e-3:
             break
         chosen.append(x)
-        nearest = np.minimum(nearest, own + own[x] - 2 * phi @ phi[x])
+        nearest = np.minimum(nearest if len(chosen) > 1 else np.inf, own + own[x] - 2 * margins(*text, _table(pool[x])))
     return [pool[x] for x in chosen]
 
 
@@ -187,13 +251,13 @@ def _svm(x: np.ndarray, y: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, float
     ridge = np.eye(x1.shape[1]) * RIDGE
     ridge[-1, -1] = 1e-6
     w = np.zeros(x1.shape[1])
-    for _ in range(50):
+    for step in range(50):
         active = y * (x1 @ w) < 1
         xa, ca = x1[active], c[active]
         new = np.linalg.solve(xa.T @ (ca[:, None] * xa) + ridge, xa.T @ (ca * y[active]))
         if np.abs(new - w).max() < 1e-8:
             break
-        w = (w + new) / 2 if _ > 15 else new
+        w = (w + new) / 2 if step > 15 else new
     return w[:-1], float(w[-1])
 
 
@@ -208,53 +272,90 @@ def _logistic(f: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(w[0]), float(w[1])
 
 
+def _fitted(positive: dict[bytes, float], negative: list[bytes]) -> Machine:
+    """A machine from strings that stand for toxic documents, with their numbers, and strings of clean ones, the hardest first."""
+    mine, weight = list(positive), np.array(list(positive.values()))
+    others = [s for s in negative if s not in positive]
+    frequent = [mine[x] for x in np.argsort(-weight, kind="stable")[:SEEDS]]
+    marks = _far_apart(frequent, LANDMARKS * 3 // 4)
+    marks += _far_apart(others[:600], LANDMARKS - len(marks))
+    tables = np.array([_table(s) for s in marks])
+    value, vector = np.linalg.eigh(tables @ tables.T)
+    keep = value > 1e-4 * value[-1]
+    whiten = vector[:, keep] / np.sqrt(value[keep])
+    text = _laid_out(mine + others)
+    k = np.stack([margins(*text, t) for t in tables], axis=1)
+    weights = np.concatenate([np.sqrt(weight) / np.sqrt(weight).sum() * max(1, len(others)) / 2, np.ones(len(others))])
+    beta, bias = _svm(k @ whiten, np.where(np.arange(len(k)) < len(mine), 1.0, -1.0), weights / max(1, len(others)) * 100)
+    return Machine(((whiten @ beta) @ tables).astype(np.float32), bias)
+
+
+def _untypical(positive: dict[bytes, float], clean: list[bytes], scale: float) -> dict[bytes, float]:
+    """The positive strings that few clean documents have a string like; clean holds the best string of each such document.
+
+    Words that copies of one toxic text share, but that are common otherwise, go so.
+    """
+    if not clean:
+        return positive
+    text, out = _laid_out(clean), {}
+    own = np.sqrt([float(_table(s) @ _table(s)) for s in clean])
+    for s, weight in sorted(positive.items(), key=lambda x: (-x[1], x[0]))[:SEEDS]:
+        table = _table(s)
+        alike = margins(*text, table) / (own * np.sqrt(float(table @ table))) > ALIKE
+        if alike.sum() * scale <= MOST_ALIKE * weight:
+            out[s] = weight
+    return out
+
+
 def trained(docs: DataFrame, labels: DataFrame) -> Machine | None:
-    """A machine from labels (doc_id, toxic) and docs (doc_id, text); None without both labels."""
-    sample = _words_of(with_texts(docs, sampled_ids(labels, (F.col("toxic") > 0).cast("int"), TRAIN_EACH)))
-    y = np.array([label for label, _ in sample])
-    if len(set(y.tolist())) < 2:
+    """A machine from labels (doc_id, toxic) and docs (doc_id, text); None without both labels, or without strings in both."""
+    spark = docs.sparkSession
+    folder = shared_dir(spark)
+    sample = with_texts(docs, sampled_ids(labels, (F.col("toxic") > 0).cast("int"), TRAIN_EACH))
+    sample = saved(sample.select("doc_id", "text", "label"), f"{folder}/sample")
+    n = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.countDistinct("doc_id").alias("n")).collect()}
+    if len(n) < 2:
+        return None
+    rows = saved(_strings_of(sample), f"{folder}/rows")
+    counts = rows.groupBy("string").agg(F.sum("label").alias("toxic"), F.sum(1 - F.col("label")).alias("clean"))
+    share = (F.col("toxic") + F.col("clean")) / (n[0] + n[1])
+    excess = (F.col("toxic") / n[1] - F.col("clean") / n[0]) / F.sqrt(F.greatest(share * (1 - share), F.lit(1e-9)) * (1 / n[0] + 1 / n[1]))
+    counts = saved(counts.withColumn("excess", excess), f"{folder}/strings")
+    clean = counts.where("clean > 0")
+    hard = [bytes(r["string"]) for r in clean.where(F.col("excess") <= LEAST_EXCESS).orderBy(F.desc("excess"), "string").limit(NEGATIVES).collect()]
+    other = [bytes(r["string"]) for r in clean.orderBy(F.xxhash64("string"), "string").limit(NEGATIVES).collect()]
+    # the strings that tell each toxic document best; the words that copies of one share with it count for little so
+    likely = counts.where((F.col("toxic") > 1) & (F.col("excess") > LEAST_EXCESS)).orderBy(F.desc("excess"), "string").limit(SEEDS).select("string", "excess")
+    known = rows.where("label = 1").select("doc_id", "string").join(F.broadcast(likely), "string")
+    known = known.withColumn("best", F.max("excess").over(Window.partitionBy("doc_id"))).where(F.col("excess") >= NEAR_BEST * F.col("best"))
+    sown = {bytes(r["string"]): float(r["count"]) for r in known.groupBy("string").count().orderBy("string").collect()}
+    if not sown:
+        sown = {bytes(r["string"]): float(r["toxic"]) for r in counts.where("toxic > 0").orderBy(F.desc("excess"), "string").limit(SEEDS).collect()}
+    if not sown or not hard:
         return None
-    vocabulary = sorted({w for _, ws in sample for w in ws if len(w) >= 3})
-    place = {w: i for i, w in enumerate(vocabulary)}
-    bags = [np.array([place[w] for w in ws if len(w) >= 3], int) for _, ws in sample]
-    df = np.zeros((2, len(vocabulary)))
-    for label, bag in zip(y, bags, strict=True):
-        df[label, bag] += 1
-    odds = np.log((df[1] + 0.5) / (y == 1).sum()) - np.log((df[0] + 0.5) / (y == 0).sum())
-    strings = _strings(vocabulary)
-    negative = np.flatnonzero(df[0] > 0)
-    scores, table, bias = odds.astype(np.float64), None, 0.0
-    for r in range(ROUNDS):
-        witness = np.array([bag[np.argmax(scores[bag])] for label, bag in zip(y, bags, strict=True) if label == 1 and len(bag)])
-        if r:  # a document whose best word looks clean (a wrong label, say) teaches nothing
-            witness = witness[scores[witness] > -0.5] if (scores[witness] > -0.5).any() else witness
-        else:
-            witness = witness[odds[witness] > np.log(3)] if (odds[witness] > np.log(3)).any() else witness
-        mine, weight = np.unique(witness, return_counts=True)
-        hard = negative[np.argsort(-scores[negative], kind="stable")[: NEGATIVES // 2]]
-        spread = negative[:: max(1, len(negative) // (NEGATIVES // 2))]
-        others = np.setdiff1d(np.union1d(hard, spread), mine)
-        frequent = mine[np.argsort(-weight, kind="stable")][:1000]
-        marks = _far_apart([vocabulary[i] for i in frequent], LANDMARKS * 3 // 4)
-        marks += _far_apart([vocabulary[i] for i in np.setdiff1d(hard[:600], mine)], LANDMARKS - len(marks))
-        phi = _features(marks)
-        gram = phi @ phi.T
-        value, vector = np.linalg.eigh(gram)
-        keep = value > 1e-4 * value[-1]
-        whiten = vector[:, keep] / np.sqrt(value[keep])
-        rows = np.concatenate([mine, others])
-        k = margins(strings[0], strings[1][rows], strings[2][rows], np.ascontiguousarray(phi.T))
-        weights = np.concatenate([np.sqrt(weight) / np.sqrt(weight).sum() * len(others) / 2, np.ones(len(others))])
-        beta, bias = _svm((k @ whiten).astype(np.float64), np.where(np.arange(len(rows)) < len(mine), 1.0, -1.0), weights / len(others) * 100)
-        table = ((whiten @ beta) @ phi).astype(np.float32)
-        scores = margins(*strings, table).astype(np.float64) + bias
-    top = np.array([max(LOWEST, scores[bag].max()) if len(bag) else LOWEST for bag in bags])
-    slope, offset = _logistic(top, y.astype(float))
-    return Machine(table, bias, slope, offset)
+    machine = None
+    positive, common = sown, set()
+    for _ in range(ROUNDS):
+        machine = _fitted(positive, list(dict.fromkeys(hard + other)))
+        label, top, best = _read(sample, machine)
+        hard = [s for x in np.argsort(-top, kind="stable") if label[x] == 0 for s in best[x]]
+        hard = list(dict.fromkeys(hard))[:NEGATIVES]
+        # a document whose best sentence looks clean (a wrong label, say) teaches nothing
+        witness = [best[x][0] for x in range(len(top)) if label[x] == 1 and best[x] and top[x] > -0.5]
+        found = sown | {s: max(float(witness.count(s)), sown.get(s, 0.0)) for s in sorted(set(witness) - common)}
+        kept = _untypical(found, [best[x][0] for x in range(len(top)) if label[x] == 0 and best[x] and top[x] > -0.5], n[1] / n[0])
+        common |= set(found) - set(kept)  # for good: without them the next fit has nothing against them
+        sown = {s: weight for s, weight in sown.items() if s in kept}
+        positive = kept or positive
+    machine.slope, machine.offset = _logistic(top, label.astype(float))
+    for name in ("sample", "rows", "strings"):
+        dropped(spark, f"{folder}/{name}")
+    return machine
 
 
 def scored(docs: DataFrame, machine: Machine | None) -> DataFrame:
-    """docs with a score column (0 to 1)."""
+    """docs with a column toxic_score (0 to 1)."""
+    docs = without(docs, "toxic_score")
     sent = docs.sparkSession.sparkContext.broadcast(machine)
     at = docs.columns.index("text")
 
