@@ -4,33 +4,38 @@ Two documents link when 100 * |A & B| >= 75 * |A | B|.  The result has every
 document's component under these links.
 
 1. Classes.  Documents with the same shingle set are one class, named by a 64-bit
-   hash of the set; exact copies never meet again.
+   hash of the set; where a second hash shows that two sets share a name, both
+   are named by both hashes.  Exact copies never meet again.
 2. Partition.  Linked sets share one of their first n - ceil(3n/4) + 1 shingles
    in any fixed order of all shingles.  The order here is by hash, with the
    ``HOT_SHINGLES`` most frequent shingles (counted over all documents) last.
    The classes with the same shingle among their first form a cell, and cells
-   with the same smallest class are one.  A blocked Bloom filter of the shingles
-   that several classes have keeps the others out of the shuffle that builds the
-   cells; it has at most ``MOST_BLOCKS`` blocks, and only costs speed when full.
+   with the same smallest class are one.  The frequent shingles' smallest classes
+   are aggregated before any shuffle and handed out by a broadcast of at most
+   ``HOT_SHINGLES`` rows, so no task gets all classes of one of them.
 3. Points.  Each shingle is hashed into one of ``GROUPS`` groups; the group
    counts of a class are its point.  The summed coordinate minima of two points
    bound the overlap from above, and so do those of the upper corners of two
    rectangles.  Pairs that pass are bounded again with finer groups, at least half
-   as many as the class has shingles.
+   as many as the class has shingles; a point is kept as its finer counts,
+   Zstandard-compressed.
 4. Stars.  In each cell every class is held against the cell's smallest class:
    pairs whose bounds allow a link are verified on their sets.  This joins large
-   groups of near copies with a number of pairs linear in them.
-5. R-trees.  In each cell whose classes are still in different components an
-   R-tree is bulk-loaded and joined with itself by the bound; surviving pairs of
-   different components are verified.  Cells of more than ``CELL`` classes are
+   groups of near copies with a number of pairs linear in them.  The set of a
+   class with many partners is copied to a task for each ``STAR`` of them.
+5. R-trees.  In each cell whose classes are not all known to be joined an
+   R-tree is bulk-loaded and joined with itself by the bound; surviving pairs
+   not known to be joined are verified.  Cells of more than ``CELL`` classes are
    dealt into parts, and every two parts are joined by a task of their own, so
    no pair is left out.
 6. Components of the verified links, in Spark.
 
 Words and shingles are those of ``textvec``; sets are compared by 64-bit shingle
-hashes.  Texts without words, null texts and rows without doc_id link with
-nothing and are their own component.  Rows that repeat a doc_id count as the
-texts they have.  An empty table gives an empty result.
+hashes.  The links that are found span each component; pairs inside one that is
+already joined are not verified again.  Texts without words and null texts link
+with nothing and are their own component.  Rows with a null doc_id link like
+others; a component of nothing but such rows is null.  Rows that repeat a doc_id
+count as the texts they have.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -40,12 +45,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .hashing import block_of, bloom_filter, may_contain
-from .shared import dropped, saved, shared_dir, spread
+from .shared import dropped, free_name, keyed_join, saved, shared_dir, spread
 from .textvec import row_shingles, shingle_hashes, slices, word_hashes, words
 
 NUMERATOR, DENOMINATOR = 3, 4
@@ -53,10 +57,9 @@ GROUPS = 128
 FINE_BITS = (9, 15)
 HOT_SHINGLES = 50_000
 HOT_IN_SLICE = 8
-CELL = 1024
+CELL, STAR = 1024, 1024
 LEAF = 16
-BROADCAST_IDS = 2_000_000
-MOST_BLOCKS = 1 << 20
+BROADCAST_ROWS = 500_000
 
 
 def needed(n: np.ndarray, m: np.ndarray) -> np.ndarray:
@@ -83,66 +86,83 @@ def frequent_shingles(docs: DataFrame) -> np.ndarray:
     return np.sort(np.array([r["token"] for r in found], np.int64).view(np.uint64))
 
 
-def features(docs: DataFrame, hot: np.ndarray) -> DataFrame:
-    """(doc_id, n_shingles, cls, prefix, point) of docs (doc_id, text)."""
+def class_names(s: np.ndarray) -> tuple[int, int]:
+    """Two 64-bit names of a sorted set."""
+    d = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
+    return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
+
+
+def features(docs: DataFrame, hot: np.ndarray, row: str | None = None) -> DataFrame:
+    """(doc_id, [row], text_hash, n_shingles, cls, cls2, prefix, hot_prefix, fine) of docs (doc_id, text)."""
     sent = docs.sparkSession.sparkContext.broadcast(hot)
-    kind = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("cls", pa.int64()), ("prefix", pa.list_(pa.int64())), ("point", pa.binary()), ("fine", pa.binary())])
+    new = [("n_shingles", pa.int64()), ("cls", pa.int64()), ("cls2", pa.int64()), ("prefix", pa.list_(pa.int64())), ("hot_prefix", pa.list_(pa.int64())), ("fine", pa.binary())]
+
+    def lists(parts: list[np.ndarray | None]) -> pa.Array:
+        ends = np.cumsum([0] + [0 if p is None else len(p) for p in parts], dtype=np.int32)
+        flat = [p for p in parts if p is not None]
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(flat).view(np.int64) if flat else np.zeros(0, np.int64)))
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot = sent.value
+        hot, point = sent.value, PointWriter()
         for batch in batches:
-            ids = batch.column(0).to_pylist()
-            sizes, classes, parts, ends, points, fine = [], [], [], [0], [], []
-            for doc_id, s in zip(ids, row_shingles(batch.column(1)), strict=True):
+            sizes, names, colds, hots, fine = [], [], [], [], []
+            for s in row_shingles(batch.column(batch.num_columns - 1)):
                 n = len(s)
                 sizes.append(n)
-                if not n or doc_id is None:
-                    classes.append(None)
-                    points.append(None)
-                    fine.append(None)
-                    ends.append(ends[-1])
-                    continue
-                classes.append(int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True))
-                counts = np.bincount((s & np.uint64(GROUPS - 1)).astype(np.intp), minlength=GROUPS)
-                points.append(counts.astype("<u1" if counts.max() < 256 else "<u4").tobytes())
-                fine.append(fine_point(s))
-                p = n - -(-NUMERATOR * n // DENOMINATOR) + 1
-                if len(hot):
-                    at = np.minimum(np.searchsorted(hot, s), len(hot) - 1)
-                    is_hot = hot[at] == s
-                    s = np.concatenate([s[~is_hot], s[is_hot]])
-                parts.append(s[:p].view(np.int64))
-                ends.append(ends[-1] + p)
-            prefix = pa.ListArray.from_arrays(pa.array(np.array(ends, np.int32)), pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), prefix, pa.array(points, pa.binary()), pa.array(fine, pa.binary())], schema=kind)
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(extract, "doc_id long, n_shingles long, cls long, prefix array<long>, point binary, fine binary")
-
-
-def fine_point(s: np.ndarray) -> bytes:
-    """Counts of a set in at least half as many groups as it has shingles: item size, log2 of the groups, counts."""
-    bits = min(FINE_BITS[1], max(FINE_BITS[0], (len(s) // 2).bit_length()))
-    counts = np.bincount((s & np.uint64((1 << bits) - 1)).astype(np.intp), minlength=1 << bits)
-    width = 1 if counts.max() < 256 else 4
-    return bytes([width, bits]) + counts.astype(f"<u{width}").tobytes()
-
-
-def fine_bound(a: bytes, b: bytes) -> int:
-    """The summed minima of two fine points, the finer one folded onto the groups of the other."""
-    x, y = (np.frombuffer(d, f"<u{d[0]}", offset=2) for d in (a, b))
-    n = min(len(x), len(y))
-    x, y = (v if len(v) == n else v.reshape(-1, n).sum(axis=0) for v in (x, y))
-    return int(np.minimum(x, y).sum(dtype=np.int64))
+                names.append(class_names(s) if n else (None, None))
+                fine.append(point.of(s) if n else None)
+                p = n - -(-NUMERATOR * n // DENOMINATOR) + 1 if n else 0
+                is_hot = hot[np.minimum(np.searchsorted(hot, s), len(hot) - 1)] == s if len(hot) else np.zeros(n, bool)
+                cold = s[~is_hot][:p]
+                colds.append(cold)
+                hots.append(s[is_hot][: p - len(cold)])
+            columns = [*batch.columns[:-1], pa.array(sizes, pa.int64()), *[pa.array([x[k] for x in names], pa.int64()) for k in (0, 1)], lists(colds), lists(hots), pa.array(fine, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[:-1], *[n for n, _ in new]])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *([F.col(row).cast("long").alias("row")] if row else []), text_hash().alias("text_hash"), F.col("text").cast("string").alias("text"))
+    kind = ", ".join(f"{c} long" for c in rows.columns[:-1])
+    return rows.mapInArrow(extract, f"{kind}, n_shingles long, cls long, cls2 long, prefix array<long>, hot_prefix array<long>, fine binary")
+
+
+def text_hash() -> F.Column:
+    """Finds a document's text again, together with its doc_id; other texts that share it only cost time."""
+    return F.xxhash64(F.col("text").cast("string"))
+
 
+class PointWriter:
+    """Counts of a set in at least half as many groups as it has shingles, compressed: item size, log2 of the groups, counts."""
 
-def point_of(data: bytes) -> np.ndarray:
-    return np.frombuffer(data, "<u1" if len(data) == GROUPS else "<u4").astype(np.int64)
+    def __init__(self):
+        import zstandard
 
+        self.zstd = zstandard.ZstdCompressor(level=1)
 
-def folded(fine: bytes) -> np.ndarray:
-    """The point of a fine point."""
-    return np.frombuffer(fine, f"<u{fine[0]}", offset=2).reshape(-1, GROUPS).sum(axis=0, dtype=np.int64)
+    def of(self, s: np.ndarray) -> bytes:
+        bits = min(FINE_BITS[1], max(FINE_BITS[0], (len(s) // 2).bit_length()))
+        counts = np.bincount((s & np.uint64((1 << bits) - 1)).astype(np.intp), minlength=1 << bits)
+        width = 1 if counts.max() < 256 else 4
+        return bytes([width]) + self.zstd.compress(counts.astype(f"<u{width}").tobytes())
+
+
+class PointReader:
+    def __init__(self):
+        import zstandard
+
+        self.zstd = zstandard.ZstdDecompressor()
+
+    def fine(self, data: bytes) -> np.ndarray:
+        return np.frombuffer(self.zstd.decompress(data[1:]), f"<u{data[0]}")
+
+    def coarse(self, data: bytes) -> np.ndarray:
+        """The point in GROUPS groups."""
+        return self.fine(data).reshape(-1, GROUPS).sum(axis=0, dtype=np.int64)
+
+
+def fine_bound(x: np.ndarray, y: np.ndarray) -> int:
+    """The summed minima of two fine points, the finer one folded onto the groups of the other."""
+    n = min(len(x), len(y))
+    x, y = (v if len(v) == n else v.reshape(-1, n).sum(axis=0) for v in (x, y))
+    return int(np.minimum(x, y).sum(dtype=np.int64))
 
 
 class CountTree:
@@ -209,79 +229,88 @@ def joined(a: CountTree, b: CountTree, same: bool, at_once: int = 20_000) -> Ite
     yield from down(k, i, j)
 
 
-def _bounded(pairs: DataFrame, points: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose points allow a link."""
-    p = points.select("cls", "n_shingles", "point")
-    rows = pairs.join(p.toDF("a", "na", "pa"), "a").join(p.toDF("b", "nb", "pb"), "b")
-    rows = rows.where("4 * na >= 3 * nb and 4 * nb >= 3 * na").select("a", "b", "na", "nb", "pa", "pb")
+def _bounded(pairs: DataFrame, points: DataFrame, partners: DataFrame, folder: str) -> DataFrame:
+    """The pairs (a, b) whose sizes and points allow a link; partners (a, n) counts the pairs of each a."""
+    p = points.select("cls", "n_shingles", "fine")
+    sized = pairs.join(p.select(F.col("cls").alias("b"), F.col("n_shingles").alias("nb")), "b")
+    sized = keyed_join(sized, partners.join(p.select(F.col("cls").alias("a"), F.col("n_shingles").alias("na")), "a"), "a", "n", partners)
+    sized = saved(sized.where("4 * na >= 3 * nb and 4 * nb >= 3 * na"), f"{folder}-sized")
+    partners = saved(sized.groupBy("a").agg(F.count("*").alias("n")), f"{folder}-firsts")
+    seconds = sized.join(p.select(F.col("cls").alias("b"), F.col("fine").alias("pb")), "b")
+    firsts = partners.join(p.select(F.col("cls").alias("a"), F.col("fine").alias("pa")), "a")
+    rows = keyed_join(seconds, firsts, "a", "n", partners).select("a", "b", "na", "nb", "pa", "pb")
 
     def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        point, last, x = PointReader(), None, None
         for batch in batches:
-            if batch.num_rows:
-                x, y = (np.stack([point_of(v) for v in batch.column(c).to_pylist()]) for c in (4, 5))
-                ok = np.minimum(x, y).sum(axis=1) >= needed(batch.column(2).to_numpy(), batch.column(3).to_numpy())
-                yield batch.select([0, 1]).filter(pa.array(ok))
+            ok = []
+            for n, m, p, q in zip(*(batch.column(c).to_pylist() for c in range(2, 6)), strict=True):
+                if p != last:
+                    last, x = p, point.fine(p)
+                ok.append(fine_bound(x, point.fine(q)) >= needed(n, m))
+            yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
 
     return rows.mapInArrow(bound, "a long, b long")
 
 
-def _refined(pairs: DataFrame, points: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose fine points allow a link.  Long texts share most coarse groups; this keeps their sets from being sent in vain."""
-    p = points.select("cls", "n_shingles", "fine")
-    rows = pairs.join(p.toDF("a", "na", "pa"), "a").join(p.toDF("b", "nb", "pb"), "b").select("a", "b", "na", "nb", "pa", "pb")
+def _sets(docs: DataFrame, wanted: DataFrame, clashes: list[int]) -> DataFrame:
+    """(cls, shingles) of classes, from one document (doc_id, text_hash) of each; other classes may come too."""
+    spark = docs.sparkSession
+    key = lambda: F.xxhash64("doc_id", "text_hash").alias("key")
+    wanted = wanted.select(key())
+    if wanted.count() <= BROADCAST_ROWS:
+        wanted = F.broadcast(wanted)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash().alias("text_hash"), F.col("text").cast("string").alias("text"))
+    rows = rows.select(key(), "text").join(wanted, "key", "left_semi").select("text")
 
-    def refine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            na, nb, x, y = (batch.column(c).to_pylist() for c in range(2, 6))
-            ok = [fine_bound(p, q) >= needed(n, m) for n, m, p, q in zip(na, nb, x, y, strict=True)]
-            yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
+            sets = [s for s in row_shingles(batch.column(0)) if len(s)]
+            names = [class_names(s) for s in sets]
+            yield pa.RecordBatch.from_arrays([*[pa.array([x[k] for x in names], pa.int64()) for k in (0, 1)], pa.array([s.tobytes() for s in sets], pa.binary())], names=["cls", "cls2", "shingles"])
 
-    return rows.mapInArrow(refine, "a long, b long")
+    found = _renamed(rows.mapInArrow(extract, "cls long, cls2 long, shingles binary"), clashes)
+    return saved(found.select("cls", "shingles").dropDuplicates(["cls"]), shared_dir(spark))
 
 
-def _sets(docs: DataFrame, points: DataFrame) -> DataFrame:
-    """(cls, shingles) of the classes in points, from one document of each; other classes of a repeated doc_id may come too."""
-    spark = docs.sparkSession
-    wanted = points.select("doc_id")
-    if wanted.count() <= BROADCAST_IDS:
-        wanted = F.broadcast(wanted)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(wanted, "doc_id", "left_semi")
+def _renamed(rows: DataFrame, clashes: list[int]) -> DataFrame:
+    """rows, with the names that several sets share replaced by a hash of both names."""
+    return rows.withColumn("cls", F.when(F.col("cls").isin(clashes), F.xxhash64("cls", "cls2")).otherwise(F.col("cls"))) if clashes else rows
 
-    def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            classes, sets = [], []
-            for s in row_shingles(batch.column(1)):
-                if len(s):
-                    classes.append(int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True))
-                    sets.append(s.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(classes, pa.int64()), pa.array(sets, pa.binary())], names=["cls", "shingles"])
 
-    return saved(rows.mapInArrow(extract, "cls long, shingles binary").dropDuplicates(["cls"]), shared_dir(spark))
+def _clashes(rows: DataFrame) -> list[int]:
+    """Names that several sets share: at 10**11 different texts a few hundred."""
+    two = rows.where("cls is not null").groupBy("cls").agg(F.min("cls2").alias("x"), F.max("cls2").alias("y")).where("x != y")
+    return sorted(r["cls"] for r in two.select("cls").collect())
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, points: DataFrame) -> DataFrame:
-    """The pairs (a, b) that link.  Each b's set goes to its a, whose set comes first."""
-    wanted = pairs.select("a").toDF("cls").union(pairs.select("b").toDF("cls")).distinct()
-    sets = _sets(docs, points.select("cls", "doc_id").join(wanted, "cls", "left_semi"))
-    seconds = pairs.join(sets.select(F.col("cls").alias("b"), "shingles"), "b").select("a", "b", "shingles")
-    firsts = pairs.select("a").distinct().join(sets.select(F.col("cls").alias("a"), "shingles"), "a").select("a", F.lit(None).cast("long").alias("b"), "shingles")
+def _verified(docs: DataFrame, pairs: DataFrame, points: DataFrame, clashes: list[int], folder: str) -> DataFrame:
+    """The pairs (a, b) that link.  Each b's set goes to a task with its a, whose set comes first; an a of many partners has several tasks."""
+    spark = pairs.sparkSession
+    partners = saved(pairs.groupBy("a").agg(F.count("*").alias("n")), f"{folder}-partners")
+    wanted = partners.select("a").toDF("cls").union(pairs.select("b").toDF("cls")).distinct()
+    sets = _sets(docs, points.join(wanted, "cls", "left_semi"), clashes)
+    parts = F.ceil(F.col("n") / STAR).cast("int")
+    dealt = keyed_join(pairs, partners.withColumn("parts", parts), "a", "n").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"))
+    seconds = dealt.join(sets.toDF("b", "shingles"), "b").select("a", "part", "b", "shingles")
+    firsts = partners.join(sets.toDF("a", "shingles"), "a").select("a", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.lit(None).cast("long").alias("b"), "shingles")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, mine = None, None
         for batch in batches:
             out = []
-            for a, b, data in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
+            for a, part, b, data in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
                 s = np.frombuffer(data, np.uint64)
                 if b is None:
-                    current, mine = a, s
-                elif a == current:
+                    current, mine = (a, part), s
+                elif (a, part) == current:
                     shared = len(mine) + len(s) - len(np.union1d(mine, s))
                     if shared >= needed(len(mine), len(s)):
                         out.append((a, b))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["a", "b"])
 
-    rows = firsts.unionByName(seconds).repartition(spread(pairs.sparkSession), "a").sortWithinPartitions("a", F.col("b").asc_nulls_first())
+    rows = firsts.unionByName(seconds).repartition(spread(spark), "a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
     return rows.mapInArrow(verify, "a long, b long")
 
 
@@ -291,89 +320,122 @@ def _tree_pairs(members: DataFrame) -> DataFrame:
     Pairs of one component need no link.
     """
 
-    def pairs_of(rows: list[tuple]) -> list[tuple[int, int]]:
-        i, j = rows[0][1], rows[0][2]
-        sides = [[r for r in rows if r[3] == s] for s in ((0,) if i == j else (0, 1))]
+    def pairs_of(rows: list[tuple], point: PointReader) -> Iterator[tuple[int, int]]:
+        same = rows[0][1] == rows[0][2]
+        sides = [[r for r in rows if r[3] == s] for s in ((0,) if same else (0, 1))]
         if not all(sides):
-            return []
-        trees = [CountTree(np.stack([folded(r[7]) for r in s]), np.array([r[6] for r in s])) for s in sides]
-        out = []
-        for x, y in joined(trees[0], trees[-1], i == j):
+            return
+        fine = [[point.fine(r[7]) for r in s] for s in sides]
+        trees = [CountTree(np.stack([x.reshape(-1, GROUPS).sum(axis=0, dtype=np.int64) for x in f]), np.array([r[6] for r in s])) for f, s in zip(fine, sides, strict=True)]
+        for x, y in joined(trees[0], trees[-1], same):
             for p, q in zip(x.tolist(), y.tolist(), strict=True):
                 r, s = sides[0][p], sides[-1][q]
-                if r[5] != s[5] and fine_bound(r[7], s[7]) >= needed(r[6], s[6]):
-                    out.append((min(r[4], s[4]), max(r[4], s[4])))
-        return out
+                if r[5] != s[5] and fine_bound(fine[0][p], fine[-1][q]) >= needed(r[6], s[6]):
+                    yield min(r[4], s[4]), max(r[4], s[4])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, rows = None, []
+        key, rows, point = None, [], PointReader()
+        found: set[tuple[int, int]] = set()
 
-        def batch_of(found: list[tuple[int, int]]) -> pa.RecordBatch:
+        def batch_of() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=["a", "b"])
 
-        found: list[tuple[int, int]] = []
         for batch in batches:
             for r in zip(*(batch.column(c).to_pylist() for c in range(8)), strict=True):
                 if r[:3] != key:
                     if len(rows) > 1:
-                        found += pairs_of(rows)
+                        found.update(pairs_of(rows, point))
                     key, rows = r[:3], []
                 rows.append(r)
             if len(found) > 10_000:
-                yield batch_of(found)
-                found = []
+                yield batch_of()
+                found.clear()
         if len(rows) > 1:
-            found += pairs_of(rows)
+            found.update(pairs_of(rows, point))
         if found:
-            yield batch_of(found)
+            yield batch_of()
 
     return members.mapInArrow(search, "a long, b long")
 
 
-def linked(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, cls and component_id of every row of docs (doc_id, text)."""
+def _cells(has: DataFrame) -> DataFrame:
+    """(cell, cls): the classes that share one of their first shingles with a smaller class, under the smallest of each shingle."""
+    cold = has.select("cls", F.explode("prefix").alias("token"))
+    least = F.first("cls").over(Window.partitionBy("token").orderBy("cls").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    cold = cold.select("cls", least.alias("cell")).where("cls != cell")
+    hot = has.select("cls", F.explode("hot_prefix").alias("token"))
+    smallest = hot.groupBy("token").agg(F.min("cls").alias("cell"))  # of the HOT_SHINGLES broadcast ones only
+    hot = hot.join(F.broadcast(smallest), "token").where("cls != cell")
+    return cold.select("cell", "cls").unionByName(hot.select("cell", "cls")).distinct()
+
+
+def linked(docs: DataFrame, row: str | None = None) -> DataFrame:
+    """doc_id, n_shingles, cls, root and component_id of every row of docs (doc_id, text), and its column ``row`` as row if one is named.
+
+    root is the same class for all rows of a component, null for rows without words.
+    """
     spark = docs.sparkSession
     folder = shared_dir(spark)
-    feats = saved(features(docs, frequent_shingles(docs)), f"{folder}/features")
+    feats = saved(features(docs, frequent_shingles(docs), row), f"{folder}/features")
+    clashes = _clashes(feats)
+    feats = _renamed(feats, clashes)
     has = feats.where("cls is not null")
-
-    rows = has.select("cls", F.explode("prefix").alias("token"))
-    shared = rows.groupBy("token").agg(F.min("cls").alias("least"), F.max("cls").alias("most")).where("least < most").select("token", "least")
-    shared = saved(shared, f"{folder}/shared")
-    n_blocks = max(16, min(MOST_BLOCKS, 1 << (shared.count() // 4).bit_length()))
-    listed = F.broadcast(bloom_filter(shared.select(F.col("token").alias("key")), n_blocks))
-    likely = rows.withColumn("block", block_of(F.col("token"), n_blocks)).join(listed, "block").where(may_contain(F.col("bits"), F.col("token"))).select("cls", "token")
-    cells = likely.join(shared, "token").where("cls != least").select(F.col("least").alias("cell"), "cls").distinct()
-    cells = saved(cells, f"{folder}/cells")
-    dropped(spark, f"{folder}/shared")
-
-    members = cells.unionByName(cells.select("cell", F.col("cell").alias("cls")).distinct())
-    columns = ["n_shingles", "point", "fine"]
-    in_cells = has.select("cls", "doc_id", *columns).join(members.select("cls").distinct(), "cls", "left_semi")
-    points = saved(in_cells.groupBy("cls").agg(F.min("doc_id").alias("doc_id"), *[F.first(c).alias(c) for c in columns]), f"{folder}/points")
-
-    near = _refined(_bounded(cells.toDF("a", "b"), points), points)
-    links = saved(_verified(docs, saved(near, f"{folder}/near"), points), f"{folder}/links")
-    found = components(links, f"{folder}/first")
-
-    # pairs with the smallest class are settled, so it stays out of its cell from here on
-    member = cells.join(found.toDF("cls", "component"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
-    member = saved(member, f"{folder}/members")
+    cells = saved(_cells(has), f"{folder}/cells")
+
+    members = cells.select("cls").union(cells.select("cell")).distinct()
+    in_cells = has.select("cls", "doc_id", "text_hash", "n_shingles", "fine").join(members, "cls", "left_semi")
+    points = in_cells.groupBy("cls").agg(F.min(F.struct("doc_id", "text_hash")).alias("doc"), F.first("n_shingles").alias("n_shingles"), F.first("fine").alias("fine"))
+    points = saved(points.select("cls", "doc.*", "n_shingles", "fine"), f"{folder}/points")
+    own = saved(feats.select("doc_id", "n_shingles", "cls", *(["row"] if row else [])), f"{folder}/classes")
+    dropped(spark, f"{folder}/features")
+
+    sizes = saved(cells.groupBy("cell").agg(F.count("*").alias("n")), f"{folder}/sizes")
+    near = saved(_bounded(cells.toDF("a", "b"), points, sizes.toDF("a", "n"), f"{folder}/near"), f"{folder}/near")
+    links = saved(_verified(docs, near, points, clashes, f"{folder}/near"), f"{folder}/links")
+
+    # pairs with the smallest class are settled, so it stays out of its cell from here on; those linked with it
+    # are joined by it, and the others known to be joined are those linked with the same smallest class elsewhere
+    least = links.groupBy("b").agg(F.min("a").alias("least"))
+    own_least = least.toDF("cls", "cls_least")
+    linked_here = links.select(F.col("a").alias("cell"), F.col("b").alias("cls"), F.lit(True).alias("here"))
+    of_cell = saved(sizes.join(least.toDF("cell", "cell_least"), "cell", "left"), f"{folder}/cells-least")
+    member = cells.join(linked_here, ["cell", "cls"], "left").join(own_least, "cls", "left")
+    member = keyed_join(member, of_cell, "cell", "n", sizes)
+    component = F.when(F.col("here"), F.coalesce("cell_least", "cell")).otherwise(F.coalesce("cls_least", "cls"))
+    member = saved(member.select("cell", "cls", component.alias("component")), f"{folder}/members")
     open_ = member.groupBy("cell").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count("*").alias("n")).where("c0 < c1")
-    open_ = open_.select("cell", F.ceil(F.col("n") / CELL).cast("int").alias("parts"))
+    open_ = saved(open_.select("cell", F.ceil(F.col("n") / CELL).cast("int").alias("parts"), "n"), f"{folder}/open")
     part = F.pmod(F.xxhash64("cell", "cls"), F.col("parts")).cast("int")
-    dealt = member.join(open_, "cell").withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    dealt = keyed_join(member, open_, "cell", "n").withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     dealt = dealt.select("cell", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), (F.col("part") > F.col("other")).cast("int").alias("side"), "cls", "component")
     dealt = dealt.join(points.select("cls", "n_shingles", "fine"), "cls").select("cell", "i", "j", "side", "cls", "component", "n_shingles", "fine")
     dealt = dealt.repartition(spread(spark), "cell", "i", "j").sortWithinPartitions("cell", "i", "j", "side")
     rest = saved(_tree_pairs(dealt).distinct(), f"{folder}/rest")
-    links = saved(links.unionByName(_verified(docs, rest, points)), f"{folder}/all")
-    feats = saved(feats.select("doc_id", "n_shingles", "cls"), f"{folder}/classes")
-    for name in ("members", "cells", "near", "links", "rest", "points", "features"):
+    links = saved(links.unionByName(_verified(docs, rest, points, clashes, f"{folder}/rest")), f"{folder}/all")
+    for name in ("members", "cells", "near", "near-sized", "near-firsts", "near-partners", "links", "rest", "rest-partners", "points", "sizes", "open", "cells-least"):
         dropped(spark, f"{folder}/{name}")
 
     found = components(links, f"{folder}/last").toDF("cls", "root")
-    own = feats.select("doc_id", "n_shingles", "cls").join(found, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    least = own.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least_id"))
-    out = own.join(least, "root", "left")
-    return out.select("doc_id", "n_shingles", "cls", F.when(F.col("doc_id").isNotNull(), F.coalesce("least_id", "doc_id")).alias("component_id"))
+    classes = own.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("n"))
+    classes = saved(classes.join(found, "cls", "left").withColumn("root", F.coalesce("root", "cls")), f"{folder}/roots")
+    roots = classes.groupBy("root").agg(F.min("least_id").alias("component_id"), F.count("*").alias("n_classes"))
+    named = saved(keyed_join(classes.drop("least_id"), roots, "root", "n_classes").select("cls", "root", "component_id", "n"), f"{folder}/named")
+    linked_rows = keyed_join(own.where("cls is not null"), named, "cls", "n")
+    alone = own.where("cls is null").withColumns({"root": F.lit(None).cast("long"), "component_id": F.col("doc_id")})
+    return linked_rows.select(alone.columns).unionByName(alone)
+
+
+def without_copies(docs: DataFrame) -> DataFrame:
+    """The rows of docs without near copies: of each component one row stays, that of the smallest doc_id (null last).
+
+    Of rows that repeat that doc_id the first stays, as they are stored.  Rows
+    without words all stay.
+    """
+    spark = docs.sparkSession
+    row = free_name(docs, "row_no")
+    rows = saved(docs.withColumn(row, F.monotonically_increasing_id()), f"{shared_dir(spark)}/rows")
+    found = linked(rows, row).where("root is not null").select("row", "root", "doc_id")
+    found = saved(found, f"{shared_dir(spark)}/found")
+    kept = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")).alias("kept")).select(F.col("kept.row").alias("row"))
+    copies = found.join(kept, "row", "left_anti").select(F.col("row").alias(row))
+    return rows.join(copies, row, "left_anti").drop(row)
