@@ -11,7 +11,8 @@ nothing, so (k, name) is one identity without collisions.
 
 Values that over a thousandth of a round's rows share (so at most a thousand)
 are named first, from their distinct values, and handed to their rows by a
-broadcast join; those rows are then dealt out evenly instead of by value.
+broadcast join; those rows are then dealt out evenly instead of by value.  Large
+groups of equal texts get their kept row by broadcast too.
 
 Only DataFrame functions are used.  Null text counts as empty, and all empty
 texts are equal.  Of equal texts the row with the largest doc_id stays; if rows
@@ -25,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import dropped, saved, shared_dir
+from .shared import dropped, keyed_join, saved, shared_dir
 
 BLOCK_BYTES = 4096
 HOT_PARTS = 1000
@@ -93,6 +94,8 @@ def identities(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
 
 def duplicates(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, keep_id, group_size, kept and text_sha256 of every row of docs (doc_id, text)."""
-    ids = identities(docs, block_bytes)
+    folder = shared_dir(docs.sparkSession)
+    ids = saved(identities(docs, block_bytes), f"{folder}/ids")
     groups = ids.groupBy("k", "name").agg(F.count("*").alias("group_size"), F.max(F.struct(F.col("doc_id").isNotNull().alias("has"), F.col("doc_id").alias("doc_id"), (-F.col("row_id")).alias("row"))).alias("keep"))
-    return ids.join(groups, ["k", "name"]).select("doc_id", F.col("keep.doc_id").alias("keep_id"), "group_size", (F.col("keep.row") == -F.col("row_id")).alias("kept"), F.col("sha").alias("text_sha256"))
+    groups = saved(groups, f"{folder}/groups").withColumn("rows", F.col("group_size"))
+    return keyed_join(ids, groups, ["k", "name"], "rows").select("doc_id", F.col("keep.doc_id").alias("keep_id"), "group_size", (F.col("keep.row") == -F.col("row_id")).alias("kept"), F.col("sha").alias("text_sha256"))
