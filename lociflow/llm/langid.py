@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .labelled import sampled_ids, with_texts
+from .shared import free_name, without
 from .textvec import mixed, slices
 
 HIDDEN, TRAIN_BYTES, READ_BYTES, ROWS = 8, 48, 128, 1024
@@ -128,7 +129,7 @@ def _windows_of(docs: DataFrame) -> tuple[np.ndarray, list[str]]:
                 if not data:
                     continue
                 data = data * (-(-TRAIN_BYTES // len(data)))
-                at = mixed(np.array([doc_id * WINDOWS + w for w in range(WINDOWS)], np.int64).view(np.uint64)) % np.uint64(len(data) - TRAIN_BYTES + 1)
+                at = mixed(np.full(WINDOWS, doc_id, np.int64).view(np.uint64) * np.uint64(WINDOWS) + np.arange(WINDOWS, dtype=np.uint64)) % np.uint64(len(data) - TRAIN_BYTES + 1)
                 out += [data[int(a) : int(a) + TRAIN_BYTES] for a in at]
                 names += [label] * WINDOWS
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()), pa.array(names, pa.string())], names=["w", "label"])
@@ -151,7 +152,7 @@ def fitted(x: np.ndarray, y: np.ndarray, labels: list[str], seed: int = 5) -> Ne
     m1, m2 = ({k: np.zeros_like(a) for k, a in p.items()} for _ in range(2))
     by_class = [np.flatnonzero(y == k) for k in range(n_labels)]
     for it in range(1, STEPS + 1):
-        rows = np.concatenate([rng.choice(c, BATCH // n_labels) for c in by_class])
+        rows = np.concatenate([rng.choice(c, max(1, BATCH // n_labels)) for c in by_class])
         b, target = len(rows), y[rows]
         xs = x[rows].T
         both = np.stack([xs, xs[::-1]])  # (2, T, B): the second layer reads backwards
@@ -209,10 +210,11 @@ def trained(docs: DataFrame, learn_from: DataFrame) -> Network | None:
 
 
 def labelled(docs: DataFrame, network: Network | None) -> DataFrame:
-    """docs with lang_pred and score columns."""
+    """docs with lang_pred and score columns, in the place of columns of these names."""
+    docs = without(docs, "lang_pred", "score")
     sent = docs.sparkSession.sparkContext.broadcast(network)
     has_letter = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
-    rows = docs.withColumn("_letter", has_letter)
+    rows = docs.withColumn(free_name(docs, "has_letter"), has_letter)
     at = docs.columns.index("text")
     schema = docs.withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0)}).schema
 

@@ -14,7 +14,7 @@ ratings have, in order.
 Null and empty texts have no features and are scored by the thresholds alone.
 Without ratings of two grades every score is null and nothing is selected.
 Repeated rows are each scored; an empty table gives an empty result; extra
-columns pass through.
+columns pass through, but for those of the names that are added.
 """
 
 from __future__ import annotations
@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .labelled import sampled_ids, with_texts
+from .shared import without
 from .textvec import mixed, slices, word_hashes, words
 
 DIMENSIONS, TRAIN_EACH, STEPS, RATE, RIDGE = 1 << 16, 2500, 200, 0.3, 2e-4
@@ -80,13 +81,15 @@ class Ordinal:
         """P(grade > k) for every k but the last."""
         return 1 / (1 + np.exp(np.clip(self.thresholds - s[:, None], -50, 50)))
 
-    def scores(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Expected grade and tail probability of the top grade of each row."""
+    def scores(self, column: pa.Array, least_grade: float | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Expected grade, probability of least_grade or more, and probability of the top grade of each row."""
         s = np.zeros(len(column))
         for at, r, place, value, n in sparse(column):
             s[at : at + n] = np.bincount(r, self.weights[place] * value, minlength=n)
         tail = self.tails(s)
-        return self.grades[0] + tail @ np.diff(self.grades), tail[:, -1]
+        below = len(self.grades) - 1 if least_grade is None else sum(g < least_grade for g in self.grades)
+        wanted = np.hstack([np.ones((len(s), 1)), tail, np.zeros((len(s), 1))])[:, below]
+        return self.grades[0] + tail @ np.diff(self.grades), wanted, tail[:, -1]
 
 
 def fitted(rows: np.ndarray, places: np.ndarray, values: np.ndarray, y: np.ndarray, grades: list[float]) -> Ordinal:
@@ -141,22 +144,26 @@ def trained(docs: DataFrame, ratings: DataFrame) -> Ordinal | None:
     return fitted(rows, np.concatenate(places).astype(np.int64), values, np.array([grades.index(r[1]) for r in found]), grades)
 
 
-def graded(docs: DataFrame, model: Ordinal | None, least_tail: float = 0.5) -> DataFrame:
-    """docs with expected_grade, top_tail and keep (top_tail >= least_tail)."""
+def graded(docs: DataFrame, model: Ordinal | None, least_grade: float | None = None, least_tail: float = 0.5) -> DataFrame:
+    """docs with expected_grade, tail, top_tail and keep (tail >= least_tail), in the place of columns of these names.
+
+    tail is the probability of least_grade or more (by default the highest grade), top_tail that of the highest grade.
+    """
+    docs = without(docs, "expected_grade", "tail", "top_tail", "keep")
     sent = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
     none = F.lit(None).cast("double")
-    schema = docs.withColumns({"expected_grade": none, "top_tail": none, "keep": F.lit(None).cast("boolean")}).schema
+    schema = docs.withColumns({"expected_grade": none, "tail": none, "top_tail": none, "keep": F.lit(None).cast("boolean")}).schema
 
     def grade(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
         for batch in batches:
             n = batch.num_rows
             if model:
-                expected, tail = model.scores(batch.column(at))
-                new = [pa.array(expected), pa.array(tail), pa.array(tail >= least_tail)]
+                expected, tail, top = model.scores(batch.column(at), least_grade)
+                new = [pa.array(expected), pa.array(tail), pa.array(top), pa.array(tail >= least_tail)]
             else:
-                new = [pa.nulls(n, pa.float64()), pa.nulls(n, pa.float64()), pa.array(np.zeros(n, bool))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*batch.schema.names, "expected_grade", "top_tail", "keep"])
+                new = [*[pa.nulls(n, pa.float64())] * 3, pa.array(np.zeros(n, bool))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*batch.schema.names, "expected_grade", "tail", "top_tail", "keep"])
 
     return docs.mapInArrow(grade, schema)

@@ -35,13 +35,17 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers.get("up", ())) < n:
-        size = max(n, SLICE_BYTES) + 1
-        for key, base in (("up", _BASE), ("down", _INVERSE)):
-            p = np.full(size, base, dtype=np.uint64)
-            p[0] = 1
-            _powers[key] = np.multiply.accumulate(p)
-    return _powers["up"], _powers["down"]
+    """Powers of the base and of its inverse; those for a usual slice are kept, longer ones last for one text."""
+    if n <= len(_powers.get("up", ())):
+        return _powers["up"], _powers["down"]
+    size, out = max(n, SLICE_BYTES + 2), {}
+    for key, base in (("up", _BASE), ("down", _INVERSE)):
+        p = np.full(size, base, dtype=np.uint64)
+        p[0] = 1
+        out[key] = np.multiply.accumulate(p)
+    if size <= SLICE_BYTES + 2:
+        _powers.update(out)
+    return out["up"], out["down"]
 
 
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -29,7 +29,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import saved, shared_dir, spread
+from .shared import keyed_join, saved, shared_dir, spread
 
 FRAME_BYTES = 256 * 1024
 LEAST_REVISIT = 100
@@ -139,15 +139,17 @@ def read_record(uri: str, path: str, frame: int, offset: int, length: int) -> by
         return zstandard.ZstdDecompressor().decompress(source.read(packed), max_output_size=full)[offset : offset + length]
 
 
-def with_revisits(pages: DataFrame) -> DataFrame:
+def with_revisits(pages: DataFrame, broadcast_groups: int = BROADCAST_GROUPS) -> DataFrame:
     """(page_id, url, html, digest, n_bytes, first_id, revisit) of pages (page_id, url, html)."""
     payload = F.coalesce(F.col("html").cast("binary"), F.lit(b""))
     digest, n_bytes = F.sha2(payload, 256), F.octet_length(payload).cast("long")
     firsts = pages.select("page_id", digest.alias("digest"), n_bytes.alias("n")).where(F.col("n") >= LEAST_REVISIT)
     groups = firsts.groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("group_rows")).where("group_rows > 1")
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", payload.alias("payload"), digest.alias("digest"), n_bytes.alias("n_bytes"))
-    groups = saved(groups, f"{shared_dir(pages.sparkSession)}/groups")
-    rows = rows.join(F.broadcast(groups) if groups.count() <= BROADCAST_GROUPS else groups, "digest", "left")
+    # short payloads have no group, so each has a key of its own and none gathers them
+    key = F.when(n_bytes >= LEAST_REVISIT, digest).otherwise(F.xxhash64("page_id").cast("string"))
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", payload.alias("payload"), digest.alias("digest"), n_bytes.alias("n_bytes"), key.alias("group"))
+    groups = saved(groups.withColumnRenamed("digest", "group"), f"{shared_dir(pages.sparkSession)}/groups")
+    rows = rows.join(F.broadcast(groups), "group", "left") if groups.count() <= broadcast_groups else keyed_join(rows, groups, "group", "group_rows", how="left")
     revisit = F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))
     return rows.withColumn("revisit", revisit).withColumn("payload", F.when(~F.col("revisit"), F.col("payload")))
 

@@ -72,7 +72,6 @@ def test_token_digests(spark, docs, rows):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(TOKENIZER)
-    t.encode_special_tokens = True
     got, start = {r["doc_id"]: r for r in token_ids.digests(spark, docs, TOKENIZER).collect()}, 0
     for doc_id, text, *_ in sorted(rows):
         ids = np.append(np.array(t.encode(text or "", add_special_tokens=False).ids, "<u4"), np.uint32(0))
@@ -96,9 +95,12 @@ def test_mix_meets_targets(docs):
 
 
 def test_splitting_tree_is_exact(spark):
-    q = spark.createDataFrame([("a", 100), ("b", 7), (None, 1)], "source string, n long")
-    out = mixing.shard_quotas(q, 3, 1).collect()
-    assert {s: sum(r["quota"] for r in out if r["source"] == s) for s in ("a", "b", None)} == {"a": 100, "b": 7, None: 1}
+    q = spark.createDataFrame([(1, 100), (2, 7), (3, 1)], "source long, n long")
+    out = mixing.shard_quotas(q, 3, 1, shared_dir(spark)).collect()
+    assert {s: sum(r["quota"] for r in out if r["source"] == s) for s in (1, 2, 3)} == {1: 100, 2: 7, 3: 1}
+    for s in (1, 2, 3):
+        mine = sorted((r["shard"], r["first"], r["quota"]) for r in out if r["source"] == s)
+        assert [f for _, f, _ in mine] == [sum(q for _, _, q in mine[:k]) for k in range(8)]
     sizes = [sum(r["quota"] for r in out if r["shard"] == k) for k in range(8)]
     assert max(sizes) - min(sizes) <= 1
 
@@ -125,7 +127,8 @@ def test_tree_join_loses_no_pair():
     rng = np.random.default_rng(4)
     sets = [np.unique(rng.integers(0, 1 << 20, 60).astype(np.uint64)) for _ in range(80)]
     sets += [np.unique(np.append(sets[i][:-3], rng.integers(0, 1 << 20, 3).astype(np.uint64))) for i in range(80)]
-    points = np.array([ngram_join.folded(ngram_join.fine_point(s)) for s in sets])
+    write, read = ngram_join.PointWriter(), ngram_join.PointReader()
+    points = np.array([read.coarse(write.of(s)) for s in sets])
     tree = ngram_join.CountTree(points, np.array([len(s) for s in sets]))
     found = {(min(i, j), max(i, j)) for x, y in ngram_join.joined(tree, tree, True) for i, j in zip(x.tolist(), y.tolist(), strict=True)}
     true = {(i, j) for i in range(160) for j in range(i + 1, 160) if 4 * len(np.intersect1d(sets[i], sets[j])) >= 3 * len(np.union1d(sets[i], sets[j]))}
@@ -200,7 +203,7 @@ def test_ordered_thresholds(spark):
     docs = spark.createDataFrame([(i, grade(i) + sentence(rng, 5)) for i in range(150)], "doc_id long, text string")
     model = quality.trained(docs, spark.createDataFrame([(i, i % 3) for i in range(150)], "doc_id long, rating int"))
     assert model.thresholds[0] < model.thresholds[1]
-    expected, _ = model.scores(pa.array([grade(0), grade(1), grade(2)]))
+    expected, *_ = model.scores(pa.array([grade(0), grade(1), grade(2)]))
     assert expected[0] < expected[1] < expected[2]
     assert quality.trained(docs, spark.createDataFrame([(1, 1)], "doc_id long, rating int")) is None
 
