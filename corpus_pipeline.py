@@ -1,13 +1,16 @@
 """A corpus pipeline: five operators, each working on all that the one before kept.
 
     toxicity        documents scored 0.5 or more go
-    ngram_join      of each group of near copies the document with the smallest id stays
+    ngram_join      of each group of near copies one row stays, that with the smallest id (null last)
     decontaminate   documents that contain a benchmark item go
-    mix             sources are mixed to target weights; a whole document comes once each time it is taken
+    mix             sources are mixed to target weights; a whole document comes once each time it is taken,
+                    in the locally shuffled shards of the mix
     token_ids       the mix is written as bit-packed token shards; the result is their digest
 
 Null and empty texts pass every filter, but the mix takes none of them: their
-size is 0 words, and so is that of a text of nothing but white space.  Rows that repeat a doc_id stay together.
+size is 0 words, and so is that of a text of nothing but white space.  Rows are
+told apart by their texts and places, so rows that repeat a doc_id go or stay
+each for itself.
 """
 
 from __future__ import annotations
@@ -17,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lociflow.llm import decontam, mixing, ngram_join, token_ids, toxicity
-from lociflow.llm.shared import fold, saved, shared_dir, table
+from lociflow.llm.shared import dropped, fold, made, released, saved, shared_dir, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -29,9 +32,7 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    linked = ngram_join.linked(docs)
-    out = linked.where("component_id is not null and component_id != doc_id").select("doc_id").distinct()
-    return docs.join(out, "doc_id", "left_anti").select(*COLUMNS)
+    return ngram_join.without_copies(docs).select(*COLUMNS)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,13 +55,19 @@ STAGES = [
     ("token_ids", to_token_ids),
 ]
 
-# The scores, the draws of the mix and the token ids have no SQL form; tests/llm holds the stages against brute force.
+# The scores, the draws of the mix and the token ids have no SQL form; tests/llm/test_pipeline.py holds the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, each written as Parquet and read again."""
-    docs, folder = table(spark, sf_dir, "documents"), shared_dir(spark)
+    docs, folder, last = table(spark, sf_dir, "documents"), shared_dir(spark), None
     for k, (name, stage) in enumerate(STAGES):
-        docs = saved(stage(spark, docs, sf_dir), f"{folder}/{k}-{name}")
+        since, path = len(made), f"{folder}/{k}-{name}"
+        docs = saved(stage(spark, docs, sf_dir), path)
+        if k < len(STAGES) - 1:  # the last stage's folders hold the token shards
+            released(spark, since)
+        if last:
+            dropped(spark, last)
+        last = path
     return docs
