@@ -101,7 +101,7 @@ def test_tables(spark, tmp_path):
     (tmp_path / "p.tsv").write_text("sample_id\tbmi\tage\nA\t1.5\t40\nB\tNA\tx\n")
     assert [tuple(r) for r in readers.phenotypes(spark, str(tmp_path / "p.tsv")).orderBy("sample_id").collect()] == [("A", 1.5, 40.0), ("B", None, None)]
     (tmp_path / "q.tsv").write_text("# note\nvariant_id\tall_ancestries_call_rate_pass\tall_ancestries_hwe_pass\tall_ancestries_maf_pass\nrs1\tTrue\t1\tyes\nrs1\tTrue\t0\tyes\n")
-    assert [tuple(r) for r in readers.variant_qc(spark, str(tmp_path / "q.tsv")).collect()] == [("rs1", True, True, True)]
+    assert [tuple(r) for r in readers.variant_qc(spark, str(tmp_path / "q.tsv")).collect()] == [("rs1", True, True, True, None, None, None)]
     (tmp_path / "ids.txt").write_text("sample_id\tz\nA\t1\n\nB\n")
     assert sorted(r[0] for r in readers.id_list(spark, str(tmp_path / "ids.txt")).collect()) == ["A", "B"]
     (tmp_path / "r.tsv").write_text("\t".join("chrom pos variant_id beta se stat p_value n_samples method".split()) + "\nchr1\t5\tv\tbad\t1\t2\t0.5\t9\tols\nchr1\tx\tw\t1\t1\t1\t1\t9\tols\n")
