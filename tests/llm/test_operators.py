@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from lociflow.llm import components, decontam, exact_dedup, langid, mixing, ngram_join, quality, token_ids, toxicity, url_filter, warc
+from lociflow.llm import components, decontam, exact_dedup, langid, mixing, ngram_join, quality, shared, token_ids, toxicity, url_filter, warc
 from lociflow.llm.shared import shared_dir
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -105,7 +105,7 @@ def test_splitting_tree_is_exact(spark):
     assert max(sizes) - min(sizes) <= 1
 
 
-def test_join_matches_brute_force(docs, rows):
+def brute_components(rows):
     sets = {i: shingles(t) for i, t, *_ in rows}
     parent = {i: i for i in sets}
 
@@ -119,8 +119,27 @@ def test_join_matches_brute_force(docs, rows):
             if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
                 x, y = root(a), root(b)
                 parent[max(x, y)] = min(x, y)
+    return {i: (len(s), root(i)) for i, s in sets.items()}
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_join_matches_brute_force(docs, rows, small, monkeypatch):
+    if small:  # every hot key, dealt cell, split star and shuffled id list
+        for where, name, value in ((ngram_join, "CELL", 4), (ngram_join, "STAR", 2), (ngram_join, "BROADCAST_ROWS", 0), (shared, "HOT_LEAST", 3), (shared, "HOT_PARTS", 20)):
+            monkeypatch.setattr(where, name, value)
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.linked(docs).collect()}
-    assert got == {i: (len(s), root(i)) for i, s in sets.items()}
+    assert got == brute_components(rows)
+
+
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_join_by_hot_keys_is_a_join(spark, how, monkeypatch):
+    monkeypatch.setattr(shared, "HOT_LEAST", 5)
+    monkeypatch.setattr(shared, "HOT_PARTS", 4)
+    big = spark.createDataFrame([(k % 7 if k > 40 else 1, "x" if k % 2 else "y", k) for k in range(80)] + [(None, "x", 99)], "k long, j string, v long")
+    counts = big.groupBy("k", "j").agg(F.count("*").alias("n"))
+    other = counts.where("k is not null and k < 5").withColumn("w", F.col("k") * 10)
+    got = shared.keyed_join(big, other, ["k", "j"], "n", counts, how)
+    assert sorted(map(str, got.collect())) == sorted(map(str, big.join(other.drop("n"), ["k", "j"], how).collect()))
 
 
 def test_tree_join_loses_no_pair():
