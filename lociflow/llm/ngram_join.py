@@ -23,9 +23,9 @@ document's component under these links.
    pairs whose bounds allow a link are verified on their sets.  This joins large
    groups of near copies with a number of pairs linear in them.  The set of a
    class with many partners is copied to a task for each ``STAR`` of them.
-5. R-trees.  In each cell whose classes are not all known to be joined an
+5. R-trees.  In each cell whose classes are still in different components an
    R-tree is bulk-loaded and joined with itself by the bound; surviving pairs
-   not known to be joined are verified.  Cells of more than ``CELL`` classes are
+   of different components are verified.  Cells of more than ``CELL`` classes are
    dealt into parts, and every two parts are joined by a task of their own, so
    no pair is left out.
 6. Components of the verified links, in Spark.
@@ -392,17 +392,11 @@ def linked(docs: DataFrame, row: str | None = None) -> DataFrame:
     sizes = saved(cells.groupBy("cell").agg(F.count("*").alias("n")), f"{folder}/sizes")
     near = saved(_bounded(cells.toDF("a", "b"), points, sizes.toDF("a", "n"), f"{folder}/near"), f"{folder}/near")
     links = saved(_verified(docs, near, points, clashes, f"{folder}/near"), f"{folder}/links")
+    found = components(links, f"{folder}/first")
 
-    # pairs with the smallest class are settled, so it stays out of its cell from here on; those linked with it
-    # are joined by it, and the others known to be joined are those linked with the same smallest class elsewhere
-    least = links.groupBy("b").agg(F.min("a").alias("least"))
-    own_least = least.toDF("cls", "cls_least")
-    linked_here = links.select(F.col("a").alias("cell"), F.col("b").alias("cls"), F.lit(True).alias("here"))
-    of_cell = saved(sizes.join(least.toDF("cell", "cell_least"), "cell", "left"), f"{folder}/cells-least")
-    member = cells.join(linked_here, ["cell", "cls"], "left").join(own_least, "cls", "left")
-    member = keyed_join(member, of_cell, "cell", "n", sizes)
-    component = F.when(F.col("here"), F.coalesce("cell_least", "cell")).otherwise(F.coalesce("cls_least", "cls"))
-    member = saved(member.select("cell", "cls", component.alias("component")), f"{folder}/members")
+    # pairs with the smallest class are settled, so it stays out of its cell from here on
+    member = cells.join(found.toDF("cls", "component"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+    member = saved(member, f"{folder}/members")
     open_ = member.groupBy("cell").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count("*").alias("n")).where("c0 < c1")
     open_ = saved(open_.select("cell", F.ceil(F.col("n") / CELL).cast("int").alias("parts"), "n"), f"{folder}/open")
     part = F.pmod(F.xxhash64("cell", "cls"), F.col("parts")).cast("int")
@@ -412,7 +406,7 @@ def linked(docs: DataFrame, row: str | None = None) -> DataFrame:
     dealt = dealt.repartition(spread(spark), "cell", "i", "j").sortWithinPartitions("cell", "i", "j", "side")
     rest = saved(_tree_pairs(dealt).distinct(), f"{folder}/rest")
     links = saved(links.unionByName(_verified(docs, rest, points, clashes, f"{folder}/rest")), f"{folder}/all")
-    for name in ("members", "cells", "near", "near-sized", "near-firsts", "near-partners", "links", "rest", "rest-partners", "points", "sizes", "open", "cells-least"):
+    for name in ("members", "cells", "near", "near-sized", "near-firsts", "near-partners", "links", "rest", "rest-partners", "points", "sizes", "open"):
         dropped(spark, f"{folder}/{name}")
 
     found = components(links, f"{folder}/last").toDF("cls", "root")
