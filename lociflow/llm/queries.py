@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, exact_dedup, langid, mixing, ngram_join, quality, token_ids, toxicity, url_filter, warc
+from . import alignment, centroids, decontam, exact_dedup, langid, mixing, ngram_join, quality, quality_rules, token_ids, toxicity, url_filter, warc
 from .shared import fold, saved, shared_dir, table
 
 URL_RULES = "SELECT * FROM VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block') AS rules(host, path, verdict)"
@@ -70,9 +70,24 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.clustered(table(spark, sf_dir, "embeddings"))
+
+
+def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trusted target is the texts that the labels call good."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    weights = quality_rules.ratios(docs, table(spark, sf_dir, "labels").where("quality = 1"))
+    return quality_rules.judged(docs, weights).drop("text")
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.aligned(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_token_ids, op2_mixing, op3_ngram_join, op4_quality, op5_exact_dedup, op6_toxicity, op7_language_id, op8_url_filter, op9_warc, op10_decontamination)
+    for f in (op1_token_ids, op2_mixing, op3_ngram_join, op4_quality, op5_exact_dedup, op6_toxicity, op7_language_id, op8_url_filter, op9_warc, op10_decontamination, op11_centroids, op12_quality_rules, op13_alignment)
 }
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
@@ -82,7 +97,29 @@ _SHINGLES = """
                            WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s, len(w) AS n_words
     FROM (SELECT {id} AS id, {words} AS w FROM {table})"""
 
+_DISTANCE = "list_sum(list_transform(range(1, 65), lambda i: (v.x[i] - c.x[i]) * (v.x[i] - c.x[i])))"
+_NEAREST = f"(SELECT v.vec_id, arg_min(struct_pack(k := c.k, d := {_DISTANCE}), ({_DISTANCE}, c.k)) AS a FROM v, c{{r}} AS c GROUP BY v.vec_id)"
+
+
+def _centroid_rounds() -> str:
+    """The rounds one after another: c0 are the seeds, c1 .. c5 the moved centroids."""
+    rounds = []
+    for r in range(centroids.ROUNDS):
+        means = f"""SELECT k, list(m ORDER BY i) AS x FROM (SELECT a.k AS k, i, CAST(floor(CAST(sum(x[i]) AS DOUBLE) / count(*)) AS BIGINT) AS m
+ FROM {_NEAREST.format(r=r)} n JOIN v USING (vec_id), (SELECT unnest(range(1, 65)) AS i) s GROUP BY a.k, i) g GROUP BY k"""
+        rounds.append(f"c{r + 1} AS (SELECT o.k, coalesce(n.x, o.x) AS x FROM c{r} o LEFT JOIN ({means}) n ON n.k = o.k)")
+    return ",\n".join(rounds)
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op11_centroids": f"""
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda e: CAST(floor(CAST(e AS DOUBLE) * 256) AS BIGINT)) AS x FROM embeddings
+ WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda e: e IS NOT NULL AND isfinite(e))) = 64),
+c0 AS (SELECT row_number() OVER (ORDER BY h) - 1 AS k, x FROM (SELECT sha256('2:' || CAST(vec_id AS VARCHAR)) AS h, x FROM v ORDER BY h LIMIT 40) s),
+{_centroid_rounds()},
+f AS (SELECT vec_id, a.k AS k, a.d AS d FROM {_NEAREST.format(r=centroids.ROUNDS)} n)
+SELECT vec_id, CAST(f.k AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance, CAST(sum(d) OVER (PARTITION BY f.k) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia,
+       sha256(array_to_string(x, ',')) AS centroid_sha256 FROM f JOIN c5 ON c5.k = f.k""",
     "op3_ngram_join": f"""
 WITH RECURSIVE sh AS ({_SHINGLES.format(id="doc_id", words=_WORDS, table="documents")}),
 sizes AS (SELECT id, count(*) AS n FROM sh GROUP BY id),

@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from lociflow.llm import decontam, exact_dedup, langid, mixing, ngram_join, quality, textvec, token_ids, toxicity, url_filter, warc
+from lociflow.llm import alignment, decontam, exact_dedup, langid, mixing, ngram_join, quality, quality_rules, textvec, token_ids, toxicity, url_filter, warc
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -50,6 +50,8 @@ def operators(spark, machine, network, model):
         "mixed_rows": (lambda d: mixing.mixed_rows(d), False),
         "ngram_join": (lambda d: ngram_join.linked(d), True),
         "without_copies": (lambda d: ngram_join.without_copies(d), False),
+        "alignment": (lambda d: alignment.aligned(d, TOKENIZER, public_tokenizers.path("piece_bpe_32k.model")), True),
+        "quality_rules": (lambda d: quality_rules.judged(d, quality_rules.ratios(d, d.select("doc_id"))), True),
         "quality": (lambda d: quality.graded(d, model), True),
         "exact_dedup": (lambda d: exact_dedup.duplicates(d), True),
         "toxicity": (lambda d: toxicity.scored(d, machine), True),
@@ -71,7 +73,7 @@ def test_awkward_rows_and_clashing_names(spark, machine, network, model):
         got[name] = out.collect()
         assert not every or len(got[name]) == len(rows), name
     ids = sorted((t[0] is not None, t[0] or 0) for t in TEXTS)
-    for name in ("mixing", "ngram_join", "quality", "toxicity", "langid", "token_ids", "exact_dedup", "url_filter"):
+    for name in ("mixing", "ngram_join", "quality", "toxicity", "langid", "token_ids", "exact_dedup", "url_filter", "alignment", "quality_rules"):
         assert sorted((r["doc_id"] is not None, r["doc_id"] or 0) for r in got[name]) == ids, name
     # of the rows of 40 words one of the repeated ones stays, with the near copy gone, and one of those without an id
     left = sorted((str(r["doc_id"]), r["text"] or "") for r in got["without_copies"])
