@@ -135,22 +135,33 @@ def partial_fits(seen: np.ndarray, values: np.ndarray, q: np.ndarray) -> np.ndar
     return np.linalg.solve(info + 1e-12 * np.eye(k), (values @ q)[..., None])[..., 0]
 
 
-def residuals(rows: DataFrame, basis: np.ndarray) -> DataFrame:
+def residuals(rows: DataFrame, basis: np.ndarray, least_share: float = 0.5) -> DataFrame:
     """Each marker minus its least-squares fit on basis (n x k); a marker with too few values stays as it is."""
+    return corrected_columns(rows.select("marker", "x"), basis, "x", least_share).drop("corrected")
+
+
+def corrected_columns(rows: DataFrame, basis: np.ndarray, values: str = "x", least_share: float = 0.5) -> DataFrame:
+    """rows with the column of values less its fit on basis, and corrected: whether it has enough values for one (the share, and more than columns)."""
     n, k = basis.shape
     q, _ = np.linalg.qr(basis)
-    least = max(k + 1, int(np.ceil(0.5 * n)))
+    least = max(k + 1, int(np.ceil(least_share * n)))
+    at, kinds = rows.columns.index(values), ", ".join(f"`{c}` {t}" for c, t in rows.dtypes)
 
-    def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in sliced(batches, n + k * k):
-            x = matrix(pdf["x"])
-            seen = ~np.isnan(x)
-            values = np.where(seen, x, 0.0)
-            fitted = partial_fits(seen.astype(float), values, q) @ q.T
-            enough = seen.sum(axis=1) >= least
-            yield pd.DataFrame({"marker": pdf["marker"].to_numpy(), "x": list(np.where(enough[:, None], x - fitted, x))})
-
-    return rows.select("marker", "x").mapInPandas(fit, "marker long, x array<double>")
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        most = max(1, CELLS // max(1, n + k * k))
+        for whole in batches:
+            for start in range(0, whole.num_rows, most):
+                batch = whole.slice(start, most)
+                x = batch.column(at).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, n)
+                seen = np.isfinite(x)
+                fitted = partial_fits(seen.astype(float), np.where(seen, x, 0.0), q) @ q.T
+                enough = seen.sum(axis=1) >= least
+                out = np.where(enough[:, None] & seen, x - fitted, x).ravel()
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * n, pa.int32()), pa.array(out, pa.float64(), mask=np.isnan(out)))
+                columns = [lists if i == at else c for i, c in enumerate(batch.columns)]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(enough)], names=[*batch.schema.names, "corrected"])
+
+    return rows.mapInArrow(fit, f"{kinds}, corrected boolean")
 
 
 def ols(lrr: DataFrame, phenotype: DataFrame) -> DataFrame:

@@ -47,12 +47,12 @@ def qc_reasons(markers: DataFrame, qc: DataFrame, flags: list[str], composite: s
     return out.select(*markers.columns, "reasons", (F.col("reasons") == "").alias("passes"))
 
 
-def stage_masks(markers: DataFrame, stats: DataFrame, regions: DataFrame | None = None, least_call_rate: float = 0.95, least_variance: float = 0.001) -> DataFrame:
+def stage_masks(markers: DataFrame, stats: DataFrame, regions: DataFrame | None = None, least_call_rate: float = 0.95, least_variance: float = 0.001, most_variance: float | None = None) -> DataFrame:
     """Markers (marker, chrom, pos) with call_rate_ok, variance_ok, autosome_ok, region_ok and passes.
 
     Each mask is judged on all markers, so that every filter can be reported on its own.
     """
-    judged = markers.join(masked_markers(stats, least_call_rate, least_variance).select("marker", "call_rate_ok", "variance_ok"), "marker", "left")
+    judged = markers.join(masked_markers(stats, least_call_rate, least_variance, most_variance).select("marker", "call_rate_ok", "variance_ok"), "marker", "left")
     inside = markers if regions is None else outside_regions(markers, regions)
     judged = judged.join(inside.select("marker", F.lit(True).alias("region_ok")), "marker", "left")
     flags = ("call_rate_ok", "variance_ok", "autosome_ok", "region_ok")

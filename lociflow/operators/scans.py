@@ -219,3 +219,64 @@ def lmm_scan(rows: DataFrame, y: np.ndarray, relationship: np.ndarray, covariate
             yield _result(pdf["marker"], beta, np.where(ok, np.sqrt(ratio / max(n - p - 1, 1)), np.inf), n - p - 1, n)
 
     return rows.select("marker", "x").mapInPandas(scan, SCHEMA)
+
+
+def _shrunk(value: np.ndarray, rest: float, delta: float) -> tuple[float, np.ndarray]:
+    """Weight outside the known eigenvectors, and what each of them adds to it."""
+    base = 1 / (rest + delta)
+    return base, 1 / (np.maximum(value, 0) + delta) - base
+
+
+def low_rank_delta(value: np.ndarray, vector: np.ndarray, rest: float, y: np.ndarray, design: np.ndarray, low: float = -5.0, high: float = 5.0, within: float = 1e-4) -> float:
+    """As reml_delta, of a matrix with the given leading eigenvalues and vectors (n x k) and the value ``rest`` on all that is at right angles to them."""
+    n, p = design.shape
+    both = np.column_stack([design, y])
+    turned, plain = vector.T @ both, both.T @ both
+
+    def loss(log_delta: float) -> float:
+        base, more = _shrunk(value, rest, 10**log_delta)
+        info = base * plain + turned.T @ (more[:, None] * turned)
+        variance = (info[p, p] - info[p, :p] @ np.linalg.solve(info[:p, :p], info[:p, p])) / (n - p)
+        log_weights = np.log(base + more).sum() + (n - len(value)) * math.log(base)
+        return math.inf if variance <= 0 else ((n - p) * math.log(variance) - log_weights + np.linalg.slogdet(info[:p, :p])[1]) / 2
+
+    ratio = (math.sqrt(5) - 1) / 2
+    while high - low > within:
+        a, b = high - ratio * (high - low), low + ratio * (high - low)
+        low, high = (low, b) if loss(a) <= loss(b) else (a, high)
+    return 10 ** ((low + high) / 2)
+
+
+def low_rank_lmm_scan(rows: DataFrame, y: np.ndarray, value: np.ndarray, vector: np.ndarray, trace: float, covariates: np.ndarray | None = None) -> DataFrame:
+    """The mixed-model scan with the leading eigenvalues and vectors (n x k) of the relationship matrix; its other eigenvalues count as their mean.
+
+    With all of them it is lmm_scan.  Tasks hold n x k numbers, never n x n.
+    """
+    n = len(y)
+    design = _design(covariates, n)
+    p, left = design.shape[1], n - len(value)
+    rest = max((trace - value.sum()) / left, 0.0) if left else 0.0
+    base, more = _shrunk(value, rest, low_rank_delta(value, vector, rest, y, design))
+    weigh = lambda z: base * z + vector @ (more[:, None] * (vector.T @ z))
+    both = np.column_stack([design, y])
+    heavy = weigh(both)
+    info, along = design.T @ heavy[:, :p], design.T @ heavy[:, p]
+    whole = y @ heavy[:, p] - along @ np.linalg.solve(info, along)
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in sliced(batches, n):
+            x = _values(pdf["x"], None)
+            seen = np.isfinite(x)
+            mean = np.where(seen, x, 0).sum(axis=1) / np.maximum(seen.sum(axis=1), 1)
+            x = np.where(seen, x, mean[:, None])
+            cross, turned = x @ heavy, x @ vector
+            solved = np.linalg.solve(info, cross[:, :p].T).T
+            own = base * (x * x).sum(axis=1) + (turned * turned) @ more
+            square = own - (cross[:, :p] * solved).sum(axis=1)
+            ok = square > 1e-10 * np.maximum(own, 1e-300)
+            square = np.where(ok, square, 1.0)
+            beta = np.where(ok, (cross[:, p] - solved @ along) / square, 0.0)
+            se = np.where(ok, np.sqrt(np.maximum(whole - beta**2 * square, 0) / max(n - p - 1, 1) / square), np.inf)
+            yield _result(pdf["marker"], beta, se, n - p - 1, n)
+
+    return rows.select("marker", "x").mapInPandas(scan, SCHEMA)

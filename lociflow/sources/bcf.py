@@ -410,6 +410,8 @@ class _Part(WriterCommitMessage):
     number: int
     path: str | None
     bytes: int = 0
+    sums: bytes | None = None  # number, sum and sum of squares of each sample's values, of the diagnostic markers
+    n_measured: int = 0
     places: dict | None = None  # contig: bin: [first, end] virtual places from the part's start
 
 
@@ -471,6 +473,7 @@ class _Writer(DataSourceArrowWriter):
         self.names, self.path, self.overwrite = schema.fieldNames(), options["path"].rstrip("/"), overwrite
         self.contigs, self.samples = options["contigs"].split(","), [s for s in options.get("samples", "").split(",") if s]
         self.text = header_text(self.contigs, self.samples, options.get("source", ""), options.get("provenance", ""))
+        self.metrics = options.get("metrics")
         self.parts = f"{self.path}.parts-{uuid.uuid4().hex}"
         store, target = _store(self.path)
         if not overwrite and store.get_file_info(target).type != fs.FileType.NotFound:
@@ -483,6 +486,7 @@ class _Writer(DataSourceArrowWriter):
 
         number, numbers = TaskContext.get().partitionId(), {c: i for i, c in enumerate(self.contigs)}
         out, name, at, data, places = None, None, 0, b"", {}
+        sums, measured = np.zeros((3, len(self.samples))), 0
         for batch in batches:
             columns = {n: batch.column(i) for i, n in enumerate(self.names)}
             for k in range(batch.num_rows):
@@ -494,6 +498,12 @@ class _Writer(DataSourceArrowWriter):
                 for v in (lrr, dosage):
                     if v is not None and len(v) != len(self.samples):
                         raise ValueError(f"a record has {len(v)} values for {len(self.samples)} samples")
+                if self.metrics and lrr is not None and get("diagnostic") is not False:
+                    x = lrr.astype("<f4").astype(float)
+                    known = np.isfinite(x)
+                    x[~known] = 0
+                    sums += np.stack([known, x, x * x])
+                    measured += 1
                 chrom, pos, ref = numbers[get("chrom")], get("pos"), get("ref")
                 if out is None:
                     name = f"{self.parts}/{number:06d}-{uuid.uuid4().hex}"
@@ -516,7 +526,7 @@ class _Writer(DataSourceArrowWriter):
             packed = block(data)
             out.write(packed)
         out.close()
-        return _Part(number, name, at + (len(packed) if data else 0), places)
+        return _Part(number, name, at + (len(packed) if data else 0), sums.tobytes(), measured, places)
 
     def commit(self, messages: list[_Part | None]) -> None:
         """Join the parts behind one header; bytes are passed on a few MB at a time, and nothing is decoded again."""
@@ -542,8 +552,20 @@ class _Writer(DataSourceArrowWriter):
             for i in range(0, len(index), BLOCK_DATA):
                 out.write(block(index[i : i + BLOCK_DATA]))
             out.write(END_BLOCK)
+        if self.metrics:
+            self._measure(parts)
         self.abort(messages)
 
+    def _measure(self, parts: list[_Part]) -> None:
+        """SD (population) and call rate of each sample over what the tasks have added up."""
+        n, total, square = sum((np.frombuffer(p.sums).reshape(3, -1) for p in parts), np.zeros((3, len(self.samples))))
+        markers = sum(p.n_measured for p in parts)
+        lines = ["SAMPLE\tLRR_SD\tcallrate\tn_markers_used"]
+        for name, c, t, s in zip(self.samples, n, total, square, strict=True):
+            lines.append(f"{name}\t{max(s / c - (t / c) ** 2, 0) ** 0.5 if c else ''}\t{c / max(markers, 1)}\t{markers}")
+        with _store(self.metrics)[0].open_output_stream(_store(self.metrics)[1], compression=None) as out:
+            out.write(("\n".join(lines) + "\n").encode())
+
     def abort(self, messages: list[_Part | None]) -> None:
         """Delete the parts, those of attempts that failed included."""
         store, base = _store(self.parts)
@@ -616,14 +638,19 @@ def bcf(spark: SparkSession, path: str, columns: list[str] | None = None, contig
     return read.load(path)
 
 
+def save(rows: DataFrame, path: str, contigs: list[str], samples: list[str], source: str = "", provenance: str = "", metrics: str | None = None) -> None:
+    """Write records in the order that they have, which is sorted if they come from a sorted file; metrics names a table of the samples' SD and call rate over the rows that are not ``diagnostic`` false."""
+    _registered(rows.sparkSession)
+    known = [*(c.split(" ")[0] for c in SCHEMA.split(", ")), "diagnostic"]
+    out = rows.select(*[c for c in known if c in rows.columns]).write.format("bcf").mode("append").option("contigs", ",".join(contigs)).option("samples", ",".join(samples))
+    out = out if metrics is None else out.option("metrics", metrics)
+    out.option("source", source).option("provenance", provenance).save(path)
+
+
 def write(rows: DataFrame, path: str, contigs: list[str], samples: list[str], source: str = "", provenance: str = "", parts: int = 64) -> None:
     """Write records (chrom, pos, variant_id, ref, alts and what else SCHEMA has) sorted by contig and position as one indexed file."""
-    _registered(rows.sparkSession)
     order = F.array_position(F.lit(list(contigs)), F.col("chrom"))
-    known = [c.split(" ")[0] for c in SCHEMA.split(", ")]
-    rows = rows.select(*[c for c in known if c in rows.columns]).repartitionByRange(parts, order, "pos").sortWithinPartitions(order, "pos")
-    out = rows.write.format("bcf").mode("append").option("contigs", ",".join(contigs)).option("samples", ",".join(samples))
-    out.option("source", source).option("provenance", provenance).save(path)
+    save(rows.repartitionByRange(parts, order, "pos").sortWithinPartitions(order, "pos"), path, contigs, samples, source, provenance)
 
 
 def store(records: DataFrame, path: str, parts: int = 64) -> DataFrame:
