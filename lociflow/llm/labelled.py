@@ -23,5 +23,9 @@ def sampled_ids(labels: DataFrame, label: Column, most: int, seed: int = 0) -> D
 
 
 def with_texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(doc_id, text, label) of the sampled ids, which are few enough to broadcast by their documented bound."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(ids), "doc_id")
+    """(doc_id, text, label), one row for each sampled id that docs has; of rows that share an id that with the first hash of its text.
+
+    The ids are few enough to broadcast by their documented bound, and so are the rows.
+    """
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(ids), "doc_id")
+    return found.groupBy("doc_id").agg(F.min_by(F.struct("text", "label"), F.struct(F.xxhash64("text"), "text")).alias("row")).select("doc_id", "row.*")

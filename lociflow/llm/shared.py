@@ -7,6 +7,8 @@ executor then costs at most the tasks that it was running.
 
 from __future__ import annotations
 
+import threading
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,7 +16,14 @@ from ..session import importable, working_folder
 
 BATCH_ROWS, SPARKS_OWN = 1000, "10000"
 HOT_PARTS, HOT_LEAST = 1000, 10_000
-made: list[str] = []
+_own = threading.local()
+
+
+def made() -> list[str]:
+    """The working folders that this thread has named and not deleted; queries in other threads have lists of their own."""
+    if not hasattr(_own, "folders"):
+        _own.folders = []
+    return _own.folders
 
 
 def _ready(spark: SparkSession) -> None:
@@ -27,8 +36,8 @@ def _ready(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """A new folder name below the session's checkpoint folder; see working_folder."""
     _ready(spark)
-    made.append(working_folder(spark))
-    return made[-1]
+    made().append(working_folder(spark))
+    return made()[-1]
 
 
 def saved(df: DataFrame, path: str) -> DataFrame:
@@ -55,10 +64,10 @@ def fold(doc_id: str, parts: int) -> F.Column:
 
 
 def released(spark: SparkSession, since: int) -> None:
-    """Delete the working folders named after the first ``since`` ones, when nothing reads them any more."""
-    for folder in made[since:]:
+    """Delete the working folders that this thread named after its first ``since`` ones, when nothing reads them any more."""
+    for folder in made()[since:]:
         dropped(spark, folder)
-    del made[since:]
+    del made()[since:]
 
 
 def keyed_join(big: DataFrame, small: DataFrame, key: str | list[str], rows: str, counts: DataFrame | None = None, how: str = "inner", total: int | None = None) -> DataFrame:

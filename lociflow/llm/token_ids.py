@@ -243,8 +243,8 @@ def _open_out(uri: str, part: int):
     return name, store.open_output_stream(name, compression=None)
 
 
-def write_shards(df: DataFrame, uri: str, tokenizer_path: str, end_id: int = 0) -> DataFrame:
-    """Encode (doc_id, text), write shards in doc_id order below uri, and return the manifest.
+def write_shards(df: DataFrame, uri: str, tokenizer_path: str, end_id: int = 0, order: tuple[str, ...] = ("doc_id", "text")) -> DataFrame:
+    """Encode (doc_id, text), write shards in the order of these columns below uri, and return the manifest.
 
     Each task names its file anew, so a repeated attempt never touches the file of
     another; the manifest, itself written by Spark's committer, lists the files of
@@ -274,14 +274,16 @@ def write_shards(df: DataFrame, uri: str, tokenizer_path: str, end_id: int = 0)
             )
 
     n = spread(df.sparkSession)
-    ordered = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
+    rows = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *[F.col(c) for c in order if c not in ("doc_id", "text")])
+    ranges = [c for c in order if c != "text"]
+    ordered = rows.repartitionByRange(n, *ranges).sortWithinPartitions(*order).select("doc_id", "text")
     return saved(ordered.mapInArrow(write, MANIFEST), f"{uri}/manifest")
 
 
 def read_shards(manifest: DataFrame, uri: str) -> DataFrame:
     """Digest of every document in the files: doc_id, start, n_tokens, ids_crc32.
 
-    A document's start counts all ids before it.  Shards are in doc_id order; their
+    A document's start counts all ids before it.  Shards are in the order of their parts; their
     own starts come from a running sum over the manifest, one row a file.
     """
 
@@ -310,14 +312,14 @@ def read_shards(manifest: DataFrame, uri: str) -> DataFrame:
     return placed.repartition(spread(manifest.sparkSession), "part").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
-def encode_to_shards(df: DataFrame, tokenizer_path: str, end_id: int = 0, uri: str | None = None) -> tuple[DataFrame, str]:
+def encode_to_shards(df: DataFrame, tokenizer_path: str, end_id: int = 0, uri: str | None = None, order: tuple[str, ...] = ("doc_id", "text")) -> tuple[DataFrame, str]:
     """Write df's shards and return (manifest, their folder)."""
     uri = uri or shared_dir(df.sparkSession)
     if uri.startswith("file:/") and not uri.startswith("file:///"):
         uri = "file:///" + uri.removeprefix("file:/").lstrip("/")
-    return write_shards(df, uri, tokenizer_path, end_id), uri
+    return write_shards(df, uri, tokenizer_path, end_id, order), uri
 
 
-def digests(spark: SparkSession, df: DataFrame, tokenizer_path: str) -> DataFrame:
-    manifest, uri = encode_to_shards(df, tokenizer_path)
+def digests(spark: SparkSession, df: DataFrame, tokenizer_path: str, order: tuple[str, ...] = ("doc_id", "text")) -> DataFrame:
+    manifest, uri = encode_to_shards(df, tokenizer_path, order=order)
     return read_shards(manifest, uri)

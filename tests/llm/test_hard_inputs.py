@@ -140,10 +140,17 @@ def test_kernel_margins_agree_with_the_feature_table():
 
 def test_strings_of_a_sentence():
     data = np.frombuffer(b"you mo ron. Stop it\nnow i d i o t x.", np.uint8)
-    chars, *found = toxicity.spelled(data, np.array([0, len(data)]))
-    letters = np.array([" ", *"abcdefghijklmnopqrstuvwxyz"])
-    seen = {"".join(letters[chars[a:b]]) for first, end, _ in toxicity.strings(*found) for a, b in zip(first, end, strict=True)}
-    assert {"you", "moron", "youmoron", "stopit", "idiotx"} <= seen and not any("ronstop" in s or "itnow" in s for s in seen)
+    letters = np.array([" ", *"abcdefghijklmnopqrstuvwxyz'^$"])
+    seen = {"".join(letters[chars[a:b]]) for chars, first, end, _ in toxicity.strings(*toxicity.spelled(data, np.array([0, len(data)]))) for a, b in zip(first, end, strict=True)}
+    assert {"^you$", "^moron$", "^youmoron$", "^stopit$", "^idiotx$"} <= seen and not any("ronstop" in s or "itnow" in s for s in seen)
+
+
+def test_characters_of_every_script():
+    spelt = lambda t: toxicity.spelled(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())]))[0].tolist()
+    assert spelt("Éa") == spelt("éa") == [5, toxicity.MARK, 1] and spelt("na\u00efve") == spelt("NA\u00cfVE")
+    russian = [spelt(c) for c in "абвгдежзийклмнопрстуфхцчшщъыьэюя"]
+    assert len({tuple(c) for c in russian}) >= 30 and spelt("Ж") == spelt("ж") and all(len(c) == 1 for c in russian)
+    assert spelt("“…” — 😀")[:-1] == [] and spelt("漢") != spelt("字")
 
 
 @pytest.mark.parametrize("groups", [0, 1000])

@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from lociflow.llm import components, decontam, exact_dedup, langid, mixing, ngram_join, quality, shared, token_ids, toxicity, url_filter, warc
+from lociflow.llm import components, decontam, exact_dedup, labelled, langid, mixing, ngram_join, quality, shared, token_ids, toxicity, url_filter, warc
 from lociflow.llm.shared import shared_dir
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -207,6 +207,36 @@ def test_string_kernel_finds_disguised_insults(spark):
     assert (s[:3] >= 0.5).all() and (s[3:] < 0.5).all()
 
 
+def test_string_kernel_learns_insults_of_several_languages_and_scripts(spark):
+    rng = random.Random(8)
+    sounds = {"en": "the ing and tion er st ly ou".split(), "de": "sch ung der ein ich keit zu ä".split(), "fr": "eau é ment que oi le ai ê".split(), "es": "ción los que ado ella ñ ie".split(), "ru": "ста ния ко про ле во да ши".split()}
+    # an English word, stems that clean words have inside, and a Cyrillic word
+    insult = {"en": lambda: "moron", "de": lambda: "achlich" + rng.choice(sounds["de"]), "fr": lambda: "réeux" + rng.choice(sounds["fr"]), "es": lambda: "bomente" + rng.choice(sounds["es"]), "ru": lambda: "дурак"}
+    inside = {"de": "achlich", "fr": "réeux", "es": "bomente"}
+    rows, toxic = [], []
+    for i in range(900):
+        lang = list(sounds)[i % 5]
+        text = ["".join(rng.choice(sounds[lang]) for _ in range(rng.randint(1, 4))) for _ in range(25)]
+        if i % 6 == 0:
+            text[rng.randrange(25)] = insult[lang]()
+        elif lang in inside and rng.random() < 0.3:
+            text[rng.randrange(25)] = rng.choice(sounds[lang]) + inside[lang]
+        rows.append((i, " ".join(text) + "."))
+        toxic.append(i % 6 == 0)
+    labels = spark.createDataFrame([(i, int(t)) for i, t in enumerate(toxic) if i < 600], "doc_id long, toxic int")
+    machine = toxicity.trained(spark.createDataFrame(rows[:600], "doc_id long, text string").repartition(4), labels)
+    score = machine.scores(pa.array([t for _, t in rows[600:]]))
+    wrong = {lang: [sum((score[k] < 0.5) == side for k in range(300) if toxic[600 + k] == side and (600 + k) % 5 == n) for side in (True, False)] for n, lang in enumerate(sounds)}
+    assert all(missed <= 2 and false <= 3 for missed, false in wrong.values()), wrong
+
+
+def test_rows_that_share_a_sampled_id_are_one(spark):
+    docs = spark.createDataFrame([(1, f"text {i}") for i in range(50)] + [(2, None), (3, "x")], "doc_id long, text string").repartition(4)
+    ids = labelled.sampled_ids(spark.createDataFrame([(1, 1), (2, 0), (2, 1)], "doc_id long, y int"), F.col("y"), 10)
+    got = [tuple(r) for r in labelled.with_texts(docs, ids).orderBy("doc_id").collect()]
+    assert [(i, label) for i, _, label in got] == [(1, 1), (2, 1)] and got == [tuple(r) for r in labelled.with_texts(docs.repartition(2), ids).orderBy("doc_id").collect()]
+
+
 def test_network_learns_bytes():
     rng = np.random.default_rng(0)
     y = rng.integers(0, 2, 400)

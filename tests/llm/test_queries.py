@@ -4,6 +4,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 
 import corpus_pipeline
@@ -128,7 +129,7 @@ def shingles(text):
     return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
 
 
-def test_every_stage_of_the_pipeline(spark, tables):
+def test_every_stage_of_the_pipeline(spark, tables, tmp_path):
     from tokenizers import Tokenizer
 
     rows, toxic, item = corpus()
@@ -137,7 +138,8 @@ def test_every_stage_of_the_pipeline(spark, tables):
         before = sorted(((r["doc_id"], r["text"]) for r in docs.collect()), key=str)
         docs = stage(spark, docs, tables)
         assert name == STAGE_NAMES[k] and (k == 4 or docs.columns == ["doc_id", "text", "lang", "source", "n_chars"])
-        docs.cache()
+        docs.write.parquet(f"{tmp_path}/{k}")
+        docs = spark.read.parquet(f"{tmp_path}/{k}")
         after = sorted(((r["doc_id"], r["text"]) for r in docs.collect()), key=str) if k < 4 else docs.collect()
         seen[name] = (before, after)
         if k < 3:
@@ -174,9 +176,13 @@ def test_every_stage_of_the_pipeline(spark, tables):
         assert after.count(r) <= 2 * before.count(r) and words_of(r[1])
     assert sum(len(words_of(t)) for _, t in after) == pytest.approx(1.5 * sum(len(words_of(t)) for _, t in before), rel=0.1)
 
-    plain, start = Tokenizer.from_file(TOKENIZER), 0
+    # the shards hold the mix in the order of its files, which is shuffled, and no two takes of a document are neighbours
+    plain, start, want = Tokenizer.from_file(TOKENIZER), 0, []
+    for file in sorted(str(f) for f in (tmp_path / "3").glob("part-*")):
+        want += [(r["doc_id"], r["text"]) for r in pq.read_table(file).to_pylist()]
+    assert [d for d, _ in want] != sorted(d for d, _ in want) and all(a != b for a, b in zip(want[:-1], want[1:], strict=True))
     got = sorted((r["start"], r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in seen["token_ids"][1])
-    for (at, doc_id, n, crc), (want_id, text) in zip(got, sorted(seen["token_ids"][0]), strict=True):
+    for (at, doc_id, n, crc), (want_id, text) in zip(got, want, strict=True):
         ids = np.array([*plain.encode(text, add_special_tokens=False).ids, 0], "<u4")
         assert (at, doc_id, n, crc) == (start, want_id, len(ids), zlib.crc32(ids.tobytes()))
         start += len(ids)
