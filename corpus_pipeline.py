@@ -5,7 +5,8 @@
     decontaminate   documents that contain a benchmark item go
     mix             sources are mixed to target weights; a whole document comes once each time it is taken,
                     in the locally shuffled shards of the mix
-    token_ids       the mix is written as bit-packed token shards; the result is their digest
+    token_ids       the mix is written as bit-packed token shards in its own order, which is that of the rows in
+                    the files that the stage before has written; the result is their digest
 
 Null and empty texts pass every filter, but the mix takes none of them: their
 size is 0 words, and so is that of a text of nothing but white space.  Rows are
@@ -44,7 +45,8 @@ def to_target_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def to_token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return token_ids.digests(spark, docs, public_tokenizers.path("byte_bpe_50k.json"))
+    placed = docs.select("doc_id", "text", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    return token_ids.digests(spark, placed, public_tokenizers.path("byte_bpe_50k.json"), ("file", "row"))
 
 
 STAGES = [
@@ -63,7 +65,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, each written as Parquet and read again."""
     docs, folder, last = table(spark, sf_dir, "documents"), shared_dir(spark), None
     for k, (name, stage) in enumerate(STAGES):
-        since, path = len(made), f"{folder}/{k}-{name}"
+        since, path = len(made()), f"{folder}/{k}-{name}"
         docs = saved(stage(spark, docs, sf_dir), path)
         if k < len(STAGES) - 1:  # the last stage's folders hold the token shards
             released(spark, since)
