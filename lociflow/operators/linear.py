@@ -169,7 +169,7 @@ def ols(lrr: DataFrame, phenotype: DataFrame) -> DataFrame:
 
     A marker without variance gets slope 0, infinite error and t 0.
     """
-    j = lrr.join(F.broadcast(phenotype) if phenotype.count() <= 1_000_000 else phenotype, "sample").where("value is not null and y is not null")
+    j = lrr.join(phenotype, "sample").where("value is not null and y is not null")
     s = j.groupBy("marker").agg(F.count("*").alias("n_samples"), F.var_pop("value").alias("vx"), F.var_pop("y").alias("vy"), F.covar_pop("value", "y").alias("cxy"))
     ok = (F.col("n_samples") > 2) & (F.col("vx") > 0)
     s = s.withColumn("beta", F.when(ok, F.col("cxy") / F.col("vx")).otherwise(0.0))

@@ -156,6 +156,12 @@ def ld_pairs(rows: DataFrame, positions: DataFrame, n_samples: int, window: int
     return dealt.groupBy("chrom", "a_bin", "a_tile", "b_bin", "b_tile").applyInPandas(linked, "a long, b long, r2 double")
 
 
+def ld_pairs_by_number(rows: DataFrame, n_samples: int, window: int = 1000, least_r2: float = 0.2) -> DataFrame:
+    """As ld_pairs where markers have no places: each meets the next ``window`` of them in the order of their numbers."""
+    order = ranks(rows.select("marker"), [F.col("marker")]).select("marker", F.lit("").alias("chrom"), F.col("rank").alias("pos"))
+    return ld_pairs(rows, order, n_samples, window, least_r2)
+
+
 def ld_pruned(markers: DataFrame, pairs: DataFrame, folder: str) -> DataFrame:
     """Markers left by the greedy forward walk: a marker goes if a kept one before it is linked with it.
 

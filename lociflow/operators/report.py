@@ -55,14 +55,23 @@ def mode_counts(records: DataFrame) -> DataFrame:
 
 
 def gene_spans(transcripts: DataFrame) -> DataFrame:
-    """One span a contig and symbol."""
-    return transcripts.groupBy("chrom", "symbol").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    """One span a contig and symbol; where transcripts have a strand it is that of the first, by ``record`` (the line's number) if they have one."""
+    extent = [F.min("start").alias("start"), F.max("end").alias("end")]
+    if "strand" in transcripts.columns:
+        order = F.col("record") if "record" in transcripts.columns else F.struct("start", "end")
+        extent.append(F.min_by("strand", order).alias("strand"))
+    return transcripts.groupBy("chrom", "symbol").agg(*extent)
 
 
 def _distance() -> F.Column:
     return F.when(F.col("pos") < F.col("start"), F.col("start") - F.col("pos")).when(F.col("pos") > F.col("end"), F.col("pos") - F.col("end")).otherwise(0)
 
 
+def _bare(df: DataFrame) -> DataFrame:
+    """df with contigs as one of both sides names them: 1 and chr1 are the same."""
+    return df.withColumn("chrom", F.regexp_replace("chrom", "^chr", ""))
+
+
 def _places(hits: DataFrame) -> DataFrame:
     return hits.where("chrom is not null and pos is not null").select("chrom", "pos").distinct()
 
@@ -74,6 +83,7 @@ def nearest_genes(hits: DataFrame, genes: DataFrame, width: int = 10_000) -> Dat
     one of largest end.  Both are running minima along the contig: over the places and gene ends of a bin of so
     many bases, and over the bins, one row each.  Genes without a bound or a symbol are left out.
     """
+    hits, genes = _bare(hits), _bare(genes)
     known = genes.where("start is not null and `end` is not null and symbol is not null")
     ends = known.select("chrom", F.greatest(F.col("end"), F.col("start") - 1).alias("pos"), F.struct("start", "end", "symbol").alias("ahead"), F.struct((-F.col("end")).alias("back"), "start", "symbol").alias("behind"))
     ends = ends.groupBy("chrom", "pos").agg(F.min("ahead").alias("ahead"), F.min("behind").alias("behind"))
@@ -96,7 +106,7 @@ def nearest_genes(hits: DataFrame, genes: DataFrame, width: int = 10_000) -> Dat
 
 
 def genes_in_region(genes: DataFrame, chrom: str, start: int, end: int) -> DataFrame:
-    return genes.where((F.col("chrom") == chrom) & (F.col("end") >= start) & (F.col("start") <= end))
+    return genes.where((F.regexp_replace("chrom", "^chr", "") == chrom.removeprefix("chr")) & (F.col("end") >= start) & (F.col("start") <= end))
 
 
 def contig_offsets(records: DataFrame, gap: int = 1_000_000) -> DataFrame:
@@ -175,7 +185,7 @@ def genes_in_window(hits: DataFrame, genes: DataFrame, window: int = 500_000, mo
 
     An equi-join of the hits' distinct places with genes on bins of positions: a gene stands in every bin that its window reaches.
     """
-    width = max(window, 10_000)
+    hits, genes, width = _bare(hits), _bare(genes), max(window, 10_000)
     reach = F.sequence(F.floor((F.col("start") - window) / width), F.floor((F.col("end") + window) / width))
     binned = genes.where("start <= `end`").select("chrom", "symbol", "start", "end", F.explode(reach).alias("bin"))
     near = _places(hits).withColumn("bin", F.floor(F.col("pos") / width)).join(binned, ["chrom", "bin"]).withColumn("distance", _distance()).where(F.col("distance") <= window)

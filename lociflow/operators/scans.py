@@ -13,7 +13,7 @@ beta 0, se infinite, stat 0 and p 1.  A perfect fit has se 0, stat infinite and
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -110,29 +110,42 @@ def _ratios(x: np.ndarray, y: np.ndarray, scale: np.ndarray) -> tuple[np.ndarray
     return beta, rss / np.where(ok, xx, 1), ok
 
 
+Kernel = Callable[[pd.Series, np.ndarray], pd.DataFrame]
+
+
+def ols_kernel(y: np.ndarray, covariates: np.ndarray | None = None) -> Kernel:
+    """Least squares of y and covariates as a function of markers and their values."""
+    design = _design(covariates, len(y))
+    q, p = np.linalg.qr(design)[0], design.shape[1]
+
+    def kernel(markers: pd.Series, x: np.ndarray) -> pd.DataFrame:
+        seen = np.isfinite(x)
+        n = seen.sum(axis=1)
+        enough = n >= p + 2
+        seen &= enough[:, None]
+        x, ys, s = np.where(seen, x, 0.0), np.where(seen, y, 0.0), seen.astype(float)
+        scale = (x * x).sum(axis=1)
+        s[~enough] = 1.0
+        clear = lambda v: (v - partial_fits(s, v, q) @ q.T) * seen
+        beta, ratio, ok = _ratios(clear(x), clear(ys), scale)
+        se = np.where(ok & enough, np.sqrt(ratio / np.maximum(n - p - 1, 1)), np.inf)
+        return _result(markers, np.where(enough, beta, 0.0), se, n - p - 1, n)
+
+    return kernel
+
+
 def ols_scan(rows: DataFrame, y: np.ndarray, covariates: np.ndarray | None = None, keep: np.ndarray | None = None) -> DataFrame:
     """Least squares of y on each marker and the covariates, over the samples where the marker is present.
 
     keep numbers the samples of x that y and the covariates are of, by default all.
     All markers of a batch are solved together, each by its own samples.
     """
-    design = _design(covariates, len(y))
+    width = len(y) + (1 if covariates is None else 1 + covariates.shape[1]) ** 2
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        q, p = np.linalg.qr(design)[0], design.shape[1]
-        for pdf in sliced(batches, len(y) + p * p):
-            x = _values(pdf["x"], keep)
-            seen = np.isfinite(x)
-            n = seen.sum(axis=1)
-            enough = n >= p + 2
-            seen &= enough[:, None]
-            x, ys, s = np.where(seen, x, 0.0), np.where(seen, y, 0.0), seen.astype(float)
-            scale = (x * x).sum(axis=1)
-            s[~enough] = 1.0
-            clear = lambda v: (v - partial_fits(s, v, q) @ q.T) * seen  # noqa: B023, E731
-            beta, ratio, ok = _ratios(clear(x), clear(ys), scale)
-            se = np.where(ok & enough, np.sqrt(ratio / np.maximum(n - p - 1, 1)), np.inf)
-            yield _result(pdf["marker"], np.where(enough, beta, 0.0), se, n - p - 1, n)
+        kernel = ols_kernel(y, covariates)
+        for pdf in sliced(batches, width):
+            yield kernel(pdf["marker"], _values(pdf["x"], keep))
 
     return rows.select("marker", "x").mapInPandas(scan, SCHEMA)
 
@@ -197,11 +210,8 @@ def reml_delta(value: np.ndarray, y: np.ndarray, design: np.ndarray, low: float
     return 10 ** ((low + high) / 2)
 
 
-def lmm_scan(rows: DataFrame, y: np.ndarray, relationship: np.ndarray, covariates: np.ndarray | None = None, keep: np.ndarray | None = None) -> DataFrame:
-    """Generalised least squares under a relationship matrix, the variance ratio fitted once without markers.
-
-    keep numbers the samples of x that y, the matrix and the covariates are of.  Missing values are the marker's mean; a marker without values cannot be tested.
-    """
+def lmm_kernel(y: np.ndarray, relationship: np.ndarray, covariates: np.ndarray | None = None) -> Kernel:
+    """The mixed model of y as a function of markers and their values; the matrix is decomposed and the variance ratio fitted here, once."""
     value, vector = np.linalg.eigh(relationship)
     value = np.maximum(value, 0)
     design = vector.T @ _design(covariates, len(y))
@@ -210,13 +220,25 @@ def lmm_scan(rows: DataFrame, y: np.ndarray, relationship: np.ndarray, covariate
     q, (n, p) = np.linalg.qr(root[:, None] * design)[0], design.shape
     turned = root * turned
 
+    def kernel(markers: pd.Series, x: np.ndarray) -> pd.DataFrame:
+        seen = np.isfinite(x)
+        mean = np.where(seen, x, 0).sum(axis=1) / np.maximum(seen.sum(axis=1), 1)
+        beta, ratio, ok = _slopes((np.where(seen, x, mean[:, None]) @ vector) * root, turned, q)
+        return _result(markers, beta, np.where(ok, np.sqrt(ratio / max(n - p - 1, 1)), np.inf), n - p - 1, n)
+
+    return kernel
+
+
+def lmm_scan(rows: DataFrame, y: np.ndarray, relationship: np.ndarray, covariates: np.ndarray | None = None, keep: np.ndarray | None = None) -> DataFrame:
+    """Generalised least squares under a relationship matrix, the variance ratio fitted once without markers.
+
+    keep numbers the samples of x that y, the matrix and the covariates are of.  Missing values are the marker's mean; a marker without values cannot be tested.
+    """
+    kernel, n = lmm_kernel(y, relationship, covariates), len(y)
+
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in sliced(batches, n):
-            x = _values(pdf["x"], keep)
-            seen = np.isfinite(x)
-            mean = np.where(seen, x, 0).sum(axis=1) / np.maximum(seen.sum(axis=1), 1)
-            beta, ratio, ok = _slopes((np.where(seen, x, mean[:, None]) @ vector) * root, turned, q)
-            yield _result(pdf["marker"], beta, np.where(ok, np.sqrt(ratio / max(n - p - 1, 1)), np.inf), n - p - 1, n)
+            yield kernel(pdf["marker"], _values(pdf["x"], keep))
 
     return rows.select("marker", "x").mapInPandas(scan, SCHEMA)
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import finite, number, sex_code, truth, variant_id
@@ -37,21 +37,24 @@ def _sample_field(field: str) -> Column:
     return F.transform("samples", lambda s: F.when(at > 0, F.get(F.split(s, ":"), (at - 1).cast("int"))))
 
 
-def vcf(spark: SparkSession, path: str, contigs: list[str] | None = None, samples: list[int] | None = None) -> DataFrame:
+def vcf(spark: SparkSession, path: str, contigs: list[str] | None = None, samples: list[int] | None = None, numbered: bool = False) -> DataFrame:
     """chrom, pos, variant_id, ref, alts, intensity_only, lrr (array<double>) and dosage (array<double>) of each record.
 
     Columns that are not selected are not parsed.  LRR that is not finite and
     genotypes that are not diploid and complete are null.  A dosage is the sum of the
     two allele numbers.  A record whose position is no number is left out.
     contigs keeps the lines of these only, before they are split; samples numbers
-    those whose values are read, in this order.
+    those whose values are read, in this order; numbered adds record, the line's number,
+    by which the input order is kept.
     """
     cells = F.split(F.regexp_replace("value", "\r$", ""), "\t")
-    lines = spark.read.text(path).where(~F.col("value").startswith("#") & (F.length("value") > 0))
+    lines = numbered_lines(spark, path).withColumnRenamed("line", "record") if numbered else spark.read.text(path)
+    lines = lines.where(~F.col("value").startswith("#") & (F.length("value") > 0))
+    number = ["record"] if numbered else []
     if contigs is not None:
         lines = lines.where(F.substring_index("value", "\t", 1).isin(sorted(set(contigs))))
-    rows = lines.select(cells.alias("c"))
-    rows = rows.select(*[F.get("c", F.lit(i)).alias(n) for i, n in enumerate(VCF_FIXED)], F.slice("c", len(VCF_FIXED) + 1, F.greatest(F.size("c") - len(VCF_FIXED), F.lit(0))).alias("samples"))
+    rows = lines.select(*number, cells.alias("c"))
+    rows = rows.select(*number, *[F.get("c", F.lit(i)).alias(n) for i, n in enumerate(VCF_FIXED)], F.slice("c", len(VCF_FIXED) + 1, F.greatest(F.size("c") - len(VCF_FIXED), F.lit(0))).alias("samples"))
     if samples is not None:
         rows = rows.withColumn("samples", F.transform(F.lit(samples) if samples else F.array().cast("array<int>"), lambda i: F.get("samples", i)))
     alts = F.when(F.col("alt") == ".", F.array().cast("array<string>")).otherwise(F.split("alt", ","))
@@ -59,6 +62,7 @@ def vcf(spark: SparkSession, path: str, contigs: list[str] | None = None, sample
     allele = lambda g, i: F.get(F.split(g, r"[/|]"), F.lit(i)).try_cast("double")
     dosage = F.transform(_sample_field("GT"), lambda g: F.when(F.size(F.split(g, r"[/|]")) == 2, allele(g, 0) + allele(g, 1)))
     return rows.where(pos.isNotNull()).select(
+        *number,
         "chrom",
         pos.alias("pos"),
         variant_id(F.col("chrom"), pos, F.col("id"), F.col("ref"), alts).alias("variant_id"),
@@ -81,6 +85,15 @@ def bim_ids(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).where(F.size(cells) >= 2).select(F.get(cells, F.lit(1)).alias("variant_id"))
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """value and line, its number in the files from 0: the lines of the splits before it (a small table of counts, summed up) and its place within its own."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    splits = lines.groupBy("file", "block").agg(F.count("*").alias("n"), F.min("at").alias("first"))
+    before = F.sum("n").over(Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1))
+    splits = splits.select("file", "block", "first", F.coalesce(before, F.lit(0)).alias("before"))
+    return lines.join(splits, ["file", "block"]).select((F.col("before") + F.col("at") - F.col("first")).alias("line"), "value")
+
+
 def _place() -> Column:
     """A line's place in its files: splits are not read in order, so it is its split's and then its own within the split."""
     return F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
@@ -92,9 +105,9 @@ def _at(place: tuple) -> Column:
 
 
 def sectioned(spark: SparkSession, path: str, section: str = "Data", key: str = "Sample_Group") -> DataFrame:
-    """The rows of one section of a comma-separated sheet, every column a text, and sample: the key column, or else the first.
+    """The rows of one section of a comma-separated sheet, or of a sheet without sections that is tab-separated, every column a text, and sample: the key column, or else the first.
 
-    A file without sections is read whole.  Of rows with one sample the last holds; rows without one are left out.
+    A file without sections is read whole, by tabs if its header has any.  Of rows with one sample the last holds; rows without one are left out.
     """
     lines = spark.read.text(path).where(F.trim("value") != "").select("value", _place().alias("place"))
     heads = sorted((r["place"], r["value"].strip().strip(",")) for r in lines.where(F.trim("value").startswith("[")).collect())
@@ -108,8 +121,9 @@ def sectioned(spark: SparkSession, path: str, section: str = "Data", key: str =
     first = lines.orderBy("place").first()
     if first is None:
         raise ValueError("the sheet has no header")
-    names = [c.strip() for c in first["value"].rstrip("\r").split(",")]
-    rows = lines.where(F.col("place") > _at(first["place"])).select("place", F.from_csv(F.regexp_replace("value", "\r$", ""), ", ".join(f"`{c}` string" for c in names)).alias("row"))
+    sep = "\t" if not heads and "\t" in first["value"] else ","
+    names = [c.strip() for c in first["value"].rstrip("\r").split(sep)]
+    rows = lines.where(F.col("place") > _at(first["place"])).select("place", F.from_csv(F.regexp_replace("value", "\r$", ""), ", ".join(f"`{c}` string" for c in names), {"sep": sep}).alias("row"))
     known = next((c for c in names if c == key), next((c for c in names if c.lower() == key.lower()), names[0]))
     rows = rows.withColumn("sample", F.trim(F.col("row").getField(known))).where("sample is not null and sample != ''")
     return rows.groupBy("sample").agg(F.max_by("row", "place").alias("row")).select("sample", "row.*")
@@ -152,6 +166,8 @@ def phenotypes(spark: SparkSession, path: str, name: str | None = None) -> DataF
     if key is None:
         raise ValueError("a phenotype file needs a sample_id column")
     others = [c for c in t.columns if c != key]
+    if not others:
+        raise ValueError("a phenotype file needs a column beside sample_id")
     name = name or others[0]
     # of several lines of a sample the last holds
     last = t.select(F.col(key).alias("_key"), F.struct(*[F.col(c) for c in t.columns]).alias("_row"), _place().alias("_place")).groupBy("_key").agg(F.max_by("_row", "_place").alias("_row"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import chrom_order
 
+# fixed values: the columns of a BED file and of an audit trail, and how the latter counts included ids
 BED_COLUMNS = ("chrom", "start", "end", "name", "n_markers", "min_p", "mean_beta", "max_abs_stat")
 
 
