@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..operators import correction, factors, linear
 from ..session import working_folder
 from ..sources import adapters as A
-from ..sources import bcf
+from ..sources import bcf, relationship
 from . import files
 from .association import ORACLE_SQL as ASSOCIATION_SQL
 from .association import _n_samples, _sql, r6
@@ -47,11 +47,23 @@ def corrected_metrics(spark: SparkSession, d: str) -> DataFrame:
     return metrics.select(F.col("SAMPLE").alias("sample"), F.round("LRR_SD", 6).alias("lrr_sd"), F.round("callrate", 6).alias("call_rate"), "n_markers_used")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (svd_residualised, grm_tiles, corrected_metrics)}
+def grm_file(spark: SparkSession, d: str) -> DataFrame:
+    """Diagonal and row sums of the relationship matrix, written as a triangle of 32-bit floats and read back by bands."""
+    n, folder = _n_samples(spark, d), working_folder(spark)
+    tiles, _ = factors.relationship_tiles(linear.rows_of(A.dosage(spark, d), n), n, 0.05, 256)
+    tiles, m = factors.with_markers(tiles, f"{folder}/tiles")
+    relationship.write(tiles, n, m, f"{folder}/grm", [f"s{i}" for i in range(n)])
+    back, _ = relationship.read(spark, f"{folder}/grm")
+    ids = relationship.sample_ids(spark, f"{folder}/grm/samples.id").withColumnRenamed("sample", "name")
+    return factors.diagonal(back, 1, 256).join(ids, F.col("sample") == F.col("number")).select("sample", "name", F.round("diagonal", 2).alias("diagonal"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (svd_residualised, grm_tiles, grm_file, corrected_metrics)}
 
 ORACLE_SQL: dict[str, str] = {
     "svd_residualised": _sql("SELECT marker, sample, CASE WHEN value IS NOT NULL THEN round(avg(value) OVER (PARTITION BY marker), 6) END AS value FROM <INTENSITY> x"),
     "grm_tiles": f"SELECT sample, diagonal, row_sum FROM ({ASSOCIATION_SQL['grm']}) g",
+    "grm_file": f"SELECT sample, 's' || CAST(sample AS VARCHAR) AS name, round(diagonal, 2) AS diagonal FROM ({ASSOCIATION_SQL['grm']}) g",
     "corrected_metrics": _sql("""WITH v AS (SELECT marker, sample, CAST(CAST(value AS FLOAT) AS DOUBLE) AS x, CAST(1 + sample % 5 AS DOUBLE) AS b FROM <INTENSITY> q),
 f AS (SELECT marker, sum(x * b) / sum(b * b) AS slope FROM v WHERE x IS NOT NULL GROUP BY marker),
 r AS (SELECT sample, CAST(CAST(x - slope * b AS FLOAT) AS DOUBLE) AS x FROM v JOIN f USING (marker) WHERE marker % 2 = 0)

@@ -190,3 +190,22 @@ def test_corrected_records_are_measured_as_they_are_written(spark, tmp_path):
     assert np.allclose(got["LRR_SD"], np.nanstd(y[::3], axis=0)) and np.allclose(got["callrate"], np.isfinite(y[::3]).mean(axis=0)) and set(got["n_markers_used"]) == {100}
     every, counts = correction.correct_and_write(records, scores, f"{tmp_path}/all.bcf", ["chr1"], names)
     assert counts["n_diagnostic"] == M and every.count() == N
+
+
+def test_relationship_files_are_read_by_bands(spark, tmp_path):
+    from lociflow.sources import relationship
+
+    g = dosages()
+    tiles, _ = factors.relationship_tiles(frame(spark, g), N, 0.02, 16)
+    tiles, m = factors.with_markers(tiles, f"{tmp_path}/tiles")
+    exact = factors.tiled_product(tiles, N, m, 16)(np.eye(N))
+    relationship.write(tiles, N, m, f"{tmp_path}/grm", [f"s{i}" for i in range(N)], 16)
+    flat = np.concatenate([exact[i, : i + 1] for i in range(N)]).astype("<f4")
+    (tmp_path / "one.grm.bin").write_bytes(flat.tobytes())
+    for path, tile in ((f"{tmp_path}/grm", 16), (f"{tmp_path}/grm", 25), (f"{tmp_path}/one.grm.bin", 16), (f"{tmp_path}/one.grm.bin", 100)):
+        back, n = relationship.read(spark, path, tile)
+        assert n == N and np.allclose(factors.tiled_product(back, N, 1, tile)(np.eye(N)), exact, atol=1e-6)
+    assert [tuple(r) for r in relationship.sample_ids(spark, f"{tmp_path}/grm/samples.id").orderBy("number").collect()] == [(i, f"s{i}") for i in range(N)]
+    (tmp_path / "bad").write_bytes(b"\0" * 8)
+    with pytest.raises(ValueError, match="no lower triangle"):
+        relationship.read(spark, f"{tmp_path}/bad")
