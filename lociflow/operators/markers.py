@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -162,29 +164,38 @@ def ld_pairs_by_number(rows: DataFrame, n_samples: int, window: int = 1000, leas
     return ld_pairs(rows, order, n_samples, window, least_r2)
 
 
-def ld_pruned(markers: DataFrame, pairs: DataFrame, folder: str) -> DataFrame:
-    """Markers left by the greedy forward walk: a marker goes if a kept one before it is linked with it.
+def ld_pruned(markers: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Markers (marker, chrom, pos; without places by number) left by the greedy forward walk: a marker goes if a kept one before it is linked with it.
 
-    pairs (a, b): b comes after a.  Rounds take the place of the walk: a marker with no
-    undecided one before it is kept, and takes those after it out.  All contigs move
-    at once, and every round is written to folder, so that the lineage stays short.
+    pairs (a, b): b comes after a.  One pass: the links of a contig stream by the place
+    of b, so that whether a stays is known before b is asked; a task remembers the
+    markers that have gone.  Contigs are walked side by side, and so are the stretches
+    of a contig that no link spans.
     """
-    spark = markers.sparkSession
-    links, kept, n = pairs.select("a", "b").distinct(), None, 0
-    while True:
-        path = f"{folder}/links{n}"
-        links.write.mode("overwrite").parquet(path)
-        links = spark.read.schema(links.schema).parquet(path)
-        if links.isEmpty():
-            break
-        heads = links.select("a").distinct().join(links.select(F.col("b").alias("a")).distinct(), "a", "left_anti")
-        out = links.join(heads, "a", "left_semi").select("b").distinct()
-        out.write.mode("overwrite").parquet(f"{folder}/out{n}")
-        gone = spark.read.schema(out.schema).parquet(f"{folder}/out{n}")
-        kept = gone if kept is None else kept.unionByName(gone)
-        links = links.join(heads, "a", "left_anti").join(gone, "b", "left_anti").join(gone.select(F.col("b").alias("a")), "a", "left_anti")
-        n += 1
-    return markers if kept is None else markers.join(kept.select(F.col("b").alias("marker")), "marker", "left_anti")
+    has = set(markers.columns)
+    places = markers.select("marker", F.col("chrom") if "chrom" in has else F.lit("").alias("chrom"), F.col("pos").cast("long") if "pos" in has else F.col("marker").alias("pos"))
+    links = pairs.select("a", "b").distinct().join(places.toDF("b", "chrom", "pos"), "b").join(places.toDF("a", "_chrom", "first"), "a").select("a", "b", "chrom", "first", "pos")
+    # a stretch starts where all links that began before have ended
+    before = Window.partitionBy("chrom").orderBy("first").rangeBetween(Window.unboundedPreceding, -1)
+    starts = links.groupBy("chrom", "first").agg(F.max("pos").alias("pos"))
+    starts = starts.withColumn("new", F.coalesce(F.max("pos").over(before) < F.col("first"), F.lit(True)).cast("int"))
+    starts = starts.select("chrom", "first", F.sum("new").over(Window.partitionBy("chrom").orderBy("first")).alias("stretch"))
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        here, gone = None, set()
+        for pdf in batches:
+            out = []
+            for stretch, a, b in zip(zip(pdf["chrom"], pdf["stretch"], strict=True), pdf["a"], pdf["b"], strict=True):
+                if stretch != here:
+                    here, gone = stretch, set()
+                if a not in gone and b not in gone:
+                    gone.add(b)
+                    out.append(b)
+            if out:
+                yield pd.DataFrame({"marker": out})
+
+    dealt = links.join(starts, ["chrom", "first"]).repartition("chrom", "stretch").sortWithinPartitions("chrom", "stretch", "pos", "b")
+    return markers.join(dealt.select("chrom", "stretch", "a", "b").mapInPandas(walk, "marker long"), "marker", "left_anti")
 
 
 def chrx_qc(markers: DataFrame, qc: DataFrame) -> DataFrame:

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import chrom_order, sex_code
 from ..operators import linear, markers, report, samples, scans, segments
-from ..session import working_folder
 from ..sources import adapters as A
 
 FLAGS = ["call_rate_pass", "hwe_pass", "maf_pass"]
@@ -205,7 +204,7 @@ def lmm_scan(spark: SparkSession, d: str) -> DataFrame:
 
 
 def ld_prune(spark: SparkSession, d: str) -> DataFrame:
-    return markers.ld_pruned(*_linked(spark, d), working_folder(spark))
+    return markers.ld_pruned(*_linked(spark, d))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

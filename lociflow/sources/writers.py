@@ -52,6 +52,13 @@ def table(df: DataFrame, order: Column, path: str, parts: int = 64) -> None:
     ordered_text(df.select(F.lit(0).alias("k1"), F.lit("").alias("k2"), order.alias("k3"), line.alias("line")), ["\t".join(df.columns)], path, parts)
 
 
+def markers_used(masks: DataFrame, markers: DataFrame, path: str, parts: int = 64) -> None:
+    """variant_id, chrom and pos of the markers that a decomposition learnt from, in the order of their numbers; masks: (marker, passes)."""
+    used = markers.join(masks.where("passes").select("marker"), "marker", "left_semi")
+    line = F.concat_ws("\t", "variant_id", "chrom", F.col("pos").cast("string"))
+    ordered_text(used.select(F.lit(0).alias("k1"), F.lit("").alias("k2"), F.col("marker").alias("k3"), line.alias("line")), ["variant_id\tchrom\tpos"], path, parts)
+
+
 def audit(records: DataFrame, path: str, parts: int = 64) -> None:
     """An audit trail of (stage, id_type, id, included, reason): a line with the number of included ids of each stage, then its excluded ids."""
     kept = records.where("included").groupBy("stage", "id_type").agg(F.concat(F.lit("n="), F.count("*").cast("string")).alias("id"))

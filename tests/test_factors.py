@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lociflow.operators import correction, factors, linear, scans
-from lociflow.sources import bcf
+from lociflow.sources import bcf, writers
 
 N, M = 60, 300
 
@@ -127,7 +127,7 @@ def test_mixed_model_of_leading_vectors(spark):
     assert np.allclose(exact["beta"], few["beta"], rtol=1e-4) and np.allclose(exact["p_value"], few["p_value"], rtol=1e-3)
 
 
-def test_correction_as_one_call(spark):
+def test_correction_as_one_call(spark, tmp_path):
     x = values(4, 0.01)
     x[:, 5] += 3 * np.random.default_rng(1).normal(size=M)  # a noisy sample
     x[200, :] = 0.25  # no variance
@@ -160,6 +160,9 @@ def test_correction_as_one_call(spark):
             expected[seen] -= scores[:, seen].T @ np.linalg.lstsq(scores[:, seen].T, x[i, seen], rcond=None)[0]
         assert np.allclose(np.nan_to_num(fixed[i]), np.nan_to_num(expected), atol=1e-6), i
     assert told["k"] == told["n_components_computed"] == 3 and told["backend"] == "rsvd" and not told["rsvd_subsampled"] and told["rsvd_marker_budget"] is None
+    writers.markers_used(told["marker_mask"], rows.selectExpr("marker", "concat('m', marker) as variant_id", "chrom", "pos"), f"{tmp_path}/used", 3)
+    lines = [line for f in sorted(tmp_path.glob("used/part-*")) for line in f.read_text().splitlines()]
+    assert lines == ["variant_id\tchrom\tpos", *(f"m{i}\tchr1\t{i * 100}" for i in np.flatnonzero(passing))]
     assert told["marker_loadings"].count() == passing.sum() and told["sample_scores"].shape == (3, N) and len(told) == 12
     none, few = correction.correct_lrr(rows, N, None, None, correction.Thresholds(2.5, 0.9, 0.9, budget=50), residualise=False)
     assert none is None and few["rsvd_subsampled"] and few["n_markers_used"] <= 50 and few["n_components_computed"] == 3 and few["k"] >= 1

@@ -124,7 +124,21 @@ def test_ld_prune_is_the_greedy_walk(spark, tmp_path):
         if not any((k, m) in pairs for k in kept):
             kept.append(m)
     df = spark.createDataFrame([(m,) for m in range(66)], "marker long")
-    out = markers.ld_pruned(df, spark.createDataFrame(pairs, "a long, b long"), str(tmp_path / "work"))
+    out = markers.ld_pruned(df, spark.createDataFrame(pairs, "a long, b long"))
     assert sorted(r["marker"] for r in out.collect()) == kept
-    none = markers.ld_pruned(df, spark.createDataFrame([], "a long, b long"), str(tmp_path / "none"))
+    none = markers.ld_pruned(df, spark.createDataFrame([], "a long, b long"))
     assert none.count() == 66
+
+
+def test_ld_prune_of_contigs_and_stretches(spark):
+    rng = np.random.default_rng(6)
+    chrom, pos = rng.integers(0, 3, 150), rng.permutation(2000)[:150]
+    order = sorted(range(150), key=lambda m: (chrom[m], pos[m]))
+    pairs = {(a, b) for i, a in enumerate(order) for b in order[i + 1 :] if chrom[a] == chrom[b] and pos[b] - pos[a] < 60 and rng.random() < 0.5}
+    kept = []
+    for m in order:
+        if not any((k, m) in pairs for k in kept):
+            kept.append(m)
+    df = spark.createDataFrame([(m, f"chr{chrom[m]}", int(pos[m])) for m in range(150)], "marker long, chrom string, pos long")
+    out = markers.ld_pruned(df, spark.createDataFrame(sorted(pairs), "a long, b long").repartition(5))
+    assert sorted(r["marker"] for r in out.collect()) == sorted(kept) and len(kept) < 150
