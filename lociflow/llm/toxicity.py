@@ -270,11 +270,26 @@ def _read(sample: DataFrame, machine: Machine) -> tuple[np.ndarray, np.ndarray,
     return np.array([r[1] for r in rows]), np.array([r[2] for r in rows]), [r[3] for r in rows]
 
 
-def _table(string: bytes) -> np.ndarray:
-    """Subsequence features of a string over all triples."""
+def _features(string: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The triples that a string has as subsequences, and their features."""
     c = np.frombuffer(string, np.uint8).astype(np.int64)
     i, j, k, w = _triples(len(c))
-    return np.bincount((c[i] * CLASSES + c[j]) * CLASSES + c[k], w, CLASSES**3).astype(np.float32)
+    cells, at = np.unique((c[i] * CLASSES + c[j]) * CLASSES + c[k], return_inverse=True)
+    return cells, np.bincount(at, w, len(cells)).astype(np.float32)
+
+
+def _table(string: bytes) -> np.ndarray:
+    """Subsequence features of a string over all triples."""
+    out = np.zeros(CLASSES**3, np.float32)
+    cells, values = _features(string)
+    out[cells] = values
+    return out
+
+
+def _square(string: bytes) -> float:
+    """The kernel of a string with itself."""
+    values = _features(string)[1]
+    return float(values @ values)
 
 
 def _laid_out(pool: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -286,7 +301,7 @@ def _laid_out(pool: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def _far_apart(pool: list[bytes], m: int) -> list[bytes]:
     """At most m strings of pool, each the farthest in the kernel from those before; one row of the kernel is held at a time."""
     text, chosen = _laid_out(pool), []
-    own = np.array([float(_table(s) @ _table(s)) for s in pool])
+    own = np.array([_square(s) for s in pool])
     nearest = own + 1
     for _ in range(min(m, len(pool))):
         x = int(np.argmax(nearest))
@@ -333,16 +348,23 @@ def _fitted(positive: dict[bytes, float], negative: dict[bytes, float]) -> Machi
     marks = _far_apart(frequent, LANDMARKS * 3 // 4)
     marks += [s for s in sorted(others, key=lambda s: (-negative[s], s))[: (LANDMARKS - len(marks)) // 2] if negative[s] > 1]
     marks += _far_apart([s for s in others[:600] if s not in marks], LANDMARKS - len(marks))
-    tables = np.array([_table(s) for s in marks])
+    # over the triples that a landmark has; one whole table is made at a time
+    features = [_features(s) for s in marks]
+    cells = np.unique(np.concatenate([c for c, _ in features]))
+    tables = np.zeros((len(marks), len(cells)), np.float32)
+    for row, (c, v) in zip(tables, features, strict=True):
+        row[np.searchsorted(cells, c)] = v
     value, vector = np.linalg.eigh(tables @ tables.T)
     keep = value > 1e-4 * value[-1]
     whiten = vector[:, keep] / np.sqrt(value[keep])
     text = _laid_out(mine + others)
-    k = np.stack([margins(*text, t) for t in tables], axis=1)
+    k = np.stack([margins(*text, _table(s)) for s in marks], axis=1)
     total = max(1.0, against.sum())
     weights = np.concatenate([np.sqrt(weight) / np.sqrt(weight).sum() * total * POSITIVE, against])
     beta, bias = _svm(k @ whiten, np.where(np.arange(len(k)) < len(mine), 1.0, -1.0), weights / total * COST)
-    return Machine(((whiten @ beta) @ tables).astype(np.float32), bias)
+    table = np.zeros(CLASSES**3, np.float32)
+    table[cells] = (whiten @ beta) @ tables
+    return Machine(table, bias)
 
 
 def _telling(positive: dict[bytes, float], toxic: list[list[bytes]], clean: list[list[bytes]]) -> dict[bytes, float]:
@@ -355,11 +377,10 @@ def _telling(positive: dict[bytes, float], toxic: list[list[bytes]], clean: list
     sides, out = [], {}
     for docs in (toxic, clean):
         text = _laid_out([s for best in docs for s in best])
-        own = np.sqrt([float(_table(s) @ _table(s)) for best in docs for s in best])
+        own = np.sqrt([_square(s) for best in docs for s in best])
         sides.append((text, own, np.repeat(np.arange(len(docs)), [len(best) for best in docs]), len(docs)))
     for s, weight in sorted(positive.items(), key=lambda x: (-x[1], x[0]))[:SEEDS]:
-        table = _table(s)
-        length = np.sqrt(float(table @ table))
+        table, length = _table(s), np.sqrt(_square(s))
         shares = [len(np.unique(doc[margins(*text, table) / (own * length) > ALIKE])) / n for text, own, doc, n in sides]
         if shares[1] <= MOST_ALIKE * shares[0]:
             out[s] = weight
