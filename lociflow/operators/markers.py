@@ -62,6 +62,21 @@ def stage_masks(markers: DataFrame, stats: DataFrame, regions: DataFrame | None
     return judged.select(*markers.columns, *flags, (F.col(flags[0]) & F.col(flags[1]) & F.col(flags[2]) & F.col(flags[3])).alias("passes"))
 
 
+# fixed values: the stage and the reason of each filter in an audit trail
+AUDITED = """
+call_rate_ok correction_marker_call_rate failed_call_rate
+variance_ok correction_marker_variance failed_variance
+autosome_ok correction_marker_autosome non_autosomal
+region_ok correction_marker_complexity complexity_region"""
+
+
+def subset_audit(masks: DataFrame, name: str = "marker") -> DataFrame:
+    """An audit record (stage, id_type, id, included, reason) of each marker of stage_masks for each of its filters; every filter is judged on all markers."""
+    rules = [line.split() for line in AUDITED.split("\n") if line]
+    each = F.array(*[F.struct(F.lit(stage).alias("stage"), F.col(flag).alias("included"), F.when(~F.col(flag), F.lit(reason)).otherwise("").alias("reason")) for flag, stage, reason in rules])
+    return masks.select(F.col(name).cast("string").alias("id"), F.explode(each).alias("r")).select("r.stage", F.lit("marker").alias("id_type"), "id", "r.included", "r.reason")
+
+
 def without_qc(markers: DataFrame) -> DataFrame:
     """The result of qc_reasons where no QC table is given: every marker passes."""
     return markers.withColumns({"reasons": F.lit(""), "passes": F.lit(True)})

@@ -24,16 +24,18 @@ def runs(records: DataFrame, flag) -> DataFrame:
 
 
 def _summed(rows: DataFrame, key: str) -> DataFrame:
-    return rows.groupBy("chrom", key).agg(F.min("ord").alias("ord"), F.min("pos").alias("first_pos"), F.max("pos").alias("last_pos"), F.count("*").alias("n_markers"), F.min("p").alias("min_p"), F.sum("beta").alias("sum_beta"), F.max(F.abs("stat")).alias("max_abs_stat")).drop(key)
+    first = [F.min_by("method", "ord").alias("method")] if "method" in rows.columns else []
+    return rows.groupBy("chrom", key).agg(*first, F.min("ord").alias("ord"), F.min("pos").alias("first_pos"), F.max("pos").alias("last_pos"), F.count("*").alias("n_markers"), F.min("p").alias("min_p"), F.sum("beta").alias("sum_beta"), F.max(F.abs("stat")).alias("max_abs_stat")).drop(key)
 
 
 def merged(found: DataFrame, most_gap: int = 1_000_000, least_markers: int = 1) -> DataFrame:
-    """Runs of a contig no more than most_gap apart joined; 0-based half-open segments."""
+    """Runs of a contig no more than most_gap apart joined; 0-based half-open segments, with the method of the first record where records have one."""
     along = Window.partitionBy("chrom").orderBy("ord")
     far = F.coalesce((F.col("first_pos") - F.lag("last_pos").over(along) > most_gap).cast("int"), F.lit(1))
     grouped = found.withColumn("_far", far).withColumn("_seg", F.sum("_far").over(along))
-    out = grouped.groupBy("chrom", "_seg").agg((F.min("first_pos") - 1).alias("start"), F.max("last_pos").alias("end"), F.sum("n_markers").alias("n_markers"), F.min("min_p").alias("min_p"), (F.sum("sum_beta") / F.sum("n_markers")).alias("mean_beta"), F.max("max_abs_stat").alias("max_abs_stat"))
-    return out.where(F.col("n_markers") >= least_markers).select("chrom", "start", "end", *STATS)
+    first = [F.min_by("method", "ord").alias("method")] if "method" in found.columns else []
+    out = grouped.groupBy("chrom", "_seg").agg(*first, (F.min("first_pos") - 1).alias("start"), F.max("last_pos").alias("end"), F.sum("n_markers").alias("n_markers"), F.min("min_p").alias("min_p"), (F.sum("sum_beta") / F.sum("n_markers")).alias("mean_beta"), F.max("max_abs_stat").alias("max_abs_stat"))
+    return out.where(F.col("n_markers") >= least_markers).select("chrom", "start", "end", *STATS, *(["method"] if first else []))
 
 
 def threshold_segments(records: DataFrame, p_threshold: float = 5e-8, most_gap: int = 1_000_000, least_markers: int = 1) -> DataFrame:
