@@ -185,12 +185,13 @@ def _width(kind: int) -> int:
 
 
 class Records:
-    """Decodes the fields that are asked for of one record."""
+    """Decodes the fields that are asked for of one record; those of other contigs, and intensity-only ones if they are to go, end before their samples."""
 
-    def __init__(self, header: Header, fields: list[str], samples: list[int] | None):
-        self.header, self.fields, self.samples = header, fields, samples
+    def __init__(self, header: Header, fields: list[str], samples: list[int] | None, contigs: list[str] | None = None, drop: bool = False):
+        self.header, self.fields, self.samples, self.drop = header, fields, samples, drop
         self.by_sample = [f for f in fields if f in SAMPLE_FIELDS]
-        self.with_info = "intensity_only" in fields
+        self.with_info = drop or "intensity_only" in fields
+        self.wanted = None if contigs is None else {i for i, c in enumerate(header.contigs) if c in contigs}
 
     def sound(self, data: bytes, at: int) -> int:
         """The length of the record at a place, or 0 if there can be none."""
@@ -199,8 +200,10 @@ class Records:
         ok = shared >= 24 and shared < 1 << 28 and own < 1 << 31 and 0 <= chrom < len(self.header.contigs) and self.header.contigs[chrom] and pos >= -1 and n_sample == len(self.header.samples)
         return 8 + shared + own if ok else 0
 
-    def decode(self, shared: bytes, own: bytes) -> dict:
+    def decode(self, shared: bytes, own: bytes) -> dict | None:
         chrom, pos, _, _, n_info_allele, n_fmt_sample = struct.unpack_from("<iiiIII", shared)
+        if self.wanted is not None and chrom not in self.wanted:
+            return None
         n_info, n_allele = n_info_allele & 0xFFFF, n_info_allele >> 16
         vid, at = _text(shared, 24)
         alleles = []
@@ -219,6 +222,8 @@ class Records:
                 kind, n, at = _descriptor(shared, at)
                 at += n * _width(kind)
                 row["intensity_only"] |= self.header.names.get(int(key[0])) == "INTENSITY_ONLY"
+            if self.drop and row["intensity_only"]:
+                return None
         if self.by_sample:
             row |= self._by_sample(own, n_fmt_sample >> 24, n_fmt_sample & 0xFFFFFF)
         return row
@@ -300,6 +305,7 @@ class _Reader(DataSourceReader):
         self.path = options["path"]
         self.contigs = options["contigs"].split(",") if options.get("contigs") else None
         self.samples = [int(i) for i in options["samples"].split(",")] if options.get("samples") else None
+        self.drop = options.get("dropintensityonly", "false").lower() == "true"
         self.split_bytes = int(options.get("splitbytes", SPLIT_BYTES))
 
     def _files(self) -> list[str]:
@@ -339,14 +345,14 @@ class _Reader(DataSourceReader):
         if not split.path:
             return
         header = Header.read(split.path)
-        records, rows = Records(header, self.fields, self.samples), []
+        records, rows = Records(header, self.fields, self.samples, self.contigs, self.drop), []
         width = len(header.samples) if self.samples is None else len(self.samples)
         most = max(1, min(10_000, BATCH_CELLS // max(1, width * len(records.by_sample)))) if records.by_sample else 10_000
         store, name = _store(split.path)
         with store.open_input_file(name) as source:
             for shared, own in _records(source, split, records):
                 row = records.decode(shared, own)
-                if self.contigs is None or row["chrom"] in self.contigs:
+                if row is not None:
                     rows.append(row)
                 if len(rows) >= most:
                     yield self._batch(rows)
@@ -590,7 +596,7 @@ def write_index(n_contigs: int, parts: list[tuple[int, dict]]) -> bytes:
 class BcfSource(DataSource):
     """``spark.read.format("bcf")`` and ``df.write.format("bcf")``.
 
-    Reading: contigs and samples (numbers) as comma-separated options, splitBytes; a
+    Reading: contigs and samples (numbers) as comma-separated options, splitBytes and dropIntensityOnly; a
     schema of fewer columns decodes fewer fields.  Writing: contigs, samples (names),
     source and provenance as options.
     """
@@ -619,20 +625,21 @@ def samples(path: str) -> list[str]:
     return Header.read(path).samples
 
 
-def bcf(spark: SparkSession, path: str, columns: list[str] | None = None, contigs: list[str] | None = None, numbers: list[int] | None = None, split_bytes: int = SPLIT_BYTES) -> DataFrame:
+def bcf(spark: SparkSession, path: str, columns: list[str] | None = None, contigs: list[str] | None = None, numbers: list[int] | None = None, split_bytes: int = SPLIT_BYTES, drop_intensity_only: bool = False) -> DataFrame:
     """The records of a BCF file, or of a folder of them, with the columns of SCHEMA or some of them.
 
     LRR that is not finite and genotypes that are not diploid and complete are null.
     contigs keeps these only, and reads only their bytes where a file has an index;
-    numbers picks samples, in this order.
+    numbers picks samples, in this order.  drop_intensity_only leaves out the markers
+    with that flag before their samples are decoded.
     """
     _registered(spark)
     kinds = dict(c.split(" ", 1) for c in SCHEMA.split(", "))
     schema = ", ".join(f"{c} {kinds[c]}" for c in columns or kinds)
     if contigs == [] or numbers == []:
         empty = spark.createDataFrame([], schema)
-        return empty if contigs == [] else bcf(spark, path, [c for c in columns or kinds if c not in SAMPLE_FIELDS], contigs, None, split_bytes).withColumns({c: F.array().cast("array<double>") for c in SAMPLE_FIELDS if c in (columns or kinds)})
-    read = spark.read.format("bcf").schema(schema).option("splitBytes", split_bytes)
+        return empty if contigs == [] else bcf(spark, path, [c for c in columns or kinds if c not in SAMPLE_FIELDS], contigs, None, split_bytes, drop_intensity_only).withColumns({c: F.array().cast("array<double>") for c in SAMPLE_FIELDS if c in (columns or kinds)})
+    read = spark.read.format("bcf").schema(schema).option("splitBytes", split_bytes).option("dropIntensityOnly", str(drop_intensity_only).lower())
     read = read if contigs is None else read.option("contigs", ",".join(contigs))
     read = read if numbers is None else read.option("samples", ",".join(map(str, numbers)))
     return read.load(path)

@@ -86,6 +86,17 @@ def test_fewer_columns_decode_no_samples(spark, written, monkeypatch):
     assert len(got) == len(rows)
 
 
+def test_intensity_only_records_and_other_contigs_end_before_their_samples(spark, written, monkeypatch):
+    path, rows = written
+    assert plain(bcf.bcf(spark, path, drop_intensity_only=True, contigs=["chr1"])) == named([r for r in rows if not r[5] and r[0] == "chr1"])
+    header = bcf.Header.read(path)
+    fields, seen = bcf.Records(header, ["lrr"], None, ["chrX"], True), []
+    monkeypatch.setattr(fields, "_by_sample", lambda *a: seen.append(1) or {})
+    with fs.LocalFileSystem().open_input_file(path) as source:
+        got = [fields.decode(*r) for r in bcf._records(source, bcf.Split(path, header.start[0], os.path.getsize(path), header.start[1]), fields)]
+    assert len(got) == len(rows) and len(seen) == sum(r is not None for r in got) == sum(r[0] == "chrX" and not r[5] for r in rows)
+
+
 def test_records_come_in_order_of_contig_and_position(spark, written):
     path, rows = written
     with fs.LocalFileSystem().open_input_file(path) as source:
