@@ -134,25 +134,19 @@ def ld_pairs(rows: DataFrame, positions: DataFrame, n_samples: int, window: int
     """Pairs of markers of a contig within window base pairs whose squared correlation is above least_r2.
 
     rows: (marker, x), x an array of one dosage a sample.  Markers are put in bins of
-    window base pairs and, within a bin, in tiles of about TILE markers; every tile
-    meets the tiles of its own bin and of the next in a task of its own, as one matrix
-    product.  Each marker's array is sent once for each tile that it meets.
+    window base pairs and, in a bin, in tiles of TILE markers one after another.  Two
+    tiles meet in a task of their own, as one matrix product, if the second comes
+    later and starts within the window of the first.
     """
     binned = positions.select("chrom", "marker", "pos", F.floor(F.col("pos") / window).alias("bin"))
-    tiles = binned.groupBy("chrom", "bin").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
-    placed = binned.join(tiles, ["chrom", "bin"]).withColumn("tile", F.pmod(F.xxhash64("marker"), F.col("tiles")).cast("int"))
-    nearby = lambda step, name: tiles.select("chrom", (F.col("bin") + step).alias("bin"), F.col("tiles").alias(name))
-    placed = placed.join(nearby(-1, "after"), ["chrom", "bin"], "left").join(nearby(1, "before"), ["chrom", "bin"], "left")
-    each = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-    task = lambda side, a_bin, a, b_bin, b: F.struct(F.lit(side).alias("side"), a_bin.alias("a_bin"), a.alias("a_tile"), b_bin.alias("b_bin"), b.alias("b_tile"))
-    here, mine = F.col("bin"), F.col("tile")
-    tasks = F.concat(
-        F.transform(each(F.col("tiles")), lambda t: task(0, here, mine, here, t)),
-        F.transform(each(F.coalesce("after", F.lit(0))), lambda t: task(0, here, mine, here + 1, t)),
-        F.transform(each(F.col("tiles")), lambda t: task(1, here, t, here, mine)),
-        F.transform(each(F.coalesce("before", F.lit(0))), lambda t: task(1, here - 1, t, here, mine)),
-    )
-    dealt = placed.select("chrom", "marker", "pos", F.explode(tasks).alias("t")).select("chrom", "marker", "pos", "t.*").join(rows.select("marker", "x"), "marker")
+    order = Window.partitionBy("chrom", "bin").orderBy("pos", "marker")
+    placed = binned.withColumn("tile", F.floor((F.row_number().over(order) - 1) / TILE).cast("int"))
+    tiles = placed.groupBy("chrom", "bin", "tile").agg(F.min("pos").alias("low"), F.max("pos").alias("high"))
+    here = tiles.select("chrom", F.explode(F.array(F.col("bin"), F.col("bin") + 1)).alias("b_bin"), F.col("bin").alias("a_bin"), F.col("tile").alias("a_tile"), F.col("high"))
+    after = here.join(tiles.select("chrom", F.col("bin").alias("b_bin"), F.col("tile").alias("b_tile"), "low"), ["chrom", "b_bin"])
+    after = after.where(((F.col("b_bin") > F.col("a_bin")) | (F.col("b_tile") >= F.col("a_tile"))) & (F.col("low") <= F.col("high") + window)).drop("high", "low")
+    side = lambda which, of: placed.join(after.withColumns({"bin": F.col(f"{of}_bin"), "tile": F.col(f"{of}_tile")}), ["chrom", "bin", "tile"]).withColumn("side", F.lit(which))
+    dealt = side(0, "a").unionByName(side(1, "b")).join(rows.select("marker", "x"), "marker")
 
     def linked(pdf: pd.DataFrame) -> pd.DataFrame:
         sides = [pdf[pdf["side"] == s] for s in (0, 1)]
