@@ -178,3 +178,29 @@ def test_hot_keys_lose_no_row(spark):
 def test_scores_are_of_whole_texts(machine):
     long = "x" * 5 + " word" * 3000
     assert pa.array([long])[0].as_py() == long and machine.tops(pa.array([long, None, ""]))[0].tolist() == [-1.0, toxicity.LOWEST, toxicity.LOWEST]
+
+
+def test_working_folders_are_those_of_the_thread(spark):
+    from pathlib import Path
+    from threading import Thread
+
+    from lociflow.llm import shared
+
+    def path(folder):
+        return Path(folder.removeprefix("file://"))
+
+    theirs = []
+
+    def other():
+        theirs.append(shared.shared_dir(spark))
+        shared.saved(spark.range(3), theirs[0])
+
+    since = len(shared.made())
+    mine = shared.shared_dir(spark)
+    shared.saved(spark.range(2), mine)
+    thread = Thread(target=other)
+    thread.start()
+    thread.join()
+    shared.released(spark, since)
+    assert not path(mine).exists() and path(theirs[0]).exists() and len(shared.made()) == since
+    shared.dropped(spark, theirs[0])
