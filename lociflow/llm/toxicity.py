@@ -66,7 +66,7 @@ LANDMARKS, TRAIN_EACH, SEEDS, NEGATIVES, ROUNDS, RIDGE = 128, 2000, 1000, 4000,
 LEAST_EXCESS, NEAR_BEST, ALIKE, MOST_ALIKE = 4.0, 0.9, 0.6, 0.25
 LOWEST, LEAST_WITNESS = -1.5, -0.5
 POSITIVE, COST = 0.25, 1000.0
-PART = 1 << 18
+PART, FRAME_STRINGS = 1 << 18, 1 << 15
 
 # classes of characters: letters 1 to 26, a mark on a letter, the two ends of a string, and all other characters by number
 MARK, START, END, OTHER = 27, 28, 29, 30
@@ -135,7 +135,7 @@ def spelled(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def framed(chars: np.ndarray, first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The strings laid end to end with a mark at either end of each, and their places."""
+    """The strings laid end to end with a mark at either end of each, and their places; for FRAME_STRINGS strings or so at a time."""
     n = end - first + 2
     last = np.cumsum(n)
     start = last - n
@@ -146,9 +146,14 @@ def framed(chars: np.ndarray, first: np.ndarray, end: np.ndarray) -> tuple[np.nd
 
 def strings(chars: np.ndarray, first: np.ndarray, end: np.ndarray, row: np.ndarray, sentence: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """(text, first, end, row) of the strings of three to WINDOW characters of each sentence, kind after kind."""
+    def pieces(a: np.ndarray, b: np.ndarray, r: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        for s in range(0, max(1, len(a)), FRAME_STRINGS):
+            part = slice(s, s + FRAME_STRINGS)
+            yield *framed(chars, a[part], b[part]), r[part]
+
     n = end - first
     usual = (n >= 3) & (n <= WINDOW)
-    yield *framed(chars, first[usual], end[usual]), row[usual]
+    yield from pieces(first[usual], end[usual], row[usual])
     long = np.flatnonzero(n > WINDOW)
     if len(long):
         steps = -(-(n[long] - WINDOW) // (WINDOW // 2)) + 1
@@ -158,17 +163,17 @@ def strings(chars: np.ndarray, first: np.ndarray, end: np.ndarray, row: np.ndarr
     for more in range(1, RUN):
         a, b = first[:-more], end[more:]
         ok = (sentence[more:] == sentence[:-more]) & (b - a >= 3) & (b - a <= WINDOW)
-        yield *framed(chars, a[ok], b[ok]), row[:-more][ok]
+        yield from pieces(a[ok], b[ok], row[:-more][ok])
     # single letters in a row spell one word
     single = n == 1
     change = np.flatnonzero(np.concatenate([[True], (single[1:] != single[:-1]) | (sentence[1:] != sentence[:-1])])) if len(n) else np.zeros(0, int)
     after = np.append(change[1:], len(n))
     spelt = single[change] & (after - change > RUN) if len(n) else np.zeros(0, bool)
     a, b, r = first[change[spelt]], end[after[spelt] - 1], row[change[spelt]]
-    yield *framed(chars, a, np.minimum(b, a + WINDOW)), r
+    yield from pieces(a, np.minimum(b, a + WINDOW), r)
     if (b - a > WINDOW).any():
         far = b - a > WINDOW
-        yield *framed(chars, b[far] - WINDOW, b[far]), r[far]
+        yield from pieces(b[far] - WINDOW, b[far], r[far])
 
 
 @cache
