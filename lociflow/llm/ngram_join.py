@@ -20,8 +20,10 @@ document's component under these links.
    as many as the class has shingles; a point is kept as its finer counts,
    Zstandard-compressed.
 4. Stars.  In each cell every class is held against the cell's smallest class:
-   pairs whose bounds allow a link are verified on their sets.  This joins large
-   groups of near copies with a number of pairs linear in them.  The set of a
+   pairs whose bounds allow a link are verified on their sets.  Each class meets
+   the smallest of its cells first, and of the others those that are in another
+   component after that.  This joins large groups of near copies with a number
+   of pairs linear in them.  The set of a
    class with many partners is copied to a task for each ``STAR`` of them.
 5. R-trees.  In each cell whose classes are still in different components an
    R-tree is bulk-loaded and joined with itself by the bound; surviving pairs
@@ -389,10 +391,19 @@ def linked(docs: DataFrame, row: str | None = None) -> DataFrame:
     own = saved(feats.select("doc_id", "n_shingles", "cls", *(["row"] if row else [])), f"{folder}/classes")
     dropped(spark, f"{folder}/features")
 
-    sizes = saved(cells.groupBy("cell").agg(F.count("*").alias("n")), f"{folder}/sizes")
-    near = saved(_bounded(cells.toDF("a", "b"), points, sizes.toDF("a", "n"), f"{folder}/near"), f"{folder}/near")
-    links = saved(_verified(docs, near, points, clashes, f"{folder}/near"), f"{folder}/links")
-    found = components(links, f"{folder}/first")
+    def star(pairs: DataFrame, name: str) -> DataFrame:
+        """The links among pairs (cell, cls) of a cell's smallest class and another."""
+        sizes = saved(pairs.groupBy("cell").agg(F.count("*").alias("n")), f"{folder}/{name}-sizes")
+        near = saved(_bounded(pairs.select("cell", "cls").toDF("a", "b"), points, sizes.toDF("a", "n"), f"{folder}/{name}"), f"{folder}/{name}")
+        return saved(_verified(docs, near, points, clashes, f"{folder}/{name}"), f"{folder}/{name}-links")
+
+    links = star(cells.groupBy("cls").agg(F.min("cell").alias("cell")), "near")
+    found = saved(components(links, f"{folder}/first"), f"{folder}/joined")
+    of = lambda column: found.toDF(column, f"{column}_in")
+    apart = cells.join(of("cls"), "cls", "left").join(of("cell"), "cell", "left")
+    apart = apart.where(F.coalesce("cls_in", "cls") != F.coalesce("cell_in", "cell"))
+    links = links.unionByName(star(saved(apart.select("cell", "cls"), f"{folder}/apart"), "far"))
+    found = components(links, f"{folder}/second")
 
     # pairs with the smallest class are settled, so it stays out of its cell from here on
     member = cells.join(found.toDF("cls", "component"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
@@ -406,7 +417,8 @@ def linked(docs: DataFrame, row: str | None = None) -> DataFrame:
     dealt = dealt.repartition(spread(spark), "cell", "i", "j").sortWithinPartitions("cell", "i", "j", "side")
     rest = saved(_tree_pairs(dealt).distinct(), f"{folder}/rest")
     links = saved(links.unionByName(_verified(docs, rest, points, clashes, f"{folder}/rest")), f"{folder}/all")
-    for name in ("members", "cells", "near", "near-sized", "near-firsts", "near-partners", "links", "rest", "rest-partners", "points", "sizes", "open"):
+    stars = [star + part for star in ("near", "far") for part in ("", "-sizes", "-sized", "-firsts", "-partners", "-links")]
+    for name in (*stars, "joined", "apart", "members", "cells", "rest", "rest-partners", "points", "open"):
         dropped(spark, f"{folder}/{name}")
 
     found = components(links, f"{folder}/last").toDF("cls", "root")
