@@ -231,12 +231,10 @@ def joined(a: CountTree, b: CountTree, same: bool, at_once: int = 20_000) -> Ite
     yield from down(k, i, j)
 
 
-def _bounded(pairs: DataFrame, points: DataFrame, partners: DataFrame, folder: str) -> DataFrame:
-    """The pairs (a, b) whose sizes and points allow a link; partners (a, n) counts the pairs of each a."""
+def _bounded(pairs: DataFrame, points: DataFrame, folder: str) -> DataFrame:
+    """The pairs (a, b) of pairs (a, b, na, nb) whose sizes and points allow a link."""
     p = points.select("cls", "n_shingles", "fine")
-    sized = pairs.join(p.select(F.col("cls").alias("b"), F.col("n_shingles").alias("nb")), "b")
-    sized = keyed_join(sized, partners.join(p.select(F.col("cls").alias("a"), F.col("n_shingles").alias("na")), "a"), "a", "n", partners)
-    sized = saved(sized.where("4 * na >= 3 * nb and 4 * nb >= 3 * na"), f"{folder}-sized")
+    sized = saved(pairs.where("4 * na >= 3 * nb and 4 * nb >= 3 * na").select("a", "b", "na", "nb"), f"{folder}-sized")
     partners = saved(sized.groupBy("a").agg(F.count("*").alias("n")), f"{folder}-firsts")
     seconds = sized.join(p.select(F.col("cls").alias("b"), F.col("fine").alias("pb")), "b")
     firsts = partners.join(p.select(F.col("cls").alias("a"), F.col("fine").alias("pa")), "a")
@@ -361,14 +359,15 @@ def _tree_pairs(members: DataFrame) -> DataFrame:
 
 
 def _cells(has: DataFrame) -> DataFrame:
-    """(cell, cls): the classes that share one of their first shingles with a smaller class, under the smallest of each shingle."""
-    cold = has.select("cls", F.explode("prefix").alias("token"))
-    least = F.first("cls").over(Window.partitionBy("token").orderBy("cls").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    cold = cold.select("cls", least.alias("cell")).where("cls != cell")
-    hot = has.select("cls", F.explode("hot_prefix").alias("token"))
-    smallest = hot.groupBy("token").agg(F.min("cls").alias("cell"))  # of the HOT_SHINGLES broadcast ones only
-    hot = hot.join(F.broadcast(smallest), "token").where("cls != cell")
-    return cold.select("cell", "cls").unionByName(hot.select("cell", "cls")).distinct()
+    """(cell, cls, cell_n, n): the classes that share one of their first shingles with a smaller class, under the smallest of each shingle, and the sizes of both."""
+    one = F.struct("cls", F.col("n_shingles").alias("n"))
+    cold = has.select(one.alias("x"), F.explode("prefix").alias("token"))
+    least = F.first("x").over(Window.partitionBy("token").orderBy("x.cls").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    cold = cold.select("x", least.alias("y"))
+    hot = has.select(one.alias("x"), F.explode("hot_prefix").alias("token"))
+    smallest = hot.groupBy("token").agg(F.min("x").alias("y"))  # of the HOT_SHINGLES broadcast ones only
+    both = cold.unionByName(hot.join(F.broadcast(smallest), "token").select("x", "y")).where("x.cls != y.cls")
+    return both.select(F.col("y.cls").alias("cell"), F.col("x.cls").alias("cls"), F.col("y.n").alias("cell_n"), F.col("x.n").alias("n")).distinct()
 
 
 def linked(docs: DataFrame, row: str | None = None) -> DataFrame:
@@ -392,21 +391,21 @@ def linked(docs: DataFrame, row: str | None = None) -> DataFrame:
     dropped(spark, f"{folder}/features")
 
     def star(pairs: DataFrame, name: str) -> DataFrame:
-        """The links among pairs (cell, cls) of a cell's smallest class and another."""
-        sizes = saved(pairs.groupBy("cell").agg(F.count("*").alias("n")), f"{folder}/{name}-sizes")
-        near = saved(_bounded(pairs.select("cell", "cls").toDF("a", "b"), points, sizes.toDF("a", "n"), f"{folder}/{name}"), f"{folder}/{name}")
+        """The links among pairs (cell, cls, cell_n, n) of a cell's smallest class and another."""
+        near = saved(_bounded(pairs.select("cell", "cls", "cell_n", "n").toDF("a", "b", "na", "nb"), points, f"{folder}/{name}"), f"{folder}/{name}")
         return saved(_verified(docs, near, points, clashes, f"{folder}/{name}"), f"{folder}/{name}-links")
 
-    links = star(cells.groupBy("cls").agg(F.min("cell").alias("cell")), "near")
+    firsts = cells.groupBy("cls", "n").agg(F.min(F.struct("cell", "cell_n")).alias("x")).select("x.*", "cls", "n")
+    links = star(firsts, "near")
     found = saved(components(links, f"{folder}/first"), f"{folder}/joined")
     of = lambda column: found.toDF(column, f"{column}_in")
     apart = cells.join(of("cls"), "cls", "left").join(of("cell"), "cell", "left")
     apart = apart.where(F.coalesce("cls_in", "cls") != F.coalesce("cell_in", "cell"))
-    links = links.unionByName(star(saved(apart.select("cell", "cls"), f"{folder}/apart"), "far"))
+    links = links.unionByName(star(saved(apart.select("cell", "cls", "cell_n", "n"), f"{folder}/apart"), "far"))
     found = components(links, f"{folder}/second")
 
     # pairs with the smallest class are settled, so it stays out of its cell from here on
-    member = cells.join(found.toDF("cls", "component"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+    member = cells.select("cell", "cls").join(found.toDF("cls", "component"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     member = saved(member, f"{folder}/members")
     open_ = member.groupBy("cell").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count("*").alias("n")).where("c0 < c1")
     open_ = saved(open_.select("cell", F.ceil(F.col("n") / CELL).cast("int").alias("parts"), "n"), f"{folder}/open")
@@ -417,7 +416,7 @@ def linked(docs: DataFrame, row: str | None = None) -> DataFrame:
     dealt = dealt.repartition(spread(spark), "cell", "i", "j").sortWithinPartitions("cell", "i", "j", "side")
     rest = saved(_tree_pairs(dealt).distinct(), f"{folder}/rest")
     links = saved(links.unionByName(_verified(docs, rest, points, clashes, f"{folder}/rest")), f"{folder}/all")
-    stars = [star + part for star in ("near", "far") for part in ("", "-sizes", "-sized", "-firsts", "-partners", "-links")]
+    stars = [star + part for star in ("near", "far") for part in ("", "-sized", "-firsts", "-partners", "-links")]
     for name in (*stars, "joined", "apart", "members", "cells", "rest", "rest-partners", "points", "open"):
         dropped(spark, f"{folder}/{name}")
 
