@@ -26,6 +26,11 @@ _log_gamma = np.vectorize(math.lgamma, otypes=[float])
 _erfc = np.vectorize(math.erfc, otypes=[float])
 
 
+def normal_two_sided(z: np.ndarray) -> np.ndarray:
+    """P(|Z| >= |z|) of the normal distribution."""
+    return _erfc(np.abs(z) / math.sqrt(2))
+
+
 def _beta_fraction(a: np.ndarray, b: float | np.ndarray, x: np.ndarray) -> np.ndarray:
     """The continued fraction of the incomplete beta function, by the modified Lentz recurrence."""
     tiny = 1e-300
@@ -184,7 +189,7 @@ def logistic_scan(rows: DataFrame, y: np.ndarray, covariates: np.ndarray | None
                 done[at[near]] = True
             slope, se = np.where(done, beta[:, -1], 0.0), np.where(done, se, np.inf)
             stat = np.where(done, slope / np.where(done, se, 1), 0.0)
-            yield pd.DataFrame({"marker": pdf["marker"].to_numpy(), "beta": slope, "se": se, "stat": stat, "p_value": _erfc(np.abs(stat) / math.sqrt(2)), "n_samples": n})
+            yield pd.DataFrame({"marker": pdf["marker"].to_numpy(), "beta": slope, "se": se, "stat": stat, "p_value": normal_two_sided(stat), "n_samples": n})
 
     return rows.select("marker", "x").mapInPandas(scan, SCHEMA)
 
@@ -243,20 +248,18 @@ def lmm_scan(rows: DataFrame, y: np.ndarray, relationship: np.ndarray, covariate
     return rows.select("marker", "x").mapInPandas(scan, SCHEMA)
 
 
-def _shrunk(value: np.ndarray, rest: float, delta: float) -> tuple[float, np.ndarray]:
+def weights(value: np.ndarray, rest: float, delta: float) -> tuple[float, np.ndarray]:
     """Weight outside the known eigenvectors, and what each of them adds to it."""
     base = 1 / (rest + delta)
     return base, 1 / (np.maximum(value, 0) + delta) - base
 
 
-def low_rank_delta(value: np.ndarray, vector: np.ndarray, rest: float, y: np.ndarray, design: np.ndarray, low: float = -5.0, high: float = 5.0, within: float = 1e-4) -> float:
-    """As reml_delta, of a matrix with the given leading eigenvalues and vectors (n x k) and the value ``rest`` on all that is at right angles to them."""
-    n, p = design.shape
-    both = np.column_stack([design, y])
-    turned, plain = vector.T @ both, both.T @ both
+def products_delta(value: np.ndarray, rest: float, n: int, turned: np.ndarray, plain: np.ndarray, low: float = -5.0, high: float = 5.0, within: float = 1e-4) -> float:
+    """As reml_delta, from the products of design and outcome (the last) with one another (plain) and with the known eigenvectors (turned, k rows)."""
+    p = len(plain) - 1
 
     def loss(log_delta: float) -> float:
-        base, more = _shrunk(value, rest, 10**log_delta)
+        base, more = weights(value, rest, 10**log_delta)
         info = base * plain + turned.T @ (more[:, None] * turned)
         variance = (info[p, p] - info[p, :p] @ np.linalg.solve(info[:p, :p], info[:p, p])) / (n - p)
         log_weights = np.log(base + more).sum() + (n - len(value)) * math.log(base)
@@ -269,6 +272,24 @@ def low_rank_delta(value: np.ndarray, vector: np.ndarray, rest: float, y: np.nda
     return 10 ** ((low + high) / 2)
 
 
+def low_rank_delta(value: np.ndarray, vector: np.ndarray, rest: float, y: np.ndarray, design: np.ndarray, low: float = -5.0, high: float = 5.0, within: float = 1e-4) -> float:
+    """As reml_delta, of a matrix with the given leading eigenvalues and vectors (n x k) and the value ``rest`` on all that is at right angles to them."""
+    both = np.column_stack([design, y])
+    return products_delta(value, rest, len(y), vector.T @ both, both.T @ both, low, high, within)
+
+
+def slopes_of_products(markers: pd.Series, own: np.ndarray, cross: np.ndarray, info: np.ndarray, along: np.ndarray, whole: float, n: int) -> pd.DataFrame:
+    """Tests of markers from their weighted products with themselves (own) and with the design and the outcome (cross), and those of the design."""
+    p = len(info)
+    solved = np.linalg.solve(info, cross[:, :p].T).T
+    square = own - (cross[:, :p] * solved).sum(axis=1)
+    ok = square > 1e-10 * np.maximum(own, 1e-300)
+    square = np.where(ok, square, 1.0)
+    beta = np.where(ok, (cross[:, p] - solved @ along) / square, 0.0)
+    se = np.where(ok, np.sqrt(np.maximum(whole - beta**2 * square, 0) / max(n - p - 1, 1) / square), np.inf)
+    return _result(markers, beta, se, n - p - 1, n)
+
+
 def low_rank_lmm_scan(rows: DataFrame, y: np.ndarray, value: np.ndarray, vector: np.ndarray, trace: float, covariates: np.ndarray | None = None) -> DataFrame:
     """The mixed-model scan with the leading eigenvalues and vectors (n x k) of the relationship matrix; its other eigenvalues count as their mean.
 
@@ -278,7 +299,7 @@ def low_rank_lmm_scan(rows: DataFrame, y: np.ndarray, value: np.ndarray, vector:
     design = _design(covariates, n)
     p, left = design.shape[1], n - len(value)
     rest = max((trace - value.sum()) / left, 0.0) if left else 0.0
-    base, more = _shrunk(value, rest, low_rank_delta(value, vector, rest, y, design))
+    base, more = weights(value, rest, low_rank_delta(value, vector, rest, y, design))
     weigh = lambda z: base * z + vector @ (more[:, None] * (vector.T @ z))
     both = np.column_stack([design, y])
     heavy = weigh(both)
@@ -292,13 +313,6 @@ def low_rank_lmm_scan(rows: DataFrame, y: np.ndarray, value: np.ndarray, vector:
             mean = np.where(seen, x, 0).sum(axis=1) / np.maximum(seen.sum(axis=1), 1)
             x = np.where(seen, x, mean[:, None])
             cross, turned = x @ heavy, x @ vector
-            solved = np.linalg.solve(info, cross[:, :p].T).T
-            own = base * (x * x).sum(axis=1) + (turned * turned) @ more
-            square = own - (cross[:, :p] * solved).sum(axis=1)
-            ok = square > 1e-10 * np.maximum(own, 1e-300)
-            square = np.where(ok, square, 1.0)
-            beta = np.where(ok, (cross[:, p] - solved @ along) / square, 0.0)
-            se = np.where(ok, np.sqrt(np.maximum(whole - beta**2 * square, 0) / max(n - p - 1, 1) / square), np.inf)
-            yield _result(pdf["marker"], beta, se, n - p - 1, n)
+            yield slopes_of_products(pdf["marker"], base * (x * x).sum(axis=1) + (turned * turned) @ more, cross, info, along, whole, n)
 
     return rows.select("marker", "x").mapInPandas(scan, SCHEMA)
