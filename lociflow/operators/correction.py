@@ -11,11 +11,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.exprs import autosomal
 from ..sources import bcf
+from . import profiles
 from .factors import Backend, decompose, left
 from .linear import BLOCKS, block_sums, corrected_columns, gram, matrix, residuals, rows_of, select_k, singular_values, sliced
 from .markers import every_nth, outside_regions, stage_masks
@@ -221,3 +222,13 @@ def x_relationship(dosage: DataFrame, sexes: DataFrame, positions: DataFrame, sh
     if not m:
         raise ValueError("no marker of X is left for the relationship matrix")
     return k / m
+
+
+def x_relationship_by_sample(rows: DataFrame, male: Column, positions: DataFrame, shared: DataFrame, least_maf: float = 0.01) -> DataFrame:
+    """(sample, diagonal, row_sum, row_square) of the same matrix from (sample, x), where samples outnumber markers; positions number the places of x."""
+    own = sorted(r["marker"] for r in outside_regions(positions, shared).select("marker").collect())
+    x = profiles.x_dosage(rows, male, own, ONE_COPY, MOST_COPIES)
+    scale = profiles.standardised(x, len(own), least_maf)
+    if not scale.width:
+        raise ValueError("no marker of X is left for the relationship matrix")
+    return profiles.relationship(x, len(own), least_maf, scale)
