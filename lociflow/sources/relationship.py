@@ -124,3 +124,30 @@ def write(tiles: DataFrame, n_samples: int, n_markers: int, path: str, samples:
         raise ValueError("tiles are missing")
     with store.open_output_stream(f"{base}/samples.id", compression=None) as out:
         out.write("".join(f"{s}\t{s}\n" for s in samples).encode())
+
+
+def write_factor(factor: DataFrame, path: str) -> DataFrame:
+    """A matrix z z' as the rows (sample, name, z) of its factor, 32-bit floats in Parquet, and as read back.
+
+    Of m markers and n samples that is n m values for the triangle's n (n + 1) / 2,
+    and any value of the matrix is the product of two rows.
+    """
+    factor.select("sample", "name", F.col("z").cast("array<float>").alias("z")).write.mode("errorifexists").parquet(path)
+    return read_factor(factor.sparkSession, path)
+
+
+def read_factor(spark: SparkSession, path: str) -> DataFrame:
+    """(sample, name, z) of a factor file; samples that are asked for by number or name are filtered where they are read."""
+    return spark.read.schema("sample long, name string, z array<float>").parquet(path)
+
+
+def factor_diagonal(factor: DataFrame) -> DataFrame:
+    """(sample, name, diagonal) of the matrix of a factor."""
+    return factor.select("sample", "name", F.aggregate("z", F.lit(0.0), lambda total, v: total + v.cast("double") * v.cast("double")).alias("diagonal"))
+
+
+def factor_tile(factor: DataFrame, first: int, other: int, tile: int = 256) -> DataFrame:
+    """(a, b, value) of the pairs of samples numbered in two tiles."""
+    side = lambda t, name: factor.where(F.col("sample").between(t * tile, (t + 1) * tile - 1)).select(F.col("sample").alias(name), F.col("z").alias(f"z_{name}"))
+    both = F.zip_with("z_a", "z_b", lambda x, y: x.cast("double") * y.cast("double"))
+    return side(first, "a").crossJoin(F.broadcast(side(other, "b"))).select("a", "b", F.aggregate(both, F.lit(0.0), lambda total, v: total + v).alias("value"))
