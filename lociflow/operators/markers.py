@@ -31,10 +31,23 @@ def masked_markers(stats: DataFrame, least_call_rate: float = 0.95, least_varian
     return masks.withColumn("passes", F.col("call_rate_ok") & F.col("variance_ok"))
 
 
-def outside_regions(markers: DataFrame, regions: DataFrame) -> DataFrame:
-    """Markers (chrom, pos) outside every inclusive region (chrom, start, end): an anti join on the contig with a range condition."""
-    hit = (markers["chrom"] == regions["chrom"]) & markers["pos"].between(regions["start"], regions["end"])
-    return markers.join(regions, hit, "left_anti")
+def outside_regions(markers: DataFrame, regions: DataFrame, width: int = 10_000) -> DataFrame:
+    """Markers (chrom, pos) outside every inclusive region (chrom, start, end).
+
+    A place is inside if, of the regions that start at or before it, the largest end
+    reaches it.  That is a running maximum along the contig: over the distinct places and
+    region starts of a bin of so many bases, and over the bins that have regions, one row each.
+    The markers then meet the places that are inside by an anti join on equal places.
+    """
+    starts = regions.where("chrom is not null and start is not null").groupBy("chrom", F.col("start").alias("pos")).agg(F.max("end").alias("end"))
+    places = markers.where("chrom is not null and pos is not null").select("chrom", "pos").distinct()
+    every = starts.unionByName(places.withColumn("asked", F.lit(True)), allowMissingColumns=True).withColumn("bin", F.floor(F.col("pos") / width))
+    earlier = Window.partitionBy("chrom").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    here = Window.partitionBy("chrom", "bin").orderBy("pos").rangeBetween(Window.unboundedPreceding, 0)
+    bins = every.groupBy("chrom", "bin").agg(F.max("end").alias("end")).select("chrom", "bin", F.max("end").over(earlier).alias("before"))
+    near = every.withColumn("reach", F.max("end").over(here)).where("asked").join(bins, ["chrom", "bin"])
+    inside = near.where(F.greatest("reach", "before") >= F.col("pos")).select("chrom", "pos")
+    return markers.join(inside, ["chrom", "pos"], "left_anti").select(*markers.columns)
 
 
 def qc_reasons(markers: DataFrame, qc: DataFrame, flags: list[str], composite: str | None = None) -> DataFrame:

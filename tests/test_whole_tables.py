@@ -7,7 +7,7 @@ import duckdb
 import numpy as np
 from test_association import DATA, plain
 
-from lociflow.operators import report, segments
+from lociflow.operators import markers, report, segments
 from lociflow.plans import association, cohort
 
 
@@ -84,3 +84,27 @@ def test_two_state_path_in_ranges(spark):
         assert {(r["chrom"], r["ord"]): r["state"] for r in segments.viterbi_states(df, width=width).collect()} == want
     plan = segments.viterbi_states(df)._jdf.queryExecution().optimizedPlan().toString()
     assert "FlatMapGroupsInPandas [chrom#" in plan and "_range#" in plan.split("FlatMapGroupsInPandas [chrom#")[1].split("]")[0]  # the decoding step
+
+
+def test_regions_of_many_starts(spark):
+    rng = np.random.default_rng(3)
+    regions = [(f"chr{rng.integers(2)}", int(s), int(s + e)) for s, e in zip(rng.integers(-300, 3000, 120), rng.integers(-5, 60, 120), strict=True)] + [("chr0", 100, 2600), (None, 0, 9000), ("chr1", None, 9000), ("chr1", 0, None)]
+    places = [(i, f"chr{i % 3}", int(p)) for i, p in enumerate(rng.integers(-400, 3200, 900))] + [(1000, None, 5), (1001, "chr0", None), (1002, "chr0", 200), (1002, "chr0", 200)]
+    m, r = spark.createDataFrame(places, "marker long, chrom string, pos long"), spark.createDataFrame(regions, "chrom string, start long, end long")
+    hit = lambda c, p: any(None not in (c, p, d, s, e) and c == d and s <= p <= e for d, s, e in regions)
+    for width in (7, 100, 10_000):
+        out = markers.outside_regions(m, r, width)
+        assert out.columns == m.columns
+        key = lambda t: tuple(-1 if v is None else v if isinstance(v, int) else ord(v[-1]) for v in t)
+        assert sorted(map(tuple, out.collect()), key=key) == sorted((p for p in places if not hit(*p[1:])), key=key)
+    plan = markers.outside_regions(m, r)._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftAnti, (((" not in plan and "<=" not in next(line for line in plan.splitlines() if "LeftAnti" in line)
+
+
+def test_hits_of_one_place_send_no_lists(spark):
+    hits = spark.createDataFrame([(1, "chr1", 100), (2, "chr1", 100), (3, "1", 100), (3, "chr1", 900), (4, "chr1", 100), (4, "chr1", 100), (5, "chr9", 1), (None, "chr1", 100), (None, "chr1", 900)], "hit_id long, chrom string, pos long")
+    genes = spark.createDataFrame([("chr1", "A", 90, 110), ("chr1", "B", 120, 130), ("1", "C", 905, 950)], "chrom string, symbol string, start long, end long")
+    got = sorted(((r["hit_id"] or 0, r["genes"], r["n"]) for r in report.genes_in_window(hits, genes, 50).collect()))
+    assert got == [(0, "A;C;B", 3), (1, "A;B", 2), (2, "A;B", 2), (3, "A;C;B", 3), (4, "A;A;B;B", 4)]
+    lines = report.genes_in_window(hits, genes, 50)._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert lines[0].startswith("Union")
