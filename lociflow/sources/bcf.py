@@ -38,7 +38,7 @@ CHAIN = 4
 # fixed values: a BGZF block's head, the block that ends a file, missing numbers, and the shape of an index
 BLOCK_HEAD = b"\x1f\x8b\x08\x04\x00\x00\x00\x00\x00\xff\x06\x00BC\x02\x00"
 END_BLOCK = bytes.fromhex("1f8b08040000000000ff0600424302001b0003000000000000000000")
-BLOCK_DATA = 0xFF00
+BLOCK_DATA, MEASURED = 0xFF00, 1 << 16
 MISSING_FLOAT = b"\x01\x00\x80\x7f"
 INTS = {1: np.dtype("<i1"), 2: np.dtype("<i2"), 3: np.dtype("<i4")}
 MIN_SHIFT, DEPTH = 14, 5
@@ -416,7 +416,7 @@ class _Part(WriterCommitMessage):
     number: int
     path: str | None
     bytes: int = 0
-    sums: bytes | None = None  # number, sum and sum of squares of each sample's values, of the diagnostic markers
+    sums: str | None = None  # a file of number, sum and sum of squares of each sample's values, of the diagnostic markers
     n_measured: int = 0
     places: dict | None = None  # contig: bin: [first, end] virtual places from the part's start
 
@@ -491,12 +491,13 @@ class _Writer(DataSourceArrowWriter):
         from pyspark import TaskContext
 
         number, numbers = TaskContext.get().partitionId(), {c: i for i, c in enumerate(self.contigs)}
-        out, name, at, data, places = None, None, 0, b"", {}
-        sums, measured = np.zeros((3, len(self.samples))), 0
+        out, name, at, data, places = None, None, 0, bytearray(), {}
+        sums, measured = np.zeros((3, len(self.samples) if self.metrics else 0)), 0
         for batch in batches:
             columns = {n: batch.column(i) for i, n in enumerate(self.names)}
+            plain = {n: c.to_pylist() for n, c in columns.items() if n not in SAMPLE_FIELDS}
             for k in range(batch.num_rows):
-                get = lambda n: columns[n][k].as_py() if n in columns else None  # noqa: B023, E731
+                get = lambda n: plain[n][k] if n in plain else None  # noqa: B023, E731
                 values = lambda n: None if n not in columns else np.array(columns[n][k].values.to_numpy(zero_copy_only=False), float)  # noqa: B023, E731
                 if get("chrom") not in numbers:
                     raise ValueError(f"the header has no contig {get('chrom')}")
@@ -517,9 +518,10 @@ class _Writer(DataSourceArrowWriter):
                 first = at << 16 | len(data)
                 data += record(chrom, pos, get("variant_id"), ref, get("alts"), get("intensity_only"), lrr, dosage)
                 while len(data) >= BLOCK_DATA:
-                    packed = block(data[:BLOCK_DATA])
+                    packed = block(bytes(data[:BLOCK_DATA]))
                     out.write(packed)
-                    at, data = at + len(packed), data[BLOCK_DATA:]
+                    at += len(packed)
+                    del data[:BLOCK_DATA]
                 bins = places.setdefault(chrom, {})
                 chunk = bins.setdefault(bin_of(pos - 1, pos - 1 + len(ref or "N")), [])
                 if chunk and chunk[-1][1] == first:
@@ -529,10 +531,13 @@ class _Writer(DataSourceArrowWriter):
         if out is None:
             return _Part(number, None)
         if data:
-            packed = block(data)
+            packed = block(bytes(data))
             out.write(packed)
         out.close()
-        return _Part(number, name, at + (len(packed) if data else 0), sums.tobytes(), measured, places)
+        if measured:
+            with _store(name)[0].open_output_stream(_store(name)[1] + ".sums", compression=None) as told:
+                told.write(sums.tobytes())
+        return _Part(number, name, at + (len(packed) if data else 0), name + ".sums" if measured else None, measured, places)
 
     def commit(self, messages: list[_Part | None]) -> None:
         """Join the parts behind one header; bytes are passed on a few MB at a time, and nothing is decoded again."""
@@ -563,14 +568,20 @@ class _Writer(DataSourceArrowWriter):
         self.abort(messages)
 
     def _measure(self, parts: list[_Part]) -> None:
-        """SD (population) and call rate of each sample over what the tasks have added up."""
-        n, total, square = sum((np.frombuffer(p.sums).reshape(3, -1) for p in parts), np.zeros((3, len(self.samples))))
-        markers = sum(p.n_measured for p in parts)
-        lines = ["SAMPLE\tLRR_SD\tcallrate\tn_markers_used"]
-        for name, c, t, s in zip(self.samples, n, total, square, strict=True):
-            lines.append(f"{name}\t{max(s / c - (t / c) ** 2, 0) ** 0.5 if c else ''}\t{c / max(markers, 1)}\t{markers}")
+        """SD (population) and call rate of each sample over what the tasks have added up and left beside their parts, so many samples at a time."""
+        markers, width = sum(p.n_measured for p in parts), len(self.samples)
         with _store(self.metrics)[0].open_output_stream(_store(self.metrics)[1], compression=None) as out:
-            out.write(("\n".join(lines) + "\n").encode())
+            out.write(b"SAMPLE\tLRR_SD\tcallrate\tn_markers_used\n")
+            for first in range(0, width, MEASURED):
+                names = self.samples[first : first + MEASURED]
+                sums = np.zeros((3, len(names)))
+                for p in (p for p in parts if p.sums):
+                    with _store(p.sums)[0].open_input_file(_store(p.sums)[1]) as source:
+                        for row in range(3):
+                            source.seek(8 * (row * width + first))
+                            sums[row] += np.frombuffer(source.read(8 * len(names)))
+                lines = [f"{name}\t{max(s / c - (t / c) ** 2, 0) ** 0.5 if c else ''}\t{c / max(markers, 1)}\t{markers}" for name, c, t, s in zip(names, *sums, strict=True)]
+                out.write(("\n".join(lines) + "\n").encode())
 
     def abort(self, messages: list[_Part | None]) -> None:
         """Delete the parts, those of attempts that failed included."""

@@ -156,3 +156,23 @@ def test_a_store_by_contig_is_pruned(spark, written, tmp_path):
     assert "PartitionFilters: [isnotnull(chrom" in plan and "(1 paths)" in plan
     read = {r["f"] for r in own.select(F.col("_metadata.file_path").alias("f")).collect()}
     assert read and all("chrom=chrX" in f for f in read)
+
+
+def test_parts_send_no_sums(spark, tmp_path, monkeypatch):
+    """What a task sends to the driver has no value by sample; with metrics the sums are files beside the parts."""
+    import pyarrow as pa
+    import pyspark
+
+    monkeypatch.setattr(bcf, "MEASURED", 3)
+    monkeypatch.setattr(pyspark.TaskContext, "get", classmethod(lambda cls: type("T", (), {"partitionId": lambda self: 0})()))
+    names = [f"s{i}" for i in range(2000)]
+    x = np.random.default_rng(1).normal(size=(3, 2000)).astype("<f4").astype(float)
+    batch = pa.RecordBatch.from_pydict({"chrom": ["chr1"] * 3, "pos": [1, 2, 3], "variant_id": ["a", "b", "c"], "ref": ["A"] * 3, "alts": [["C"]] * 3, "lrr": x.tolist()})
+    schema = spark.createDataFrame([], "chrom string, pos long, variant_id string, ref string, alts array<string>, lrr array<double>").schema
+    for told in ({}, {"metrics": f"{tmp_path}/m.tsv"}):
+        w = bcf._Writer(schema, {"path": f"{tmp_path}/x{len(told)}.bcf", "contigs": "chr1", "samples": ",".join(names), **told}, False)
+        part = w.write(iter([batch]))
+        assert not isinstance(part.sums, bytes) and len(str(part)) < 2000
+        w.commit([part])
+    lines = [line.split("\t") for line in open(f"{tmp_path}/m.tsv").read().splitlines()[1:]]
+    assert [r[0] for r in lines] == names and np.allclose([float(r[1]) for r in lines], x.std(axis=0)) and {r[2] for r in lines} == {"1.0"}
