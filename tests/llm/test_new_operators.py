@@ -176,3 +176,13 @@ def test_alignment_of_small_chunks_and_a_full_table_of_words(monkeypatch):
             if text:
                 assert [x.tolist() for x in found] == [x.tolist() for x in pair._whole(text)]
     assert len(pair.words_a) == 3
+
+
+def test_target_is_every_trusted_text(spark):
+    n = 20_700
+    docs = spark.range(n + 5).selectExpr("id as doc_id", f"if(id < {n}, 'alpha beta', 'gamma') as text")
+    trusted = spark.range(n).selectExpr("id as doc_id").unionByName(spark.sql("select cast(null as bigint) as doc_id union all select 3L"))
+    total = 2 * n + quality_rules.BUCKETS
+    weights = quality_rules.ratios(docs, trusted).first()["weights"]
+    common = math.log((n + 1) / total) - math.log((n + 1) / (total + 5))
+    assert sum(abs(w - common) < 1e-12 for w in weights) >= 2
