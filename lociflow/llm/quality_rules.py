@@ -17,8 +17,8 @@ again) with few different n-grams, so the counts are dense and rare words do not
 blur the score.  The raw corpus is all of docs; the target is the texts of all trusted ids.
 
 All is DataFrame expressions: each text is judged where it is read, and nothing is
-shuffled but the counts of the places and, where the trusted ids are too many to
-broadcast, the texts that meet them.  Null and empty texts have no words, score 0
+shuffled but the counts of the places and, with more than ``BROADCAST_MOST`` trusted
+ids, the texts that meet them.  Null and empty texts have no words, score 0
 and fail.  Without a trusted text every score is 0, and the base rules decide.
 Repeated rows are each judged, an empty table gives an empty result, and other
 columns pass through, but for those of the names that are added.
@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from .shared import free_name, saved, shared_dir, without
 
-BUCKETS, ENDING, LEAST_SCORE = 1 << 14, 3, -0.09
+BUCKETS, ENDING, LEAST_SCORE, BROADCAST_MOST = 1 << 14, 3, -0.09, 1_000_000
 LEAST_WORDS, MOST_REPEATED = 50, 50
 # fixed values: what is between words, what is a word, and the characters that count as signs
 SPACES, WORD, SIGNS = " \t\n\x0b\x0c\r", r"[^\x20\x09-\x0D]+", r"[#*$%&|<>]"
@@ -62,10 +62,11 @@ def ratios(docs: DataFrame, trusted: DataFrame) -> DataFrame:
 
     Counts are raised by one, so that a place without texts has a ratio too.
     """
-    # no hint: few ids are broadcast, many meet the texts by a shuffle
     ids = trusted.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(1).alias("label")).where("doc_id is not null").distinct()
-    told = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _words(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("words"))
-    told = told.join(ids, "doc_id", "left").select(F.col("label").isNotNull().alias("trusted"), "words")
+    # every id counts either way: so many are sent to all tasks, more meet the texts by a shuffle
+    few = ids.limit(BROADCAST_MOST + 1).count() <= BROADCAST_MOST
+    told = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    told = told.join(F.broadcast(ids) if few else ids.hint("merge"), "doc_id", "left").select(F.col("label").isNotNull().alias("trusted"), _words(F.col("text")).alias("words"))
     grams = told.select("trusted", F.explode(_buckets(F.col("words"))).alias("bucket"))
     counts = grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.count_if("trusted").alias("target"))
     counts = saved(counts, f"{shared_dir(docs.sparkSession)}/counts")

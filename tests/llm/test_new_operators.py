@@ -178,7 +178,9 @@ def test_alignment_of_small_chunks_and_a_full_table_of_words(monkeypatch):
     assert len(pair.words_a) == 3
 
 
-def test_target_is_every_trusted_text(spark):
+@pytest.mark.parametrize("most", [10, 1_000_000])
+def test_target_is_every_trusted_text(spark, monkeypatch, most):
+    monkeypatch.setattr(quality_rules, "BROADCAST_MOST", most)
     n = 20_700
     docs = spark.range(n + 5).selectExpr("id as doc_id", f"if(id < {n}, 'alpha beta', 'gamma') as text")
     trusted = spark.range(n).selectExpr("id as doc_id").unionByName(spark.sql("select cast(null as bigint) as doc_id union all select 3L"))
