@@ -11,8 +11,9 @@ document's component under these links.
    ``HOT_SHINGLES`` most frequent shingles (counted over all documents) last.
    The classes with the same shingle among their first form a cell, and cells
    with the same smallest class are one.  The frequent shingles' smallest classes
-   are aggregated before any shuffle and handed out by a broadcast of at most
-   ``HOT_SHINGLES`` rows, so no task gets all classes of one of them.
+   are aggregated in each task before any shuffle and handed out by a broadcast of
+   at most ``HOT_SHINGLES`` rows, so no task gets all classes of one of them, and a
+   class is sent on once for each of its cells, not for each of its shingles.
 3. Points.  Each shingle is hashed into one of ``GROUPS`` groups; the group
    counts of a class are its point.  The summed coordinate minima of two points
    bound the overlap from above, and so do those of the upper corners of two
@@ -26,10 +27,12 @@ document's component under these links.
    of pairs linear in them.  The set of a
    class with many partners is copied to a task for each ``STAR`` of them.
 5. R-trees.  In each cell whose classes are still in different components an
-   R-tree is bulk-loaded and joined with itself by the bound; surviving pairs
-   of different components are verified.  Cells of more than ``CELL`` classes are
-   dealt into parts, and every two parts are joined by a task of their own, so
-   no pair is left out.
+   R-tree is bulk-loaded and joined with itself by the bound.  The cells are here
+   those of the shingles with the same two smallest classes, cut where no class is
+   of a size that links both parts; shingles of only two classes are settled.  Of the surviving pairs of each two components ``BEST`` are
+   verified first, and all where these leave the two apart.  Cells of more than
+   ``CELL`` classes are dealt into parts, and every two parts are joined by a task
+   of their own, so no pair is left out.
 6. Components of the verified links, in Spark.
 
 Words and shingles are those of ``textvec``; sets are compared by 64-bit shingle
@@ -43,6 +46,7 @@ count as the texts they have.  An empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -58,8 +62,10 @@ NUMERATOR, DENOMINATOR = 3, 4
 GROUPS = 128
 FINE_BITS = (9, 15)
 HOT_SHINGLES = 50_000
-HOT_IN_SLICE = 8
+WINDOW, HOT_IN_WINDOW = 1 << 21, 4
 CELL, STAR = 1024, 1024
+BEST, TRIED = 4, 64
+BANDS = 8
 LEAF = 16
 BROADCAST_ROWS = 500_000
 
@@ -72,22 +78,43 @@ def needed(n: np.ndarray, m: np.ndarray) -> np.ndarray:
 def frequent_shingles(docs: DataFrame) -> np.ndarray:
     """Sorted hashes of the most frequent shingles.
 
-    Every slice of every partition is counted; what it holds at least HOT_IN_SLICE
-    times is summed up over all.  The choice only affects the speed.
+    Every partition is counted in windows of about WINDOW shingles, rows that repeat a
+    text of the window once; what a window holds at least HOT_IN_WINDOW times is summed
+    up over all.  The choice only affects the speed.
     """
 
+    def found(parts: list[np.ndarray]) -> pa.RecordBatch:
+        h, n = np.unique(np.concatenate(parts), return_counts=True)
+        keep = n >= HOT_IN_WINDOW
+        return pa.RecordBatch.from_arrays([pa.array(h[keep].view(np.int64)), pa.array(n[keep])], names=["token", "n"])
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, seen, held = [], np.zeros(0, np.uint64), 0
         for batch in batches:
             for _, data, offsets in slices(batch.column(0)):
                 low, starts, ends, at = words(data, offsets)
-                h, n = np.unique(shingle_hashes(word_hashes(low, starts, ends), at)[0], return_counts=True)
-                keep = n >= HOT_IN_SLICE
-                yield pa.RecordBatch.from_arrays([pa.array(h[keep].view(np.int64)), pa.array(n[keep])], names=["token", "n"])
+                new, seen = unseen(*shingle_hashes(word_hashes(low, starts, ends), at), seen)
+                parts.append(new)
+                held += len(new)
+                if held >= WINDOW:
+                    yield found(parts)
+                    parts, seen, held = [], np.zeros(0, np.uint64), 0
+        if held:
+            yield found(parts)
 
     found = docs.select("text").mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "token").limit(HOT_SHINGLES).collect()
     return np.sort(np.array([r["token"] for r in found], np.int64).view(np.uint64))
 
 
+def unseen(shingles: np.ndarray, at: np.ndarray, seen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles of the rows (n + 1 offsets) whose sums of shingles are new, the first row of each, and seen with these sums."""
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(shingles)])
+    sums, first = np.unique(total[at[1:]] - total[at[:-1]], return_index=True)
+    fresh = np.zeros(len(at) - 1, bool)
+    fresh[first[~np.isin(sums, seen)]] = True
+    return shingles[np.repeat(fresh, np.diff(at))], np.union1d(seen, sums)
+
+
 def class_names(s: np.ndarray) -> tuple[int, int]:
     """Two 64-bit names of a sorted set."""
     d = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
@@ -314,60 +341,149 @@ def _verified(docs: DataFrame, pairs: DataFrame, points: DataFrame, clashes: lis
     return rows.mapInArrow(verify, "a long, b long")
 
 
-def _tree_pairs(members: DataFrame) -> DataFrame:
-    """Candidate pairs of the cells' parts; members has (cell, i, j, side, cls, component, n_shingles, fine), sorted by task.
+def _tree_pairs(members: DataFrame, every: bool) -> DataFrame:
+    """Candidate pairs (cell, i, j, a, b, more) of the cells' parts; members has (cell, i, j, side, cls, component, n_shingles, fine), sorted by task.
 
-    Pairs of one component need no link.
+    Pairs of one component need no link.  Unless every is set, a task names for two
+    components at most BEST pairs, those of the highest bounds among the first TRIED,
+    and more is whether there are others.
     """
 
-    def pairs_of(rows: list[tuple], point: PointReader) -> Iterator[tuple[int, int]]:
-        same = rows[0][1] == rows[0][2]
+    def pairs_of(rows: list[tuple], point: PointReader) -> Iterator[tuple]:
+        task = rows[0][:3]
+        same = task[1] == task[2]
         sides = [[r for r in rows if r[3] == s] for s in ((0,) if same else (0, 1))]
         if not all(sides):
             return
         fine = [[point.fine(r[7]) for r in s] for s in sides]
         trees = [CountTree(np.stack([x.reshape(-1, GROUPS).sum(axis=0, dtype=np.int64) for x in f]), np.array([r[6] for r in s])) for f, s in zip(fine, sides, strict=True)]
+        found: dict[tuple[int, int], list] = {}
+        more = set()
         for x, y in joined(trees[0], trees[-1], same):
             for p, q in zip(x.tolist(), y.tolist(), strict=True):
                 r, s = sides[0][p], sides[-1][q]
-                if r[5] != s[5] and fine_bound(fine[0][p], fine[-1][q]) >= needed(r[6], s[6]):
-                    yield min(r[4], s[4]), max(r[4], s[4])
+                if r[5] == s[5]:
+                    continue
+                two = (min(r[5], s[5]), max(r[5], s[5]))
+                if not every and len(found.get(two, ())) >= TRIED:
+                    more.add(two)
+                    continue
+                bound = fine_bound(fine[0][p], fine[-1][q])
+                if bound >= needed(r[6], s[6]):
+                    pair = (min(r[4], s[4]), max(r[4], s[4]))
+                    if every:
+                        yield (*task, *pair, False)
+                    else:
+                        found.setdefault(two, []).append((-bound / (r[6] + s[6]), pair))
+        for two, pairs in found.items():
+            for _, pair in sorted(pairs)[:BEST]:
+                yield (*task, *pair, two in more or len(pairs) > BEST)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, rows, point = None, [], PointReader()
-        found: set[tuple[int, int]] = set()
+        key, rows, point, found = None, [], PointReader(), []
+        names = ["cell", "i", "j", "a", "b", "more"]
+        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.bool_()]
 
         def batch_of() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=["a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found, strict=True), kinds, strict=True)], names=names)
+
+        def settled() -> Iterator[pa.RecordBatch]:
+            for pair in pairs_of(rows, point) if len(rows) > 1 else ():
+                found.append(pair)
+                if len(found) > 10_000:
+                    yield batch_of()
+                    found.clear()
 
         for batch in batches:
             for r in zip(*(batch.column(c).to_pylist() for c in range(8)), strict=True):
                 if r[:3] != key:
-                    if len(rows) > 1:
-                        found.update(pairs_of(rows, point))
+                    yield from settled()
                     key, rows = r[:3], []
                 rows.append(r)
-            if len(found) > 10_000:
-                yield batch_of()
-                found.clear()
-        if len(rows) > 1:
-            found.update(pairs_of(rows, point))
+        yield from settled()
         if found:
             yield batch_of()
 
-    return members.mapInArrow(search, "a long, b long")
+    return members.mapInArrow(search, "cell long, i int, j int, a long, b long, more boolean")
+
+
+def _hot_cells(has: DataFrame) -> DataFrame:
+    """(cell, cls) of the frequent shingles, each pair once a row.
+
+    A task sends on one class for each shingle, its smallest, and of a row's shingles
+    that have the same smallest class only one.
+    """
+    spark = has.sparkSession
+    rows = has.where(F.size("hot_prefix") > 0).select("cls", "hot_prefix")
+
+    def flat(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        """Class and shingle of every entry."""
+        lists = batch.column(1)
+        return np.repeat(batch.column(0).to_numpy(), lists.value_lengths().to_numpy()), lists.flatten().to_numpy()
+
+    def least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for batch in batches:
+            cls, token = (np.concatenate(x) for x in zip(kept, flat(batch), strict=True))
+            order = np.lexsort((cls, token))
+            first = order[np.unique(token[order], return_index=True)[1]]
+            kept = cls[first], token[first]
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in kept], names=["cls", "token"])
+
+    smallest = rows.mapInArrow(least, "cls long, token long").groupBy("token").agg(F.min("cls").alias("cls"))
+    found = sorted((r["token"], r["cls"]) for r in smallest.collect())  # of the HOT_SHINGLES broadcast ones only
+    sent = spark.sparkContext.broadcast(np.array(found, np.int64).reshape(-1, 2).T.copy())
+
+    def cells_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens, cells = sent.value
+        for batch in batches:
+            cls, token = flat(batch)
+            out = np.stack([cells[np.searchsorted(tokens, token)], cls])
+            out = np.unique(out[:, out[0] != out[1]], axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], names=["cell", "cls"])
+
+    return rows.mapInArrow(cells_of, "cell long, cls long")
 
 
 def _cells(has: DataFrame) -> DataFrame:
-    """(cell, cls, cell_n, n): the classes that share one of their first shingles with a smaller class, under the smallest of each shingle, and the sizes of both."""
-    one = F.struct("cls", F.col("n_shingles").alias("n"))
-    cold = has.select(one.alias("x"), F.explode("prefix").alias("token"))
-    least = F.first("x").over(Window.partitionBy("token").orderBy("x.cls").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    cold = cold.select("x", least.alias("y"))
-    hot = has.select(one.alias("x"), F.explode("hot_prefix").alias("token"))
-    smallest = hot.groupBy("token").agg(F.min("x").alias("y"))  # of the HOT_SHINGLES broadcast ones only
-    both = cold.unionByName(hot.join(F.broadcast(smallest), "token").select("x", "y")).where("x.cls != y.cls")
-    return both.select(F.col("y.cls").alias("cell"), F.col("x.cls").alias("cls"), F.col("y.n").alias("cell_n"), F.col("x.n").alias("n")).distinct()
+    """(cell, cls, cell_n, n, trees): the classes that share one of their first shingles with a smaller class, under the smallest of each shingle, and the sizes of both.
+
+    trees names the sets of classes in which the pair has to meet others: one for the
+    shingles of the same two smallest classes, none where a shingle has only two.  The
+    sizes join the pairs, so that the shuffle of all first shingles goes without them.
+    """
+    cold = has.select("cls", F.explode("prefix").alias("token"))
+    by = Window.partitionBy("token").orderBy("cls")
+    so_far = by.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    cold = cold.select("cls", F.first("cls").over(so_far).alias("cell"), F.nth_value("cls", 2).over(so_far).alias("second"), F.dense_rank().over(by).alias("rank"), F.lead("cls").over(by).alias("next"))
+    third = (F.col("rank") > 2) | (F.col("next") != F.col("cls"))
+    cold = cold.where("rank > 1").select("cell", "cls", F.when(third, F.xxhash64("cell", "second")).alias("tree"))
+    both = cold.unionByName(_hot_cells(has).withColumn("tree", F.col("cell"))).distinct()
+    pairs = both.groupBy("cell", "cls").agg(F.collect_set("tree").alias("trees"))
+    pairs = saved(pairs, shared_dir(has.sparkSession))
+    sizes = has.groupBy("cls").agg(F.first("n_shingles").alias("n"))
+    members = pairs.groupBy("cell").agg(F.count("*").alias("rows"))
+    cells = members.join(sizes.toDF("cell", "cell_n"), "cell")
+    return keyed_join(pairs.join(sizes, "cls"), cells, "cell", "rows", members)
+
+
+def size_band(n: str) -> F.Column:
+    """BANDS bands to a factor of 4/3: the bands of sets that link are at most BANDS + 1 apart."""
+    return F.floor(F.log(F.col(n)) * (BANDS / math.log(DENOMINATOR / NUMERATOR))).cast("int")
+
+
+def _chains(member: DataFrame) -> DataFrame:
+    """(tree, band, n, chain, parts) of the members (tree, cls, band, component) that may link with one of another component.
+
+    A tree falls into chains of bands: classes of two chains differ too much in size.
+    n is the number of classes in the band, parts that of the chain's parts.
+    """
+    bands = member.groupBy("tree", "band").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count("*").alias("n"))
+    by, chain = Window.partitionBy("tree").orderBy("band"), Window.partitionBy("tree", "chain")
+    starts = F.coalesce((F.col("band") - F.lag("band").over(by) > BANDS + 1).cast("int"), F.lit(0))
+    chains = bands.withColumn("starts", starts).withColumn("chain", F.sum("starts").over(by))
+    chains = chains.withColumns({"least": F.min("c0").over(chain), "largest": F.max("c1").over(chain), "parts": F.ceil(F.sum("n").over(chain) / CELL).cast("int")})
+    return chains.where("least < largest").select("tree", "band", "n", "chain", "parts")
 
 
 def linked(docs: DataFrame, row: str | None = None) -> DataFrame:
@@ -404,20 +520,39 @@ def linked(docs: DataFrame, row: str | None = None) -> DataFrame:
     links = links.unionByName(star(saved(apart.select("cell", "cls", "cell_n", "n"), f"{folder}/apart"), "far"))
     found = components(links, f"{folder}/second")
 
-    # pairs with the smallest class are settled, so it stays out of its cell from here on
-    member = cells.select("cell", "cls").join(found.toDF("cls", "component"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+    # pairs with the smallest class are settled, so it stays out of its trees, and so do the classes that share no shingle with a third
+    member = cells.select(F.explode("trees").alias("tree"), "cls", size_band("n").alias("band")).join(found.toDF("cls", "component"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     member = saved(member, f"{folder}/members")
-    open_ = member.groupBy("cell").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count("*").alias("n")).where("c0 < c1")
-    open_ = saved(open_.select("cell", F.ceil(F.col("n") / CELL).cast("int").alias("parts"), "n"), f"{folder}/open")
-    part = F.pmod(F.xxhash64("cell", "cls"), F.col("parts")).cast("int")
-    dealt = keyed_join(member, open_, "cell", "n").withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    open_ = saved(_chains(member), f"{folder}/open")
+    dealt = keyed_join(member, open_, ["tree", "band"], "n").withColumn("cell", F.xxhash64("tree", "chain"))
+    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("cell", "cls"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     dealt = dealt.select("cell", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), (F.col("part") > F.col("other")).cast("int").alias("side"), "cls", "component")
-    dealt = dealt.join(points.select("cls", "n_shingles", "fine"), "cls").select("cell", "i", "j", "side", "cls", "component", "n_shingles", "fine")
-    dealt = dealt.repartition(spread(spark), "cell", "i", "j").sortWithinPartitions("cell", "i", "j", "side")
-    rest = saved(_tree_pairs(dealt).distinct(), f"{folder}/rest")
-    links = saved(links.unionByName(_verified(docs, rest, points, clashes, f"{folder}/rest")), f"{folder}/all")
+    dealt = saved(dealt, f"{folder}/dealt")
+
+    def searched(dealt: DataFrame, every: bool, name: str) -> DataFrame:
+        rows = dealt.join(points.select("cls", "n_shingles", "fine"), "cls").select("cell", "i", "j", "side", "cls", "component", "n_shingles", "fine")
+        rows = rows.repartition(spread(spark), "cell", "i", "j").sortWithinPartitions("cell", "i", "j", "side")
+        return saved(_tree_pairs(rows, every), f"{folder}/{name}")
+
+    def met(pairs: DataFrame, name: str) -> DataFrame:
+        return saved(_verified(docs, pairs.select("a", "b").distinct(), points, clashes, f"{folder}/{name}"), f"{folder}/{name}-links")
+
+    best = searched(dealt, False, "best")
+    links = saved(links.unionByName(met(best, "best")), f"{folder}/most")
+    if best.where("more").limit(1).count():
+        # where two components that have further pairs are still apart, all pairs of their task are verified
+        found = saved(components(links, f"{folder}/third"), f"{folder}/known")
+        of = lambda column: found.toDF(column, f"{column}_in")
+        left = best.where("more").join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("a_in", "a") != F.coalesce("b_in", "b"))
+        left = saved(left.select("cell", "i", "j").distinct(), f"{folder}/left")
+        if left.limit(1).count():
+            again = dealt.join(left, ["cell", "i", "j"], "left_semi").join(of("cls"), "cls", "left").withColumn("component", F.coalesce("cls_in", "cls"))
+            again = saved(again, f"{folder}/again")
+            small = again.count() <= BROADCAST_ROWS // 10
+            links = links.unionByName(met(searched(F.broadcast(again) if small else again, True, "rest"), "rest"))
+    links = saved(links, f"{folder}/all")
     stars = [star + part for star in ("near", "far") for part in ("", "-sized", "-firsts", "-partners", "-links")]
-    for name in (*stars, "joined", "apart", "members", "cells", "rest", "rest-partners", "points", "open"):
+    for name in (*stars, "joined", "apart", "members", "cells", "best", "best-partners", "best-links", "most", "known", "left", "dealt", "again", "rest", "rest-partners", "rest-links", "points", "open"):
         dropped(spark, f"{folder}/{name}")
 
     found = components(links, f"{folder}/last").toDF("cls", "root")

@@ -131,6 +131,35 @@ def test_join_matches_brute_force(docs, rows, small, monkeypatch):
     assert got == brute_components(rows)
 
 
+def test_frequent_shingles_are_sent_once_a_cell(spark):
+    has = spark.createDataFrame([(c, list(range(100, 130))) for c in (5, 3, 9, 7)] + [(2, [500]), (8, [500, 100])], "cls long, hot_prefix array<long>")
+    got = sorted(tuple(r) for r in ngram_join._hot_cells(has).select("cell", "cls").collect())
+    assert got == [(2, 8), (3, 5), (3, 7), (3, 8), (3, 9)]  # not 30 rows a class
+
+
+def test_copies_do_not_make_shingles_frequent(spark):
+    words_ = [" ".join(f"{k}w{i}" for i in range(20)) for k in range(12)]
+    shared_ = [f"{w} one two three four five" for w in words_]
+    got = ngram_join.frequent_shingles(spark.createDataFrame([(t,) for t in [" ".join(f"c{i}" for i in range(20))] * 40 + shared_], "text string").coalesce(1))
+    assert len(got) == 1
+
+
+def test_shingles_of_two_classes_are_in_no_tree(spark):
+    rows = [(1, 10, [71, 72], []), (4, 11, [71], []), (6, 12, [72], []), (6, 12, [72], []), (8, 13, [72], [])]
+    has = spark.createDataFrame(rows, "cls long, n_shingles long, prefix array<long>, hot_prefix array<long>")
+    got = {(r["cell"], r["cls"], r["cell_n"], r["n"]): len(r["trees"]) for r in ngram_join._cells(has).collect()}
+    assert got == {(1, 4, 10, 11): 0, (1, 6, 10, 12): 1, (1, 8, 10, 13): 1}
+
+
+def test_best_pairs_name_what_they_leave_out(spark):
+    write = ngram_join.PointWriter()
+    sets = [np.arange(k, 200 + k).astype(np.uint64) for k in range(12)]
+    rows = [(1, 0, 0, 0, k, k % 2, 200, write.of(s)) for k, s in enumerate(sets)]
+    members = spark.createDataFrame(rows, "cell long, i int, j int, side int, cls long, component long, n_shingles long, fine binary").coalesce(1)
+    best, every = (ngram_join._tree_pairs(members, e).collect() for e in (False, True))
+    assert len(every) == 36 and len(best) == ngram_join.BEST and all(r["more"] for r in best)
+
+
 @pytest.mark.parametrize("how", ["inner", "left"])
 def test_join_by_hot_keys_is_a_join(spark, how, monkeypatch):
     monkeypatch.setattr(shared, "HOT_LEAST", 5)
